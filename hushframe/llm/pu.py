@@ -8,22 +8,27 @@ bounded samples (parameters); scoring reads every whole text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, word_array
+from .common import cut
 
 STYLE = ("words", "word_length", "distinct", "upper", "digit", "symbol", "non_ascii", "repeated_lines", "same_as_last", "line_words")
 BINS = 8
-#: Standard errors by which the shares of a word must differ; chance reaches this about once in 16,000 words.
+#: Standard errors by which the shares of a mark must differ; chance reaches this about once in 16,000 marks.
 SURE = 4
 _UPPER, _DIGIT = bytes(range(65, 91)), b"0123456789"
 _PLAIN = bytes(c for c in range(128) if chr(c).isalnum() or c in b" \t\n\x0b\x0c\r.,;:'\"()-")
+_SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Lengths in bytes of the beginnings of words, and the share of a text's words that must have one for it to count.
+PREFIXES, SHARE = (4, 5, 6, 7, 8), 0.012
 _ALL = bytes(range(256))
 _NOT_UPPER = bytes(c for c in _ALL if c not in _UPPER)
 _NOT_DIGIT = bytes(c for c in _ALL if c not in _DIGIT)
@@ -36,7 +41,7 @@ class Sizes:
 
     positives: int = 6000
     unlabelled: int = 12000
-    words: int = 800
+    marks: int = 800
     seed: int = 7
 
 
@@ -46,14 +51,21 @@ class Model:
     bias: float = 0.0
     edges: list[list[float]] = field(default_factory=list)
     style: list[list[float]] = field(default_factory=list)
-    words: dict[bytes, float] = field(default_factory=dict)
+    marks: dict[bytes, float] = field(default_factory=dict)
 
 
 def describe(text: bytes) -> tuple[list[float], set[bytes]]:
-    """Style figures of a whole text and the set of its lower-cased words."""
+    """Style figures of a whole text, and its marks: the lower-cased words, as they are and without
+    symbols at their ends, and the beginnings that many of the words share (with * or ** behind them)."""
     words = text.lower().split()
     n, size = max(1, len(words)), max(1, len(text))
     kinds = set(words)
+    marks = kinds | {w.strip(_SYMBOLS) for w in kinds}
+    for length in PREFIXES:
+        for prefix, often in Counter(map(itemgetter(slice(length)), words)).most_common(len(words) and 1 + int(1 / SHARE)):
+            if often < 2 or often < SHARE * n:
+                break
+            marks.add(prefix + (b"**" if often >= 3 and often >= 3 * SHARE * n else b"*"))
     lines = [x for x in text.split(b"\n") if x.strip()]
     same = sum(map(bytes.__eq__, words, words[1:]))
     return [
@@ -67,7 +79,7 @@ def describe(text: bytes) -> tuple[list[float], set[bytes]]:
         1 - len(set(lines)) / max(1, len(lines)),
         same / n,
         float(np.log1p(n / max(1, len(lines)))),
-    ], kinds
+    ], marks
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -85,26 +97,32 @@ def _sample(docs: DataFrame, positives: DataFrame, sizes: Sizes) -> DataFrame:
     return cut(docs.join(F.broadcast(chosen), "doc_id").select("text", "pos", "unl"), "sample")
 
 
-def _choose_words(sample: DataFrame, sizes: Sizes) -> list[str]:
-    """The words whose share of texts differs most surely between positives and unlabelled texts."""
+def _all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = pa.array([list(describe(t)[1]) for t in _texts(batch.column(0))], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), marks], ["pos", "unl", "marks"])
+
+
+def _choose_marks(sample: DataFrame, sizes: Sizes) -> list[bytes]:
+    """The marks whose share of texts differs most surely between positives and unlabelled texts."""
     totals = sample.agg(F.sum("pos").alias("p"), F.sum("unl").alias("u")).first()
     n_p, n_u = max(1, totals["p"] or 0), max(1, totals["u"] or 0)
-    seen = sample.select("pos", "unl", F.explode(F.array_distinct(word_array(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))).alias("word"))
-    counts = seen.groupBy("word").agg(F.sum("pos").alias("p"), F.sum("unl").alias("u")).where("p + u >= 4")
+    seen = sample.mapInArrow(_all_marks, "pos int, unl int, marks array<binary>").select("pos", "unl", F.explode("marks").alias("mark"))
+    counts = seen.groupBy("mark").agg(F.sum("pos").alias("p"), F.sum("unl").alias("u")).where("p + u >= 4")
     share = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
-    top = counts.select("word", z.alias("z")).where(f"z > {SURE}").orderBy(F.desc("z"), "word").limit(sizes.words)
-    return [r["word"] for r in top.collect()]
+    top = counts.select("mark", z.alias("z")).where(f"z > {SURE}").orderBy(F.desc("z"), "mark").limit(sizes.marks)
+    return [bytes(r["mark"]) for r in top.collect()]
 
 
-def _featurised(words: dict[bytes, int]):
-    known = words.keys()
+def _featurised(numbers: dict[bytes, int]):
+    known = numbers.keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [describe(t) for t in _texts(batch.column(0))]
             style = pa.array([s for s, _ in rows], pa.list_(pa.float64()))
-            found = pa.array([sorted(words[w] for w in known & kinds) for _, kinds in rows], pa.list_(pa.int32()))
+            found = pa.array([sorted(numbers[m] for m in known & marks) for _, marks in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), style, found], ["pos", "unl", "style", "found"])
 
     return run
@@ -147,8 +165,8 @@ def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes(), prior: fl
     prior: the share of positives where it is known from elsewhere, such as an audited sample; else it is estimated here.
     """
     sample = _sample(docs, positives, sizes)
-    words = {w.encode(): i for i, w in enumerate(_choose_words(sample, sizes))}
-    data = sample.select("text", "pos", "unl").mapInArrow(_featurised(words), "pos int, unl int, style array<double>, found array<int>").toArrow()
+    marks = {m: i for i, m in enumerate(_choose_marks(sample, sizes))}
+    data = sample.select("text", "pos", "unl").mapInArrow(_featurised(marks), "pos int, unl int, style array<double>, found array<int>").toArrow()
     pos, unl = (data.column(c).to_numpy() == 1 for c in ("pos", "unl"))
     if pos.sum() < 2 or unl.sum() < 2:
         return Model(prior=0.5)
@@ -158,7 +176,7 @@ def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes(), prior: fl
     found = data.column("found").to_pylist()
     edges = [np.unique(np.quantile(style[unl, j], np.linspace(0, 1, BINS + 1)[1:-1])).tolist() for j in range(style.shape[1])]
     offsets = 1 + np.cumsum([0, *[len(e) + 1 for e in edges]])
-    x = np.zeros((len(style), int(offsets[-1]) + len(words)), np.float32)
+    x = np.zeros((len(style), int(offsets[-1]) + len(marks)), np.float32)
     x[:, 0] = 1
     bins = _bins(style, edges)
     for j in range(len(edges)):
@@ -187,11 +205,11 @@ def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes(), prior: fl
         return prior * (xp.T @ (_sigmoid(zp) - 1)) / len(xp) + g_negative
 
     w = _descend(x, risk, l2 * prior)
-    return Model(prior, float(w[0]), edges, [w[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)], {k: float(w[offsets[-1] + i]) for k, i in words.items() if w[offsets[-1] + i]})
+    return Model(prior, float(w[0]), edges, [w[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)], {k: float(w[offsets[-1] + i]) for k, i in marks.items() if w[offsets[-1] + i]})
 
 
 def _scorer(model: Model):
-    weight = model.words
+    weight = model.marks
     known = weight.keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +218,7 @@ def _scorer(model: Model):
             if model.edges and batch.num_rows:
                 rows = [describe(t) for t in _texts(batch.column(1))]
                 bins = _bins(np.array([s for s, _ in rows]), model.edges)
-                z += np.array([sum(map(weight.__getitem__, known & kinds)) for _, kinds in rows])
+                z += np.array([sum(map(weight.__getitem__, known & marks)) for _, marks in rows])
                 for j, w in enumerate(model.style):
                     z += np.array(w)[bins[:, j]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(z))], ["doc_id", "score"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import pu_ops, simhash
 from .common import table
 
 
@@ -16,7 +16,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first_id").alias("component_id"))
 
 
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_ops.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_ops.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_pu_quality": op3_pu_quality,
+    "op10_pu_toxicity": op10_pu_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
