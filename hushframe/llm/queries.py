@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pu_ops, simhash
+from . import decision_list, pu_ops, simhash
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first_id").alias("component_id"))
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decision_list.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_ops.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +31,7 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_decision_list": op2_decision_list,
     "op3_pu_quality": op3_pu_quality,
     "op10_pu_toxicity": op10_pu_toxicity,
 }
