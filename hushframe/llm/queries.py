@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, pu_ops, simhash
+from . import decision_list, decontaminate, pu_ops, simhash
 from .common import table
 
 
@@ -25,6 +25,12 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_ops.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_ops.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decision_list": op2_decision_list,
     "op3_pu_quality": op3_pu_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
