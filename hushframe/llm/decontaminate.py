@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import cut, lower_ascii, row_key
 
 WINDOW = 10
-#: 64-bit cells of the bit set: 1 MB, whatever the size of the benchmark. A fuller set lets more windows reach the join.
-CELLS = 1 << 17
+#: 64-bit cells of the bit set: 128 KB, whatever the size of the benchmark. A fuller set lets more windows reach the join.
+CELLS = 1 << 14
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -68,7 +68,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     def held(k: int):
         def test(i: Column) -> Column:
             h = F.xxhash64(F.slice("w", i, k))
-            return F.call_function("shiftright", F.get(inside, _cell(h).cast("int")), _place(h)).bitwiseAND(1) == 1
+            return F.call_function("shiftright", F.get(F.col("set"), _cell(h).cast("int")), _place(h)).bitwiseAND(1) == 1
 
         return test
 
@@ -77,7 +77,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
         cuts = F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("w", i, k), " ").alias("window")))
         return F.when(F.size("w") >= k, cuts)
 
-    likely = texts.select("row_key", F.explode(F.flatten(F.array_compact(F.array(*map(starts, lengths))))).alias("c"))
+    likely = texts.withColumn("set", inside).select("row_key", F.explode(F.flatten(F.array_compact(F.array(*map(starts, lengths))))).alias("c"))
     return counted, likely.select("row_key", "c.*").join(windows, ["k", "window"]).select("row_key", "at", "k", "item_id")
 
 
