@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, pu_ops, simhash
+from . import decision_list, decontaminate, mixing, pu_ops, simhash
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_ops.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -39,7 +44,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decision_list": op2_decision_list,
     "op3_pu_quality": op3_pu_quality,
+    "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_pu_toxicity": op10_pu_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Targets by the closed form of resharing; documents in the order of their seeded place.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(text, '')), 1, 12))::BIGINT AS place
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT source, n, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight FROM s),
+r AS (SELECT *, 2.0 * n / weight AS ratio, row_number() OVER (ORDER BY 2.0 * n / weight, source NULLS LAST) AS k,
+             coalesce(sum(2 * n) OVER (ORDER BY 2.0 * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS gone,
+             coalesce(sum(weight) OVER (ORDER BY 2.0 * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS gone_weight,
+             (sum(n) OVER ())::DOUBLE * 1.5 AS total, (sum(weight) OVER ())::DOUBLE AS weights FROM w),
+f AS (SELECT min(k) AS k FROM r WHERE (total - gone) / (weights - gone_weight) * weight <= 2 * n),
+c AS (SELECT (total - gone) / (weights - gone_weight) AS level, r.k FROM r JOIN f ON r.k = f.k),
+t AS (SELECT r.source, r.n, CASE WHEN r.k < c.k THEN 2.0 * r.n ELSE c.level * r.weight END::DOUBLE AS target FROM r, c),
+q AS (SELECT *, least(2, CASE WHEN n > 0 THEN CAST(round_even(target, 0) AS BIGINT) // n ELSE 0 END) AS base FROM t),
+g AS (SELECT d.*, q.n AS source_size, q.target, q.base, CAST(round_even(q.target, 0) AS BIGINT) - q.base * q.n AS extra,
+             sum(size) OVER (PARTITION BY d.source ORDER BY place) AS upto,
+             sum(size) OVER (PARTITION BY d.source, place) AS here
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target,
+       (size * (base + CASE WHEN extra > 0 AND upto - here / 2.0 <= extra THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
