@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, mixing, pu_ops, simhash
+from . import decision_list, decontaminate, mixing, pu_ops, simhash, warc
 from .common import table
 
 
@@ -25,6 +25,13 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_ops.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, sf_dir, "pages"))
+    # The digest is that of the bytes read, and must be the one the header gives.
+    same = F.when(F.col("sha1") == F.col("digest"), F.col("sha1")).otherwise(F.raise_error(F.lit("a payload does not match its header")))
+    return read.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
@@ -44,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decision_list": op2_decision_list,
     "op3_pu_quality": op3_pu_quality,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_pu_toxicity": op10_pu_toxicity,
@@ -73,4 +81,14 @@ SELECT doc_id, size, source_size, target,
 FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+_FIVE_BITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_FIVE_BITS} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL, "op8_mixing": OP8_SQL}
