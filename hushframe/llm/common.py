@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null ids fall in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def utf8(column: pa.Array) -> Iterator[bytes]:
+    """The texts of an Arrow column as UTF-8, empty for null; few are Python objects at a time."""
+    raw = column.cast(pa.binary())
+    for i in range(0, len(raw), 64):
+        for value in raw.slice(i, 64).to_pylist():
+            yield value or b""
