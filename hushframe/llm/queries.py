@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, mixing, pu_ops, simhash, warc
+from . import decision_list, decontaminate, mixing, pu_ops, secret_scan, simhash, warc
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_ops.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_format")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(table(spark, sf_dir, "pages"))
     # The digest is that of the bytes read, and must be the one the header gives.
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decision_list": op2_decision_list,
     "op3_pu_quality": op3_pu_quality,
+    "op4_secrets": op4_secrets,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
