@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, mixing, pu_ops, secret_scan, simhash, warc
+from . import decision_list, decontaminate, mixing, pu_ops, secret_scan, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_format")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(table(spark, sf_dir, "pages"))
     # The digest is that of the bytes read, and must be the one the header gives.
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decision_list": op2_decision_list,
     "op3_pu_quality": op3_pu_quality,
     "op4_secrets": op4_secrets,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
