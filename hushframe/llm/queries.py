@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, mixing, pu_ops, secret_scan, simhash, substring_dedup, warc
+from . import decision_list, decontaminate, language_model, mixing, pu_ops, secret_scan, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(table(spark, sf_dir, "pages"))
     # The digest is that of the bytes read, and must be the one the header gives.
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pu_quality": op3_pu_quality,
     "op4_secrets": op4_secrets,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_model": op6_language_model,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
