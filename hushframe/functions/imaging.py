@@ -1,0 +1,249 @@
+"""Grey images as numpy arrays (rows, columns) of uint8: change, motion and template search."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+BLOCK, CHANGED = 16, 8
+Rect = tuple[int, int, int, int]  # x, y, width, height
+
+
+def luma(bgra: np.ndarray) -> np.ndarray:
+    """Grey of (rows, columns, 4) blue, green, red and alpha."""
+    b, g, r = (bgra[..., i].astype(np.int32) for i in range(3))
+    return ((29 * b + 150 * g + 77 * r) >> 8).astype(np.uint8)
+
+
+def halved(image: np.ndarray) -> np.ndarray:
+    """Means of 2 x 2 pixels."""
+    h, w = image.shape[0] // 2 * 2, image.shape[1] // 2 * 2
+    parts = image[:h, :w].astype(np.int32).reshape(h // 2, 2, w // 2, 2)
+    return ((parts.sum((1, 3)) + 2) >> 2).astype(np.uint8)
+
+
+def strips(width: int, strip: int = 128) -> list[tuple[int, int]]:
+    """(left, width) of the strips read in full: at a tenth, a half and nine tenths; one in a narrow window."""
+    if width < 3 * strip:
+        size = min(width, strip)
+        return [((width - size) // 2, size)]
+    return [(min(max(0, width * k // 10 - strip // 2), width - strip), strip) for k in (1, 5, 9)]
+
+
+def crop(image: np.ndarray, rect: Rect) -> np.ndarray:
+    """A part of the image; what lies outside is 0."""
+    x, y, w, h = rect
+    out = np.zeros((max(0, h), max(0, w)), np.uint8)
+    l, t, r, b = max(x, 0), max(y, 0), min(x + w, image.shape[1]), min(y + h, image.shape[0])
+    if r > l and b > t:
+        out[t - y : b - y, l - x : r - x] = image[t:b, l:r]
+    return out
+
+
+def upscaled(image: np.ndarray, scale: int) -> np.ndarray:
+    """Bilinear enlargement with weights of 1/256."""
+
+    def weights(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = np.maximum((np.arange(size * scale) + 0.5) / scale - 0.5, 0)
+        low = np.minimum(f.astype(np.int64), size - 1)
+        return low, np.minimum(low + 1, size - 1), ((f - f.astype(np.int64)) * 256).astype(np.int64)
+
+    (y0, y1, ay), (x0, x1, ax) = weights(image.shape[0]), weights(image.shape[1])
+    wide = image.astype(np.int64)
+    across = wide[:, x0] * (256 - ax) + wide[:, x1] * ax
+    return ((across[y0] * (256 - ay)[:, None] + across[y1] * ay[:, None] + 32768) >> 16).astype(np.uint8)
+
+
+def block_differences(prev: np.ndarray, cur: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Mean absolute difference of every block to the earlier image moved down by shift, over every second row
+    and column; 255 for a block that reaches beyond the earlier image."""
+    h, w = cur.shape
+    rows, cols = -(-h // BLOCK), -(-w // BLOCK)
+    y = np.arange(0, h, 2)
+    inside = (y - shift >= 0) & (y - shift < h)
+    was = prev[np.clip(y - shift, 0, h - 1)][:, ::2].astype(np.int32)
+    by_pixel = np.abs(cur[::2, ::2].astype(np.int32) - was)
+    at_y, at_x = y // BLOCK, np.arange(0, w, 2) // BLOCK
+    sums, counts, out = np.zeros((rows, cols), np.int64), np.zeros((rows, cols), np.int64), np.zeros(rows, bool)
+    np.add.at(sums, (at_y[:, None], at_x[None]), by_pixel)
+    np.add.at(counts, (at_y[:, None], at_x[None]), 1)
+    np.logical_or.at(out, at_y, ~inside)
+    means = sums // np.maximum(counts, 1)
+    means[out] = 255
+    return means
+
+
+def new_blocks(prev: np.ndarray, cur: np.ndarray, shift: int = 0, threshold: int = CHANGED) -> np.ndarray:
+    """Blocks that changed and did not only move by shift, give or take a pixel; all of them after a change of size."""
+    if prev.shape != cur.shape:
+        return np.ones((-(-cur.shape[0] // BLOCK), -(-cur.shape[1] // BLOCK)), bool)
+    dirty = block_differences(prev, cur) > threshold
+    if shift:
+        for s in (shift, shift - 1, shift + 1):
+            dirty &= block_differences(prev, cur, s) > threshold
+    return dirty
+
+
+def _overlap(a: Rect, b: Rect) -> int:
+    return max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+
+
+def _around(a: Rect, b: Rect) -> Rect:
+    x, y = min(a[0], b[0]), min(a[1], b[1])
+    return x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y
+
+
+def merge_touching(rects: list[Rect]) -> list[Rect]:
+    """Rectangles that touch become one where one holds the other or the box around them is at most 30 % larger
+    than what they cover; the first pair in order merges, then all pairs are tried anew."""
+    found = list(rects)
+
+    def pair() -> tuple[int, int] | None:
+        for i, a in enumerate(found):
+            near = (a[0] - 1, a[1] - 1, a[2] + 2, a[3] + 2)
+            for j in range(i + 1, len(found)):
+                b = found[j]
+                if _overlap(near, b):
+                    common, box = _overlap(a, b), _around(a, b)
+                    size_a, size_b = a[2] * a[3], b[2] * b[3]
+                    if common in (size_a, size_b) or box[2] * box[3] <= (size_a + size_b - common) * 1.3:
+                        return i, j
+        return None
+
+    while (at := pair()) is not None:
+        found[at[0]] = _around(found[at[0]], found.pop(at[1]))
+    return found
+
+
+def rects_of(dirty: np.ndarray, width: int, height: int) -> list[Rect]:
+    """Runs of dirty blocks in each row as rectangles within the image, merged."""
+    found = []
+    for row in range(dirty.shape[0]):
+        edges = np.flatnonzero(np.diff(np.r_[False, dirty[row], False].astype(np.int8)))
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            x, y = first * BLOCK, row * BLOCK
+            found.append((x, y, min(last * BLOCK, width) - x, min(y + BLOCK, height) - y))
+    return merge_touching(found)
+
+
+def row_profile(image: np.ndarray) -> np.ndarray:
+    """Sum of the horizontal steps of each row."""
+    return np.abs(np.diff(image.astype(np.int32), axis=1)).sum(1)
+
+
+def changed_rows(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+    """Rows with a segment of 32 pixels whose every second pixel differs by more than 6 on average."""
+    steps = np.abs(cur[:, ::2].astype(np.int32) - prev[:, ::2].astype(np.int32))
+    starts = np.arange(0, steps.shape[1], 16)
+    sizes = np.maximum(1, (np.minimum(cur.shape[1], 2 * starts + 32) - 2 * starts) // 2)
+    return np.flatnonzero((np.add.reduceat(steps, starts, axis=1) // sizes > 6).any(1))
+
+
+def pixel_error(prev: np.ndarray, cur: np.ndarray, rows: np.ndarray, shift: int, scale: int = 2) -> float:
+    """Mean absolute difference over every second changed row to the earlier image moved by shift full pixels; an
+    odd shift at scale 2 lies between rows. Infinite if few rows can be compared."""
+    d0 = shift if scale == 1 else shift // 2
+    d1 = d0 + 1 if scale == 2 and shift % 2 else d0
+    y = rows[::2]
+    y = y[(y - d0 >= 0) & (y - d0 < len(prev)) & (y - d1 >= 0) & (y - d1 < len(prev))]
+    if not len(y) or 2 * len(y) < max(4, len(rows) // 3):
+        return np.inf
+    was = prev[y - d0].astype(np.int32)
+    if d1 != d0:
+        was = (was + prev[y - d1] + 1) >> 1
+    return float(np.abs(cur[y].astype(np.int32) - was).mean())
+
+
+def vertical_shift(prev: np.ndarray, cur: np.ndarray, most: int, expected: int = 0, scale: int = 2, minima: int = 40) -> int:
+    """How far the content moved down, in full pixels; 0 unless a shift explains at least half of the change.
+
+    Row profiles propose shifts, the former shift and its neighbours are tried too, pixels decide, and a near tie
+    goes to the shift nearest to the former one.
+    """
+    height = len(cur)
+    if height < 8 or prev.shape != cur.shape:
+        return 0
+    most = min(most, height * 2 // 3)
+    rows = changed_rows(prev, cur)
+    if len(rows) < max(4, height // 20):
+        return 0
+    a, b = row_profile(prev), row_profile(cur)
+    errors = {}
+    for d in range(-most, most + 1):
+        if d and height - abs(d) >= max(4, height // 3):
+            was, now = a[max(0, -d) : height - max(0, d)], b[max(0, d) : height + min(0, d)]
+            errors[d] = float(np.abs(now - was).mean()) if (now.sum() + was.sum()) else np.inf
+    dips = sorted((e, d) for d, e in errors.items() if e <= errors.get(d - 1, np.inf) and e <= errors.get(d + 1, np.inf))
+    near = [expected + s * k for k in range(5) for s in (1, -1)]
+    tried = dict.fromkeys([*near, *(d * scale + k for _, d in dips[:minima] for k in range(-2, 3))])
+    found = {d: e for d in tried if d and abs(d) <= most * scale and (e := pixel_error(prev, cur, rows, d, scale)) < np.inf}
+    if not found:
+        return 0
+    least = min(found.values())
+    best = min((abs(d - expected), i, d) for i, (d, e) in enumerate(found.items()) if e <= least * 1.01 + 0.01)[2]
+    return best if found[best] < 0.5 * pixel_error(prev, cur, rows, 0, scale) else 0
+
+
+@dataclass(frozen=True)
+class Template:
+    patch: np.ndarray
+
+    @property
+    def textured(self) -> bool:
+        return bool(self.patch.std() >= 6)
+
+
+def template(image: np.ndarray, rect: Rect) -> Template | None:
+    """A patch to look for; None if it is under 3 x 2 within the image."""
+    x, y, w, h = rect
+    l, t, r, b = max(0, x), max(0, y), min(image.shape[1], x + w), min(image.shape[0], y + h)
+    return Template(image[t:b, l:r].copy()) if r - l >= 3 and b - t >= 2 else None
+
+
+def likeness(image: np.ndarray, t: Template, x: int, y: int, step: int = 1) -> float:
+    """Correlation of the patch with the image at a place: -1 outside or for a flat patch, 0 for a flat image."""
+    h, w = t.patch.shape
+    if x < 0 or y < 0 or x + w > image.shape[1] or y + h > image.shape[0] or t.patch.std() < 1e-6:
+        return -1.0
+    seen, patch = image[y : y + h : step, x : x + w : step].astype(float), t.patch[::step, ::step].astype(float)
+    if seen.var() < 1:
+        return 0.0
+    return float(((seen * patch).mean() - seen.mean() * t.patch.mean()) / (seen.std() * t.patch.std()))
+
+
+def search(image: np.ndarray, t: Template, x: int, y: int, rx: int, ry: int, step: int = 1) -> tuple[int, int, float]:
+    """The best place around (x, y) and its likeness; the first of equals."""
+    places = [(px, py) for py in range(y - ry, y + ry + 1, step) for px in range(x - rx, x + rx + 1, step)]
+    scores = [likeness(image, t, px, py, step) for px, py in places]
+    best = int(np.argmax(scores))
+    return (*places[best], scores[best]) if scores[best] > -1 else (0, 0, -1.0)
+
+
+def search_wide(image: np.ndarray, t: Template, x: int, y: int, rx: int, ry: int) -> tuple[int, int, float]:
+    """Every second place first; then around the best of them, if it is at all like the patch."""
+    coarse = search(image, t, x, y, rx, ry, 2)
+    return coarse if coarse[2] < 0.4 else search(image, t, coarse[0], coarse[1], 2, 2)
+
+
+def same_item(a: np.ndarray, b: np.ndarray, least: float = 0.95) -> bool:
+    """Patches of about one size that correlate."""
+    if abs(a.shape[0] - b.shape[0]) > 1 or abs(a.shape[1] - b.shape[1]) > 1:
+        return False
+    h, w = min(a.shape[0], b.shape[0]), min(a.shape[1], b.shape[1])
+    x, y = a[:h, :w].astype(float), b[:h, :w].astype(float)
+    if x.var() < 1 or y.var() < 1:
+        return False
+    return bool(np.corrcoef(x.ravel(), y.ravel())[0, 1] >= least)
+
+
+def has_ink(image: np.ndarray, rect: Rect) -> bool:
+    """Whether 3 % of the horizontal steps in every second row are sharp."""
+    x, y, w, h = rect
+    part = image[max(0, y) : max(0, y + h) : 2, max(0, x) : max(0, x + w)].astype(np.int32)
+    steps = np.abs(np.diff(part, axis=1)) > 24
+    return steps.size > 0 and int(steps.sum()) * 100 >= steps.size * 3
+
+
+def same_frame(a: np.ndarray, b: np.ndarray) -> bool:
+    return a.shape == b.shape and bool(np.array_equal(a, b))
