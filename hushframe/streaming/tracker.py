@@ -1,0 +1,186 @@
+"""A stateful stream that keeps redaction boxes on moving content.
+
+Each window is a key. Its rows are frames (half size), results of reading (boxes found in a request), and
+control rows (rules that changed). State: the last frame, the page generation, how far the page has scrolled, the heat
+of its blocks, the boxes with their templates, and boxes that scrolled out of sight.
+"""
+
+from __future__ import annotations
+
+import json
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions import imaging as I
+from ..operators.frames import compare, image
+
+EVENTS = "window_id long, at_ms long, kind string, width int, height int, pixels binary, generation long, scroll long, rects string, rule_ids string"
+OUT = "window_id long, at_ms long, kind string, generation long, scroll long, velocity double, hot_blocks int, rescan boolean, boxes string"
+LOST_MS, REMEMBER_MS, MOST_REMEMBERED = 1500, 120_000, 300
+HOT, HEAT_GAIN, HALF_LIFE_MS = 120, 48, 250.0
+FOUND, FOUND_FAR, FAR_BUDGET, MISSES = 0.75, 0.9, 6, 2
+CONTINUOUS_MS, TIMED_MS = 50, 250
+
+
+@dataclass
+class Box:
+    rule_id: str
+    rect: tuple[int, int, int, int]  # in the half-size frame
+    patch: np.ndarray | None = None
+    lost_since: int | None = None
+    misses: int = 0
+
+
+@dataclass
+class Tracked:
+    frame: np.ndarray | None = None
+    at_ms: int = 0
+    generation: int = 0
+    scroll: int = 0  # full pixels, down is positive
+    shift: int = 0
+    velocity: float = 0.0
+    heat: np.ndarray | None = None
+    rescan: bool = True
+    boxes: list[Box] = field(default_factory=list)
+    remembered: list[tuple[Box, int, int]] = field(default_factory=list)  # box, page row, time
+
+
+def _new_page(s: Tracked) -> None:
+    s.generation += 1
+    s.scroll = s.shift = 0
+    s.velocity = 0.0
+    s.boxes, s.remembered, s.rescan = [], [], True
+
+
+def _follow(s: Tracked, box: Box, far: list[int]) -> bool:
+    """Find a box near where the shift puts it; else far away while there is budget for it."""
+    x, y, w, h = box.rect
+    t = I.Template(box.patch) if box.patch is not None else None
+    if t is None or not t.textured:
+        box.rect = (x, y + round(s.shift / 2), w, h)
+        return True
+    tries = dict.fromkeys([y, y + s.shift // 2, y - (-s.shift // 2)])
+    best = max((I.search(s.frame, t, x, at, 3, 3) for at in tries), key=lambda m: m[2])
+    if best[2] < FOUND and far[0] > 0:
+        far[0] -= 1
+        wide = I.search_wide(s.frame, t, x, y, 4, s.frame.shape[0] // 2)
+        best = wide if wide[2] >= FOUND_FAR else best
+    if best[2] < FOUND:
+        box.rect = (x, y + round(s.shift / 2), w, h)
+        return False
+    box.rect = (best[0], best[1], w, h)
+    return True
+
+
+def on_frame(s: Tracked, frame: np.ndarray, now: int) -> None:
+    before, elapsed = s.frame, now - s.at_ms
+    s.frame, s.at_ms = frame, now
+    if before is None or before.shape != frame.shape:
+        _new_page(s)
+        s.heat = np.zeros((-(-frame.shape[0] // I.BLOCK), -(-frame.shape[1] // I.BLOCK)), np.int64)
+        return
+    keep = int(256 * 0.5 ** (max(0, elapsed) / HALF_LIFE_MS))
+    s.heat = (s.heat * keep) >> 8
+    if I.same_frame(before, frame):
+        s.velocity, s.shift = 0.0, 0
+        return
+    hot = s.heat >= HOT
+    s.shift, dirty, _ = compare(before, frame, s.shift, frame.shape[0] // 3)
+    s.scroll += s.shift
+    s.velocity = s.shift / elapsed if 0 < elapsed <= CONTINUOUS_MS else 0.0
+    if s.shift == 0:
+        s.heat = np.minimum(255, s.heat + HEAT_GAIN * dirty)
+        calm = ~hot
+        if calm.any() and (dirty & calm).sum() >= 0.35 * calm.sum():
+            _new_page(s)
+            return
+    s.rescan = s.rescan or bool((dirty & ~hot).any())
+    far, kept = [FAR_BUDGET], []
+    for box in s.boxes:
+        if _follow(s, box, far):
+            box.lost_since = None
+        elif box.lost_since is None:
+            box.lost_since = now
+        x, y, w, h = box.rect
+        if y + h <= 0 or y >= frame.shape[0]:
+            s.remembered.append((box, 2 * y - s.scroll, now))
+        elif box.lost_since is None or now - box.lost_since <= LOST_MS:
+            kept.append(box)
+        else:
+            s.rescan = True
+    s.remembered = [m for m in s.remembered if now - m[2] <= REMEMBER_MS][-MOST_REMEMBERED:]
+    back = [m for m in s.remembered if 0 <= m[1] + s.scroll < 2 * frame.shape[0] and m[0] not in kept]
+    for box, row, _ in back:
+        box.rect = (box.rect[0], (row + s.scroll) // 2, *box.rect[2:])
+        kept.append(box)
+    s.remembered = [m for m in s.remembered if m not in back]
+    s.boxes = kept
+
+
+def _iou(a, b) -> float:
+    common = I._overlap(a, b)
+    return common / (a[2] * a[3] + b[2] * b[3] - common) if common else 0.0
+
+
+def on_result(s: Tracked, generation: int, scroll: int, found: list[dict], now: int) -> bool:
+    """Fold in what a reading found: moved by what the page has scrolled since; a reading of an older page is dropped."""
+    if generation != s.generation or s.frame is None:
+        return False
+    moved = round((s.scroll - scroll) / 2)
+    free, confirmed = list(s.boxes), []
+    for d in found:
+        rect = (d["x"], d["y"] + moved, d["w"], d["h"])
+        match = next((b for b in free if b.rule_id == d["rule_id"] and I._overlap(b.rect, rect)), None) or next((b for b in free if b.rule_id == d["rule_id"] and _iou(b.rect, rect) > 0.3), None)
+        t = I.template(s.frame, rect)
+        if match is None:
+            match = Box(d["rule_id"], rect)
+            s.boxes.append(match)
+        else:
+            free.remove(match)
+        match.rect, match.patch, match.lost_since, match.misses = rect, t.patch if t else None, None, 0
+        confirmed.append(match)
+    for box in free:
+        box.misses += 1
+    s.boxes = [b for b in s.boxes if b.misses < MISSES and not (b in free and b.lost_since is not None)]
+    s.rescan = False
+    return True
+
+
+def on_control(s: Tracked, unchanged: set[str]) -> None:
+    """Rules changed: boxes of others than the unchanged rules go, and the page is read again."""
+    s.boxes = [b for b in s.boxes if b.rule_id in unchanged]
+    s.remembered = [m for m in s.remembered if m[0].rule_id in unchanged]
+    s.rescan = True
+
+
+def _row(key: int, s: Tracked, at_ms: int, kind: str) -> tuple:
+    boxes = [{"rule_id": b.rule_id, "x": b.rect[0], "y": b.rect[1], "w": b.rect[2], "h": b.rect[3]} for b in s.boxes]
+    hot = int((s.heat >= HOT).sum()) if s.heat is not None else 0
+    return key, at_ms, kind, s.generation, s.scroll, s.velocity, hot, s.rescan, json.dumps(boxes)
+
+
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    s: Tracked = pickle.loads(state.get[0]) if state.exists else Tracked()
+    rows = pd.concat(list(batches)).sort_values(["at_ms", "kind"], kind="stable")
+    out = []
+    for r in rows.itertuples():
+        if r.kind == "frame":
+            on_frame(s, image(r.pixels, int(r.width), int(r.height)).copy(), int(r.at_ms))
+        elif r.kind == "result":
+            on_result(s, int(r.generation), int(r.scroll), json.loads(r.rects), int(r.at_ms))
+        else:
+            on_control(s, set(json.loads(r.rule_ids)))
+        out.append(_row(key[0], s, int(r.at_ms), r.kind))
+    state.update((pickle.dumps(s),))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+
+def track(events: DataFrame) -> DataFrame:
+    """A streaming DataFrame with a row for each row of events: where the boxes of its window are then."""
+    return events.groupBy("window_id").applyInPandasWithState(_step, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
