@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import pattern_spans
-
-TRIM = r"[.,;:!?)\]\"']+$"
+TRIM = ".,;:!?)]\"'"
+_WORDS = re.compile(r"\S+")
+_SPANS = "array<struct<start:int,length:int,text:string>>"
 
 
 def normalised(value: Column) -> Column:
@@ -36,39 +38,40 @@ def ratio(a: str, b: str) -> int:
     return round(200 * int(row[-1]) / (len(a) + len(b)))
 
 
+def _search(text: str, target: str, width: int, threshold: int, memo: dict[str, int]) -> list[dict]:
+    """Windows of about width words that score at least the threshold; of overlapping ones the best, then the first."""
+    words = [m.span() for m in _WORDS.finditer(text)]
+    slack, found = max(2, len(target) // 3), []
+    for k in dict.fromkeys(k for k in (width, width - 1, width + 1) if k >= 1):
+        for i in range(len(words) - k + 1):
+            start, end = words[i][0], words[i + k - 1][1]
+            if end - start + slack < len(target):  # normalised text is never longer
+                continue
+            raw = text[start:end].rstrip(TRIM)
+            plain = normalise(raw) if raw else ""
+            if raw and abs(len(plain) - len(target)) <= slack:
+                if plain not in memo:
+                    memo[plain] = ratio(target, plain)
+                if memo[plain] >= threshold:
+                    found.append((-memo[plain], start, len(found), start + len(raw)))
+    kept: list[tuple[int, int]] = []
+    for _, start, _, end in sorted(found):
+        if not any(start < e and s < end for s, e in kept):
+            kept.append((start, end))
+    return [{"start": s, "length": e - s, "text": text[s:e]} for s, e in sorted(kept)]
+
+
 def fuzzy_spans(text: Column, pattern: str, threshold: int = 85) -> Column:
     """array<struct<start,length,text>>: windows of as many words as the pattern has, one fewer or one more, that
-    score at least the threshold; of overlapping ones the best stays, then the first."""
+    are like it; each batch of texts scores a window's normalised text once."""
     target = normalise(pattern)
     if not target:
-        return F.array().cast("array<struct<start:int,length:int,text:string>>")
-    w = max(1, len(pattern.split()))
-    words = pattern_spans(text, r"(?U)\S+")
-    slack = max(2, len(target) // 3)
-    windows = []
-    for rank, k in enumerate(dict.fromkeys(k for k in (w, w - 1, w + 1) if k >= 1)):
-        def window(i: Column, rank: int, k: int) -> Column:
-            first, last = F.get(words, i), F.get(words, i + k - 1)
-            raw = F.substring(text, first["start"] + 1, last["start"] + last["length"] - first["start"])
-            cut = F.regexp_replace(raw, TRIM, "")
-            return F.struct(first["start"].alias("start"), cut.alias("text"), normalised(cut).alias("plain"), F.lit(rank).alias("rank"))
-
-        starts = F.sequence(F.lit(0), F.size(words) - k)
-        windows.append(F.when(F.size(words) >= k, F.transform(starts, _bind(window, rank, k))).otherwise(F.array().cast("array<struct<start:int,text:string,plain:string,rank:int>>")))
-    near = F.filter(F.concat(*windows), lambda c: (c["text"] != "") & (F.abs(F.length(c["plain"]) - len(target)) <= slack))
-
-    @F.pandas_udf("array<int>")
-    def scores(plain: pd.Series) -> pd.Series:
-        memo: dict[str, int] = {}
-        return plain.map(lambda row: [memo.setdefault(p, memo[p] if p in memo else ratio(target, p)) for p in row] if row is not None else None)
-
-    scored = F.zip_with(near, scores(F.transform(near, lambda c: c["plain"])), lambda c, s: F.struct((-s).alias("score"), c["start"].alias("start"), c["rank"].alias("rank"), F.length(c["text"]).alias("length"), c["text"].alias("text")))
-    good = F.array_sort(F.filter(scored, lambda c: c["score"] <= -threshold))
-    empty = F.array().cast("array<struct<start:int,length:int,text:string>>")
-    overlaps = lambda a, c: F.exists(a, lambda o: (c["start"] < o["start"] + o["length"]) & (o["start"] < c["start"] + c["length"]))
-    add = lambda acc, c: F.when(overlaps(acc, c), acc).otherwise(F.concat(acc, F.array(F.struct(c["start"].alias("start"), c["length"].alias("length"), c["text"].alias("text")))))
-    return F.array_sort(F.aggregate(good, empty, add))
+        return F.array().cast(_SPANS)
+    width = max(1, len(pattern.split()))
 
+    @F.pandas_udf(_SPANS)
+    def run(texts: pd.Series) -> pd.Series:
+        memo: dict[str, int] = {}
+        return texts.map(lambda t: _search(t or "", target, width, threshold, memo))
 
-def _bind(window, rank: int, k: int):
-    return lambda i: window(i, rank, k)
+    return run(text)
