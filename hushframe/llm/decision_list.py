@@ -110,6 +110,8 @@ def _grow(rows: DataFrame, edges: dict[str, list[float]], settings: Settings) ->
     rule: list[Condition] = []
     while len(rule) < settings.conditions:
         bins = [F.struct(F.lit(name).alias("name"), _bin(name, e).alias("bin")) for name, e in edges.items() if e]
+        if not bins:  # no labels, so no edges
+            break
         counted = rows.where(_all(rule)).select("poor", F.explode(F.array(*bins)).alias("b")).groupBy("b.name", "b.bin").agg(F.sum("poor").alias("p"), F.count("*").alias("n"))
         table: dict[str, dict[int, tuple[int, int]]] = {}
         for r in counted.collect():  # a row for each statistic and bin
