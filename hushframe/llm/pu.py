@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, utf8
 
 STYLE = ("words", "word_length", "distinct", "upper", "digit", "symbol", "non_ascii", "repeated_lines", "same_as_last", "line_words")
 BINS = 8
@@ -82,10 +82,6 @@ def describe(text: bytes) -> tuple[list[float], set[bytes]]:
     ], marks
 
 
-def _texts(column: pa.Array) -> Iterator[bytes]:
-    return (x or b"" for x in column.cast(pa.binary()).to_pylist())
-
-
 def _sample(docs: DataFrame, positives: DataFrame, sizes: Sizes) -> DataFrame:
     """(text, pos, unl): texts of at most so many positives and of at most so many documents, labelled or not."""
     order = F.xxhash64("doc_id", F.lit(sizes.seed))
@@ -99,7 +95,7 @@ def _sample(docs: DataFrame, positives: DataFrame, sizes: Sizes) -> DataFrame:
 
 def _all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = pa.array([list(describe(t)[1]) for t in _texts(batch.column(0))], pa.list_(pa.binary()))
+        marks = pa.array([list(describe(t)[1]) for t in utf8(batch.column(0))], pa.list_(pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), marks], ["pos", "unl", "marks"])
 
 
@@ -120,9 +116,9 @@ def _featurised(numbers: dict[bytes, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [describe(t) for t in _texts(batch.column(0))]
+            rows = [(s, sorted(numbers[m] for m in known & marks)) for s, marks in map(describe, utf8(batch.column(0)))]
             style = pa.array([s for s, _ in rows], pa.list_(pa.float64()))
-            found = pa.array([sorted(numbers[m] for m in known & marks) for _, marks in rows], pa.list_(pa.int32()))
+            found = pa.array([f for _, f in rows], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), style, found], ["pos", "unl", "style", "found"])
 
     return run
@@ -208,20 +204,22 @@ def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes(), prior: fl
     return Model(prior, float(w[0]), edges, [w[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)], {k: float(w[offsets[-1] + i]) for k, i in marks.items() if w[offsets[-1] + i]})
 
 
-def _scorer(model: Model):
-    weight = model.marks
-    known = weight.keys()
+def _logits(model: Model, texts: pa.Array) -> np.ndarray:
+    z = np.full(len(texts), model.bias)
+    if model.edges and len(texts):
+        weight, known = model.marks, model.marks.keys()
+        rows = [(s, sum(map(weight.__getitem__, known & marks))) for s, marks in map(describe, utf8(texts))]
+        bins = _bins(np.array([s for s, _ in rows]), model.edges)
+        z += np.array([extra for _, extra in rows])
+        for j, w in enumerate(model.style):
+            z += np.array(w)[bins[:, j]]
+    return z
 
+
+def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.full(batch.num_rows, model.bias)
-            if model.edges and batch.num_rows:
-                rows = [describe(t) for t in _texts(batch.column(1))]
-                bins = _bins(np.array([s for s, _ in rows]), model.edges)
-                z += np.array([sum(map(weight.__getitem__, known & marks)) for _, marks in rows])
-                for j, w in enumerate(model.style):
-                    z += np.array(w)[bins[:, j]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(z))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(_logits(model, batch.column(1))))], ["doc_id", "score"])
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, row_key
+from .common import cut, row_key, utf8
 from .components import components
 
 BITS, BLOCKS, MAX_DISTANCE, SHINGLE, SEED = 64, 5, 3, 3, 42
@@ -50,8 +50,7 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(2).cast(pa.binary()).to_pylist()
-        prints = pa.array([fingerprint(t or b"") for t in texts], pa.int64())
+        prints = pa.array(map(fingerprint, utf8(batch.column(2))), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], ["doc_id", "row_key", "print"])
 
 
