@@ -230,6 +230,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_scorer(model), f"doc_id {kind}, score double")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of docs, with all columns, whose text scores at least the threshold."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_sigmoid(_logits(model, batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trusted(labels: DataFrame, column: str) -> DataFrame:
     """(doc_id): ids whose labels in the column are all 1; null ids and labels are left out."""
     known = labels.select("doc_id", F.col(column).alias("label")).where("doc_id is not null and label is not null")
