@@ -32,7 +32,7 @@ def save_rules(spark: SparkSession, rules: Iterable[Rule], path: str, key: str)
     key: 16, 24 or 32 characters. The file is as safe as the key, which belongs in a secret store.
     """
     text = json.dumps([asdict(r) for r in rules])
-    row = spark.createDataFrame([(text, key)], "t string, k string").select(F.base64(F.aes_encrypt("t", "k", F.lit("GCM"))).alias("value"))
+    row = spark.createDataFrame([(text, key)], "t string, k string").select(F.hex(F.aes_encrypt("t", "k", F.lit("GCM"))).alias("value"))
     row.coalesce(1).write.mode("overwrite").text(path + ".tmp")
     fs, target, to_path = _filesystem(spark, path)
     if fs.exists(target):
@@ -45,12 +45,12 @@ def load_rules(spark: SparkSession, path: str, key: str) -> list[Rule]:
     fs, target, to_path = _filesystem(spark, path)
     if not fs.exists(target):
         return []
-    read = spark.read.text(path).select(F.try_aes_decrypt(F.unbase64("value"), F.lit(key), F.lit("GCM")).cast("string").alias("t"))
+    read = spark.read.text(path).select(F.try_aes_decrypt(F.unhex("value"), F.lit(key), F.lit("GCM")).cast("string").alias("t"))
     try:
         rows = [r["t"] for r in read.collect()]
         known = {f.name for f in fields(Rule)}
         return [Rule(**{k: v for k, v in r.items() if k in known}) for t in rows for r in json.loads(t)]
-    except Exception:  # a wrong key, a damaged file or other content
+    except (TypeError, ValueError):  # a wrong key, a damaged file or other content
         backup = to_path(path + ".unreadable")
         spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, backup, False, True, spark._jsc.hadoopConfiguration())
         return []

@@ -159,6 +159,20 @@ def on_control(s: Tracked, unchanged: set[str]) -> None:
     s.rescan = True
 
 
+def _pack(s: Tracked) -> bytes:
+    """The state as plain values, so that it outlives the classes of this version."""
+    box = lambda b: [b.rule_id, b.rect, b.patch, b.lost_since, b.misses]
+    plain = vars(s) | {"boxes": [box(b) for b in s.boxes], "remembered": [(box(b), row, at) for b, row, at in s.remembered]}
+    return pickle.dumps(plain)
+
+
+def _unpack(data: bytes) -> Tracked:
+    plain = pickle.loads(data)
+    plain["boxes"] = [Box(*b) for b in plain["boxes"]]
+    plain["remembered"] = [(Box(*b), row, at) for b, row, at in plain["remembered"]]
+    return Tracked(**plain)
+
+
 def _row(key: int, s: Tracked, at_ms: int, kind: str) -> tuple:
     boxes = [{"rule_id": b.rule_id, "x": b.rect[0], "y": b.rect[1], "w": b.rect[2], "h": b.rect[3]} for b in s.boxes]
     hot = int((s.heat >= HOT).sum()) if s.heat is not None else 0
@@ -166,7 +180,7 @@ def _row(key: int, s: Tracked, at_ms: int, kind: str) -> tuple:
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s: Tracked = pickle.loads(state.get[0]) if state.exists else Tracked()
+    s = _unpack(state.get[0]) if state.exists else Tracked()
     rows = pd.concat(list(batches)).sort_values(["at_ms", "kind"], kind="stable")
     out = []
     for r in rows.itertuples():
@@ -177,7 +191,7 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         else:
             on_control(s, set(json.loads(r.rule_ids)))
         out.append(_row(key[0], s, int(r.at_ms), r.kind))
-    state.update((pickle.dumps(s),))
+    state.update((_pack(s),))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
