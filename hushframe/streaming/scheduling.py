@@ -1,0 +1,194 @@
+"""What of a tracked window is to be read next, and what is remembered of what was read.
+
+Everything here is plain values in and out, so that it can live in the state of a stream.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from ..functions import imaging as I
+
+Span = tuple[int, int]
+MOST_SPANS, MOST_KNOWN = 64, 32
+SETTLE_MS, HOT_EVERY_MS, REREAD_MS, IDLE_MS = 150, 500, 60_000, 80
+NEAR, BAND, MARGIN, SLIVER = 48, 600, 12, 6
+DETAIL_HEIGHT, DETAIL_STEP = 320, 290
+RECALL, WORTH_A_SEARCH = 0.85, 0.6
+UNREAD_AREA = 3072
+
+
+def without(spans: list[Span], gone: list[Span]) -> list[Span]:
+    """The parts of spans outside gone, both half-open: sweep over all ends and keep stretches of the one only."""
+    ends = sorted({e for s in [*spans, *gone] for e in s})
+    inside = lambda group, x: any(lo <= x < hi for lo, hi in group)
+    return united([(a, b) for a, b in zip(ends, ends[1:], strict=False) if inside(spans, a) and not inside(gone, a)])
+
+
+def united(spans: list[Span]) -> list[Span]:
+    """Sorted union; spans that touch are one. Of more than MOST_SPANS the first are forgotten."""
+    out: list[Span] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out[-MOST_SPANS:]
+
+
+def cut_out(rects: list[I.Rect], hole: I.Rect) -> list[I.Rect]:
+    """Rectangles without a hole, each as up to four bands."""
+    out = []
+    for x, y, w, h in rects:
+        l, t = max(x, hole[0]), max(y, hole[1])
+        r, b = min(x + w, hole[0] + hole[2]), min(y + h, hole[1] + hole[3])
+        if r <= l or b <= t:
+            out.append((x, y, w, h))
+            continue
+        bands = [(x, y, w, t - y), (x, b, w, y + h - b), (x, t, l - x, b - t), (r, t, x + w - r, b - t)]
+        out += [q for q in bands if q[2] > 0 and q[3] > 0]
+    return out
+
+
+def within(rect: I.Rect, width: int, height: int) -> I.Rect | None:
+    x, y, w, h = rect
+    l, t, r, b = max(0, x), max(0, y), min(width, x + w), min(height, y + h)
+    return (l, t, r - l, b - t) if r > l and b > t else None
+
+
+@dataclass
+class Work:
+    """Areas that wait to be read, in full pixels of the window, and page rows that were read."""
+
+    width: int
+    height: int
+    pending: list[I.Rect] = field(default_factory=list)
+    read: list[Span] = field(default_factory=list)
+    whole: bool = True
+    whole_from_ms: int = 0
+    whole_at_ms: int = 0
+    detail: int | None = None
+    hot_at_ms: int = -HOT_EVERY_MS
+
+    def resized(self, width: int, height: int, now: int) -> None:
+        """A new size is read as a whole, once it has settled."""
+        self.width, self.height, self.pending, self.read = width, height, [], []
+        self.whole, self.whole_from_ms = True, now + SETTLE_MS
+
+    def add(self, rect: I.Rect) -> None:
+        if (inside := within(rect, self.width, self.height)) is not None:
+            self.pending = I.merge_touching([*self.pending, inside])
+
+    def scrolled(self, dy: int) -> None:
+        moved = (within((x, y + dy, w, h), self.width, self.height) for x, y, w, h in self.pending)
+        self.pending = [r for r in moved if r is not None]
+
+    def changed(self, rect: I.Rect, shift: int, scroll: int) -> None:
+        """Queue a change. What scrolls in counts only where its page rows were not read before; a wide
+        change in place makes its rows unread."""
+        rows = (rect[1] - scroll, rect[1] + rect[3] - scroll)
+        edge = (self.height + shift - 32, self.height) if shift < 0 else (0, shift + 32)
+        if shift and edge[0] <= max(0, rect[1]) and min(self.height, rect[1] + rect[3]) <= edge[1]:
+            for lo, hi in without([rows], self.read):
+                self.add((rect[0], lo + scroll, rect[2], hi - lo))
+            return
+        if rect[2] >= self.width / 4:
+            self.read = without(self.read, [rows])
+        self.add(rect)
+
+    def next(self, now: int, velocity: float, is_hot: Callable[[I.Rect], bool]) -> dict | None:
+        """The next part to read: the whole window, else the newest changes, else a strip in detail."""
+        if not self.whole and not self.pending and self.detail is None and now - self.whole_at_ms > REREAD_MS:
+            self.whole, self.whole_from_ms = True, now
+        if self.whole and now >= self.whole_from_ms:
+            scale = 2 if self.width * self.height <= 300_000 else 1
+            self.whole, self.whole_at_ms, self.pending, self.detail = False, now, [], 0 if scale == 1 else None
+            return {"crop": (0, 0, self.width, self.height), "scale": scale, "whole": True}
+        ready = [r for r in self.pending if now - self.hot_at_ms >= HOT_EVERY_MS or not is_hot(r)]
+        if ready:
+            crop = self._band(ready, velocity)
+            if any(is_hot(r) and I._overlap(r, crop) for r in ready):
+                self.hot_at_ms = now
+            self.pending = [r for r in cut_out(self.pending, crop) if r[3] >= SLIVER]
+            return {"crop": crop, "scale": 2 if crop[2] * crop[3] <= 900_000 else 1, "whole": False}
+        if self.detail is not None:
+            top = self.detail
+            self.detail = top + DETAIL_STEP if top + DETAIL_STEP < self.height else None
+            return {"crop": (0, top, self.width, min(DETAIL_HEIGHT, self.height - top)), "scale": 2, "whole": False}
+        return None
+
+    def _band(self, ready: list[I.Rect], velocity: float) -> I.Rect:
+        """A full-width band around the newest change and those near it: at the edge that content comes in from."""
+        newest = {-1: lambda r: r[1] + r[3], 0: lambda r: r[2] * r[3], 1: lambda r: -r[1]}[int(np.sign(velocity))]
+        first = max(ready, key=newest)
+        # Rows of changes, widened by half the distance that still counts as near, join where they overlap.
+        half = NEAR // 2
+        groups = united([(r[1] - half, r[1] + r[3] + half) for r in ready])
+        lo, hi = next(g for g in groups if g[0] <= first[1] < g[1])
+        top, bottom = max(0, lo + half - MARGIN), min(self.height, hi - half + MARGIN)
+        if bottom - top > BAND:
+            top, bottom = (bottom - BAND, bottom) if velocity < 0 else (top, top + BAND)
+        return 0, top, self.width, bottom - top
+
+    def done(self, crop: I.Rect, scroll: int) -> None:
+        self.read = united([*self.read, (crop[1] - scroll, crop[1] + crop[3] - scroll)])
+
+
+@dataclass
+class Known:
+    """An item that was confirmed before, where it was last seen."""
+
+    rule_id: str
+    rect: I.Rect
+    patch: np.ndarray
+    seen_ms: int
+
+
+def learn(known: list[Known], rule_id: str, rect: I.Rect, patch: np.ndarray, now: int) -> list[Known]:
+    """known with an item added or renewed; of more than MOST_KNOWN the one not seen for longest goes."""
+    same = lambda k: k.rule_id == rule_id and (I.same_item(k.patch, patch) or max(abs(k.rect[0] - rect[0]), abs(k.rect[1] - rect[1]), abs(k.rect[2] - rect[2])) <= 2)
+    rest = [k for k in known if not same(k)]
+    return sorted([*rest, Known(rule_id, rect, patch, now)], key=lambda k: k.seen_ms)[-MOST_KNOWN:]
+
+
+def recall(known: list[Known], frame: np.ndarray, changed: list[I.Rect] | None, taken: list[tuple[str, I.Rect]]) -> list[Known]:
+    """Known items that are back where they were last seen, newest first; all are tried on a new page (changed is
+    None), else those that a change touches. Items that a box of their rule covers are left out."""
+    back = []
+    for k in sorted(known, key=lambda k: -k.seen_ms):
+        if changed is not None and not any(I._overlap(c, k.rect) for c in changed):
+            continue
+        if any(rule == k.rule_id and I._overlap(r, k.rect) for rule, r in taken):
+            continue
+        t = I.Template(k.patch)
+        x, y = k.rect[:2]
+        score = I.likeness(frame, t, x, y)
+        if WORTH_A_SEARCH <= score < RECALL:
+            x, y, score = I.search(frame, t, x, y, 2, 2)
+        if score >= RECALL:
+            back.append(Known(k.rule_id, (x, y, *k.rect[2:]), k.patch, k.seen_ms))
+    return back
+
+
+def frame_interval_ms(scrolling: bool, boxes: int, animated: float) -> int:
+    """Least time between frames of a window: none while it scrolls, longer where it is mostly animated and hides nothing."""
+    return 0 if scrolling else 66 if not boxes and animated > 0.3 else 33
+
+
+def distinct_boxes(boxes: list[tuple[str, I.Rect]]) -> list[tuple[str, I.Rect]]:
+    """Boxes without those that share over half of an earlier one of their rule."""
+    kept: list[tuple[str, I.Rect]] = []
+    for rule, r in boxes:
+        meets = (I._overlap(r, q) / (r[2] * r[3] + q[2] * q[3] - I._overlap(r, q)) for other, q in kept if other == rule)
+        if all(share <= 0.5 for share in meets):
+            kept.append((rule, r))
+    return kept
+
+
+def unread_areas(work: Work, frame: np.ndarray, is_hot: Callable[[I.Rect], bool]) -> list[I.Rect]:
+    """In strict mode, what must stay covered until it is read: larger areas with ink that are not animated."""
+    half = lambda r: (r[0] // 2, r[1] // 2, -(-r[2] // 2), -(-r[3] // 2))
+    return [r for r in work.pending if r[2] * r[3] >= UNREAD_AREA and not is_hot(r) and I.has_ink(frame, half(r))]

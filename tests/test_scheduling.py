@@ -1,0 +1,83 @@
+"""What is read next, and what is remembered."""
+
+import random
+
+import numpy as np
+
+from hushframe.functions import imaging as I
+from hushframe.streaming import scheduling as S
+
+cold = lambda r: False
+
+
+def test_spans_against_cells():
+    rng = random.Random(1)
+    cells = lambda spans: {x for lo, hi in spans for x in range(lo, hi)}
+    for _ in range(200):
+        a, b = ([(lo, lo + rng.randrange(1, 6)) for lo in rng.sample(range(30), 4)] for _ in range(2))
+        assert cells(S.without(a, b)) == cells(a) - cells(b) and cells(S.united(a)) == cells(a)
+
+
+def test_order_of_reading():
+    w = S.Work(1000, 1400)
+    w.resized(1000, 1400, 0)
+    assert w.next(100, 0, cold) is None
+    assert w.next(150, 0, cold) == {"crop": (0, 0, 1000, 1400), "scale": 1, "whole": True}
+    w.add((10, 500, 50, 20))
+    w.add((10, 540, 50, 20))
+    w.add((10, 1200, 50, 20))
+    assert w.next(160, -1.0, cold)["crop"] == (0, 1188, 1000, 44)
+    assert w.next(170, 0.0, cold)["crop"] == (0, 488, 1000, 84) and w.pending == []
+    tops = []
+    while (r := w.next(180, 0, cold)) is not None:
+        tops.append(r["crop"][1])
+    assert tops == [0, 290, 580, 870, 1160]
+    assert w.next(60_200, 0, cold)["whole"]
+
+
+def test_scrolling_back_is_not_read_again():
+    w = S.Work(400, 300, whole=False)
+    w.done((0, 0, 400, 300), 0)
+    w.changed((0, 280, 400, 20), -20, -20)
+    assert w.pending == [(0, 280, 400, 20)]
+    w.pending = []
+    w.changed((0, 0, 400, 20), 20, 0)
+    assert w.pending == []
+    w.changed((0, 100, 400, 20), 0, 0)
+    assert w.pending == [(0, 100, 400, 20)] and w.read == [(0, 100), (120, 300)]
+    w.scrolled(250)
+    assert w.pending == []
+
+
+def test_hot_areas_wait():
+    w = S.Work(400, 300, whole=False)
+    hot = lambda r: True
+    w.add((0, 0, 40, 40))
+    assert w.next(0, 0, hot) and w.hot_at_ms == 0
+    w.add((0, 0, 40, 40))
+    assert w.next(400, 0, hot) is None and w.next(500, 0, hot) is not None
+
+
+def test_known_items_come_back():
+    rng = np.random.default_rng(2)
+    frame = rng.integers(0, 255, (100, 100)).astype(np.uint8)
+    known = S.learn([], "r", (20, 30, 12, 8), frame[30:38, 20:32], 1)
+    known = S.learn(known, "r", (21, 30, 12, 8), frame[30:38, 20:32], 2)
+    assert len(known) == 1 and known[0].seen_ms == 2
+    known = S.learn([], "r", (20, 30, 12, 8), frame[30:38, 20:32], 1)
+    assert [k.rect for k in S.recall(known, frame, None, [])] == [(20, 30, 12, 8)]
+    assert S.recall(known, frame, [(0, 0, 5, 5)], []) == [] and S.recall(known, frame, None, [("r", (20, 30, 3, 3))]) == []
+    assert S.recall(known, 255 - frame, None, []) == []
+    many = []
+    for i in range(40):
+        many = S.learn(many, str(i), (i, 0, 5, 5), rng.integers(0, 255, (5, 5)).astype(np.uint8), i)
+    assert len(many) == S.MOST_KNOWN and min(k.seen_ms for k in many) == 8
+
+
+def test_small_rules():
+    assert [S.frame_interval_ms(*x) for x in ((True, 0, 1.0), (False, 0, 0.5), (False, 1, 0.5))] == [0, 66, 33]
+    assert S.distinct_boxes([("a", (0, 0, 10, 10)), ("a", (1, 0, 10, 10)), ("b", (0, 0, 10, 10))]) == [("a", (0, 0, 10, 10)), ("b", (0, 0, 10, 10))]
+    w = S.Work(400, 300, pending=[(0, 0, 100, 100), (200, 0, 10, 10)])
+    noisy = np.random.default_rng(1).integers(0, 255, (150, 200)).astype(np.uint8)
+    assert S.unread_areas(w, noisy, cold) == [(0, 0, 100, 100)] and S.unread_areas(w, np.zeros((150, 200), np.uint8), cold) == []
+    assert I.merge_touching([]) == []
