@@ -1,8 +1,9 @@
 """A stateful stream that keeps redaction boxes on moving content.
 
-Each window is a key. Its rows are frames (half size), results of reading (boxes found in a request), and
-control rows (rules that changed). State: the last frame, the page generation, how far the page has scrolled, the heat
-of its blocks, the boxes with their templates, and boxes that scrolled out of sight.
+Each window is a key. Its rows are frames (half size), results of reading (boxes found in a request), control rows
+(rules that changed) and idle rows (no frame for a while). State: the last frame, the page generation, how far the page has
+scrolled, the heat of its blocks, the boxes with their templates, boxes that scrolled out of sight, items known from before,
+and what is to be read next.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import imaging as I
 from ..operators.frames import compare, image
+from . import scheduling
 
-EVENTS = "window_id long, at_ms long, kind string, width int, height int, pixels binary, generation long, scroll long, rects string, rule_ids string"
-OUT = "window_id long, at_ms long, kind string, generation long, scroll long, velocity double, hot_blocks int, rescan boolean, boxes string"
+EVENTS = "window_id long, at_ms long, kind string, width int, height int, pixels binary, generation long, scroll long, rects string, rule_ids string, crop string"
+OUT = "window_id long, at_ms long, kind string, generation long, scroll long, velocity double, hot_blocks int, rescan boolean, boxes string, request string"
 LOST_MS, REMEMBER_MS, MOST_REMEMBERED = 1500, 120_000, 300
 HOT, HEAT_GAIN, HALF_LIFE_MS = 120, 48, 250.0
 FOUND, FOUND_FAR, FAR_BUDGET, MISSES = 0.75, 0.9, 6, 2
@@ -49,13 +51,38 @@ class Tracked:
     rescan: bool = True
     boxes: list[Box] = field(default_factory=list)
     remembered: list[tuple[Box, int, int]] = field(default_factory=list)  # box, page row, time
+    work: scheduling.Work = field(default_factory=lambda: scheduling.Work(0, 0))
+    known: list[scheduling.Known] = field(default_factory=list)
 
 
-def _new_page(s: Tracked) -> None:
+def _new_page(s: Tracked, now: int, resized: bool) -> None:
+    """Nothing of the old page counts; items known from before are covered at once if they are back."""
     s.generation += 1
     s.scroll = s.shift = 0
     s.velocity = 0.0
     s.boxes, s.remembered, s.rescan = [], [], True
+    height, width = s.frame.shape
+    s.work.resized(2 * width, 2 * height, now)
+    if not resized:
+        s.work.whole_from_ms = now
+    _recall(s, None)
+
+
+def _recall(s: Tracked, changed: list[I.Rect] | None) -> None:
+    taken = [(b.rule_id, b.rect) for b in s.boxes if b.lost_since is None]
+    for k in scheduling.recall(s.known, s.frame, changed, taken):
+        s.boxes.append(Box(k.rule_id, k.rect, k.patch, misses=MISSES - 1))  # one reading without it removes it
+
+
+def _is_hot(s: Tracked):
+    def test(rect: I.Rect) -> bool:
+        """Whether the blocks under a rectangle of full pixels are hot on average."""
+        x0, y0 = rect[0] // 2 // I.BLOCK, rect[1] // 2 // I.BLOCK
+        x1, y1 = (rect[0] + rect[2] - 1) // 2 // I.BLOCK + 1, (rect[1] + rect[3] - 1) // 2 // I.BLOCK + 1
+        part = s.heat[y0:y1, x0:x1]
+        return part.size > 0 and part.mean() >= HOT
+
+    return test
 
 
 def _follow(s: Tracked, box: Box, far: list[int]) -> bool:
@@ -82,8 +109,8 @@ def on_frame(s: Tracked, frame: np.ndarray, now: int) -> None:
     before, elapsed = s.frame, now - s.at_ms
     s.frame, s.at_ms = frame, now
     if before is None or before.shape != frame.shape:
-        _new_page(s)
         s.heat = np.zeros((-(-frame.shape[0] // I.BLOCK), -(-frame.shape[1] // I.BLOCK)), np.int64)
+        _new_page(s, now, True)
         return
     keep = int(256 * 0.5 ** (max(0, elapsed) / HALF_LIFE_MS))
     s.heat = (s.heat * keep) >> 8
@@ -98,8 +125,12 @@ def on_frame(s: Tracked, frame: np.ndarray, now: int) -> None:
         s.heat = np.minimum(255, s.heat + HEAT_GAIN * dirty)
         calm = ~hot
         if calm.any() and (dirty & calm).sum() >= 0.35 * calm.sum():
-            _new_page(s)
+            _new_page(s, now, False)
             return
+    s.work.scrolled(s.shift)
+    rects = I.rects_of(dirty, frame.shape[1], frame.shape[0])
+    for x, y, w, h in rects:
+        s.work.changed((2 * x, 2 * y, 2 * w, 2 * h), s.shift, s.scroll)
     s.rescan = s.rescan or bool((dirty & ~hot).any())
     far, kept = [FAR_BUDGET], []
     for box in s.boxes:
@@ -115,12 +146,32 @@ def on_frame(s: Tracked, frame: np.ndarray, now: int) -> None:
         else:
             s.rescan = True
     s.remembered = [m for m in s.remembered if now - m[2] <= REMEMBER_MS][-MOST_REMEMBERED:]
-    back = [m for m in s.remembered if 0 <= m[1] + s.scroll < 2 * frame.shape[0] and m[0] not in kept]
+    back = [m for m in s.remembered if 0 <= m[1] + s.scroll < 2 * frame.shape[0] and m[2] < now]
     for box, row, _ in back:
         box.rect = (box.rect[0], (row + s.scroll) // 2, *box.rect[2:])
         kept.append(box)
-    s.remembered = [m for m in s.remembered if m not in back]
+    s.remembered = [m for m in s.remembered if not any(m is b for b in back)]
     s.boxes = kept
+    _recall(s, rects)
+
+
+def on_idle(s: Tracked, now: int) -> None:
+    """No frame for a while: boxes stop, go back onto their text where they drifted, and lost ones expire."""
+    if s.frame is None or now - s.at_ms < scheduling.IDLE_MS:
+        return
+    s.velocity, s.shift = 0.0, 0
+    for box in s.boxes:
+        if not _follow(s, box, [1]):
+            box.lost_since = now if box.lost_since is None else box.lost_since
+        else:
+            box.lost_since = None
+    for box in s.boxes:
+        if box.lost_since is not None:
+            x, y, w, h = box.rect
+            s.work.add((2 * x - 8, 2 * y - 16, 2 * w + 16, 2 * h + 32))
+    kept = [b for b in s.boxes if b.lost_since is None or now - b.lost_since <= LOST_MS]
+    left = scheduling.distinct_boxes([(b.rule_id, b.rect) for b in kept])
+    s.boxes = [next(b for b in kept if (b.rule_id, b.rect) == x) for x in left]
 
 
 def _iou(a, b) -> float:
@@ -128,12 +179,15 @@ def _iou(a, b) -> float:
     return common / (a[2] * a[3] + b[2] * b[3] - common) if common else 0.0
 
 
-def on_result(s: Tracked, generation: int, scroll: int, found: list[dict], now: int) -> bool:
-    """Fold in what a reading found: moved by what the page has scrolled since; a reading of an older page is dropped."""
+def on_result(s: Tracked, generation: int, scroll: int, found: list[dict], now: int, crop: list[int] | None = None) -> bool:
+    """Fold in what a reading found: moved by what the page has scrolled since; a reading of an older page is dropped.
+
+    crop: what was read, in full pixels; boxes that lie in it by 60 % and were not found count a miss. Without it all do.
+    """
     if generation != s.generation or s.frame is None:
         return False
     moved = round((s.scroll - scroll) / 2)
-    free, confirmed = list(s.boxes), []
+    free = list(s.boxes)
     for d in found:
         rect = (d["x"], d["y"] + moved, d["w"], d["h"])
         match = next((b for b in free if b.rule_id == d["rule_id"] and I._overlap(b.rect, rect)), None) or next((b for b in free if b.rule_id == d["rule_id"] and _iou(b.rect, rect) > 0.3), None)
@@ -142,12 +196,18 @@ def on_result(s: Tracked, generation: int, scroll: int, found: list[dict], now:
             match = Box(d["rule_id"], rect)
             s.boxes.append(match)
         else:
-            free.remove(match)
+            free = [b for b in free if b is not match]
         match.rect, match.patch, match.lost_since, match.misses = rect, t.patch if t else None, None, 0
-        confirmed.append(match)
+        if t is not None and t.textured:
+            s.known = scheduling.learn(s.known, match.rule_id, rect, t.patch, now)
+    area = None if crop is None else (crop[0] // 2, crop[1] // 2 + moved, crop[2] // 2, crop[3] // 2)
+    free = [b for b in free if area is None or I._overlap(b.rect, area) >= 0.6 * b.rect[2] * b.rect[3]]
     for box in free:
         box.misses += 1
-    s.boxes = [b for b in s.boxes if b.misses < MISSES and not (b in free and b.lost_since is not None)]
+    if crop is not None:
+        s.work.done(tuple(crop), scroll)
+    gone = [b for b in free if b.misses >= MISSES or b.lost_since is not None]
+    s.boxes = [b for b in s.boxes if not any(b is g for g in gone)]
     s.rescan = False
     return True
 
@@ -156,13 +216,15 @@ def on_control(s: Tracked, unchanged: set[str]) -> None:
     """Rules changed: boxes of others than the unchanged rules go, and the page is read again."""
     s.boxes = [b for b in s.boxes if b.rule_id in unchanged]
     s.remembered = [m for m in s.remembered if m[0].rule_id in unchanged]
-    s.rescan = True
+    s.known = [k for k in s.known if k.rule_id in unchanged]
+    s.rescan = s.work.whole = True
+    s.work.read = []
 
 
 def _pack(s: Tracked) -> bytes:
     """The state as plain values, so that it outlives the classes of this version."""
     box = lambda b: [b.rule_id, b.rect, b.patch, b.lost_since, b.misses]
-    plain = vars(s) | {"boxes": [box(b) for b in s.boxes], "remembered": [(box(b), row, at) for b, row, at in s.remembered]}
+    plain = vars(s) | {"boxes": [box(b) for b in s.boxes], "remembered": [(box(b), row, at) for b, row, at in s.remembered], "work": vars(s.work), "known": [list(vars(k).values()) for k in s.known]}
     return pickle.dumps(plain)
 
 
@@ -170,13 +232,15 @@ def _unpack(data: bytes) -> Tracked:
     plain = pickle.loads(data)
     plain["boxes"] = [Box(*b) for b in plain["boxes"]]
     plain["remembered"] = [(Box(*b), row, at) for b, row, at in plain["remembered"]]
+    plain["work"], plain["known"] = scheduling.Work(**plain["work"]), [scheduling.Known(*k) for k in plain["known"]]
     return Tracked(**plain)
 
 
 def _row(key: int, s: Tracked, at_ms: int, kind: str) -> tuple:
     boxes = [{"rule_id": b.rule_id, "x": b.rect[0], "y": b.rect[1], "w": b.rect[2], "h": b.rect[3]} for b in s.boxes]
     hot = int((s.heat >= HOT).sum()) if s.heat is not None else 0
-    return key, at_ms, kind, s.generation, s.scroll, s.velocity, hot, s.rescan, json.dumps(boxes)
+    request = s.work.next(at_ms, s.velocity, _is_hot(s)) if s.frame is not None and kind in ("frame", "idle") else None
+    return key, at_ms, kind, s.generation, s.scroll, s.velocity, hot, s.rescan, json.dumps(boxes), json.dumps(request) if request else None
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -187,7 +251,9 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if r.kind == "frame":
             on_frame(s, image(r.pixels, int(r.width), int(r.height)).copy(), int(r.at_ms))
         elif r.kind == "result":
-            on_result(s, int(r.generation), int(r.scroll), json.loads(r.rects), int(r.at_ms))
+            on_result(s, int(r.generation), int(r.scroll), json.loads(r.rects), int(r.at_ms), json.loads(r.crop) if r.crop else None)
+        elif r.kind == "idle":
+            on_idle(s, int(r.at_ms))
         else:
             on_control(s, set(json.loads(r.rule_ids)))
         out.append(_row(key[0], s, int(r.at_ms), r.kind))

@@ -128,9 +128,9 @@ def test_frames_of_windows(spark):
 
 def test_tracker_follows_forgets_and_rejects(spark, tmp_path):
     p = page()
-    frame = lambda at, top: (1, at, "frame", 400, 300, bytearray(p[top : top + 300].tobytes()), None, None, None, None)
+    frame = lambda at, top: (1, at, "frame", 400, 300, bytearray(p[top : top + 300].tobytes()), None, None, None, None, None)
     found = json.dumps([{"rule_id": "r", "x": 40, "y": 120, "w": 60, "h": 20}])
-    rows = [frame(0, 300), (1, 5, "result", None, None, None, 1, 0, found, None), frame(20, 305), frame(40, 310), (1, 45, "result", None, None, None, 0, 0, found, None), (1, 50, "control", None, None, None, None, None, None, "[]")]
+    rows = [frame(0, 300), (1, 5, "result", None, None, None, 1, 0, found, None, "[0, 0, 800, 600]"), frame(20, 305), frame(40, 310), (1, 45, "result", None, None, None, 0, 0, found, None, None), (1, 48, "idle", None, None, None, None, None, None, None, None), (1, 50, "control", None, None, None, None, None, None, "[]", None), frame(200, 310)]
     spark.createDataFrame(rows, tracker.EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(tracker.EVENTS).parquet(str(tmp_path / "in"))
     q = tracker.track(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -138,6 +138,7 @@ def test_tracker_follows_forgets_and_rejects(spark, tmp_path):
     out = {r["at_ms"]: r for r in spark.table("tracked").collect()}
     box = lambda at: [(b["x"], b["y"]) for b in json.loads(out[at]["boxes"])]
     assert box(5) == [(40, 120)] and box(20) == [(40, 115)] and box(40) == [(40, 110)] and out[40]["scroll"] == -20
+    assert json.loads(out[200]["request"])["whole"] and out[5]["request"] is None
     assert box(45) == [(40, 110)] and box(50) == [] and out[50]["rescan"] and out[40]["velocity"] == pytest.approx(-0.5)
 
 
@@ -156,6 +157,25 @@ def test_tracker_heat_and_page_switch():
     assert s.generation == 2 and s.rescan
 
 
+def test_tracker_forgets_what_readings_miss_and_recalls_known_items():
+    p, s = page(), tracker.Tracked()
+    found = [{"rule_id": "r", "x": 40, "y": 120, "w": 60, "h": 20}]
+    tracker.on_frame(s, p[300:600], 0)
+    assert tracker.on_result(s, 1, 0, found, 1, [0, 0, 800, 600]) and len(s.known) == 1
+    tracker.on_result(s, 1, 0, [], 2, [0, 0, 800, 100])
+    assert s.boxes[0].misses == 0
+    tracker.on_frame(s, np.full((300, 400), 20, np.uint8), 500)
+    assert s.generation == 2 and s.boxes == []
+    tracker.on_frame(s, p[300:600], 1000)
+    assert [b.rect for b in s.boxes] == [(40, 120, 60, 20)]
+    tracker.on_result(s, s.generation, 0, [], 1001, [0, 0, 800, 600])
+    assert s.boxes == []
+    s = tracker._unpack(tracker._pack(s))
+    tracker.on_result(s, s.generation, 0, found, 1002)
+    tracker.on_idle(s, 1100)
+    assert [b.rect for b in s.boxes] == [(40, 120, 60, 20)] and s.velocity == 0
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([10.0, 20.0, 0.0])], "k int, i int, v double")
     assert sequences.ema(df, "k", "i", "v").first()["ema"] == pytest.approx((10 * 0.8 + 20 * 0.2) * 0.8)
