@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import imaging as I
@@ -29,6 +29,17 @@ def compare(prev: np.ndarray, cur: np.ndarray, expected: int, most: int) -> tupl
     return shift, dirty, shift == 0 and dirty.mean() >= SWITCH
 
 
+def merged_rects(rects: Column) -> Column:
+    """array<rect> with touching rectangles made one, in the order of imaging.merge_touching."""
+
+    @F.pandas_udf("array<struct<x:int,y:int,w:int,h:int>>")
+    def run(lists: pd.Series) -> pd.Series:
+        merge = lambda row: [dict(zip("xywh", r, strict=True)) for r in I.merge_touching([(q["x"], q["y"], q["w"], q["h"]) for q in row])]
+        return lists.map(lambda row: merge(row) if row is not None else None)
+
+    return run(rects)
+
+
 def changes(frames: DataFrame, most: int = 120) -> DataFrame:
     """frames (window_id, seq, width, height, pixels) of half size: a row for each frame that has one before it."""
     w = Window.partitionBy("window_id").orderBy("seq")

@@ -109,3 +109,29 @@ def texture(a: Column) -> Column:
 
 def mean_difference(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v) / F.size(a)
+
+
+def last_rows(df: DataFrame, key: str, order: list[str], most: int = 12) -> DataFrame:
+    """(key, log): the last rows of each key in order, as an array of structs of all other columns."""
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    kept = df.withColumn("__n", newest).where(F.col("__n") <= most).drop("__n")
+    rest = [c for c in df.columns if c not in (key, *order)]
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("log"))
+
+
+def busy(df: DataFrame, key: str, order: str, idle: str, total: str, most: float = 0.75) -> DataFrame:
+    """df with share and busy: of the growth of a total counter since the row before, the part that was not idle."""
+    w = Window.partitionBy(key).orderBy(order)
+    grown, slept = F.col(total) - F.lag(total).over(w), F.col(idle) - F.lag(idle).over(w)
+    share = F.when(grown > 0, 1 - slept / grown)
+    return df.withColumn("share", share).withColumn("busy", F.coalesce(F.col("share") > most, F.lit(False)))
+
+
+def interval_difference(df: DataFrame, gone: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """(key, lo, hi): what of df's intervals no interval of gone covers: stretches between all ends that only df is over."""
+    change = lambda d, side: d.select(key, F.explode(F.array(F.struct(F.col(lo).alias("at"), F.lit(1).alias("step")), F.struct(F.col(hi).alias("at"), F.lit(-1).alias("step")))).alias("e")).select(key, "e.at", (F.col("e.step") if side == 0 else F.lit(0)).alias("a"), (F.col("e.step") if side else F.lit(0)).alias("b"))
+    ends = change(df, 0).unionByName(change(gone, 1)).groupBy(key, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy(key).orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    stretches = ends.select(key, F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"), F.sum("a").over(so_far).alias("a"), F.sum("b").over(so_far).alias("b"))
+    return interval_union(stretches.where("a > 0 and b = 0 and hi is not null").select(key, F.col("lo").alias("l"), F.col("hi").alias("h")), key, "l", "h")

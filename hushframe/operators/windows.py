@@ -72,3 +72,17 @@ def compose(boxes: DataFrame, windows: DataFrame, target_ms: Column) -> DataFram
     placed = boxes.join(w.where("not covered"), "window_id").withColumn("now", G.offset(moved, F.col("bounds.x"), F.col("bounds.y")))
     parts = placed.withColumn("part", F.explode(G.clip(G.intersect(F.col("now"), F.col("bounds")), F.col("visible"))))
     return whole.unionByName(parts.select("window_id", F.col("part").alias("rect")))
+
+
+def preview(open_windows: DataFrame, pattern: str, most: int = 5) -> DataFrame:
+    """(name): titles, or process names where there is no title, that a window rule with this pattern would cover; a few of them."""
+    hit = matches_any(F.col("title"), F.col("process"), [Rule("AppWindow", pattern)])
+    name = F.when(F.trim(F.coalesce("title", F.lit(""))) != "", F.col("title")).otherwise(F.col("process"))
+    return open_windows.where(hit).select(name.alias("name")).distinct().orderBy("name").limit(most)
+
+
+def totals(boxes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(hidden, windows, enabled_rules): boxes, windows with any, and rules that are on: one row."""
+    on = rules.agg(F.count_if("enabled").alias("enabled_rules"))
+    seen = boxes.agg(F.count("*").alias("hidden"), F.count_distinct("window_id").alias("windows"))
+    return seen.withColumn("one", F.lit(1)).join(on.withColumn("one", F.lit(1)), "one").drop("one")

@@ -445,6 +445,48 @@ def missing_detectors(spark, sf_dir):
     return rules.missing_detectors(have)
 
 
+@query("""SELECT DISTINCT url AS name FROM pages WHERE contains(lower(url), 'tion') ORDER BY name LIMIT 5""")
+def window_preview(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("url").alias("title"), F.lit("browser").alias("process"))
+    return windows.preview(pages, " TION ")
+
+
+@query("SELECT count(*) AS hidden, count(DISTINCT user_id) AS windows, 3::BIGINT AS enabled_rules FROM events")
+def hidden_totals(spark, sf_dir):
+    have = spark.createDataFrame([(i, i != 2) for i in range(4)], "id int, enabled boolean")
+    return windows.totals(_table(spark, sf_dir, "events").withColumnRenamed("user_id", "window_id"), have)
+
+
+@query(f"SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ms, event_id) AS log FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS k FROM {_MS}) WHERE k <= 12 GROUP BY user_id")
+def last_events(spark, sf_dir):
+    logs = sequences.last_rows(_timed(spark, sf_dir), "user_id", ["ms", "event_id"])
+    return logs.select("user_id", F.array_join(F.transform("log", lambda x: x["event_id"].cast("string")), ",").alias("log"))
+
+
+@query("""SELECT event_id, round(share, 6) AS share, coalesce(share > 0.75, false) AS busy FROM (
+ SELECT event_id, CASE WHEN grown > 0 THEN 1 - slept / grown::DOUBLE END AS share FROM (
+ SELECT event_id, event_id - lag(event_id) OVER w AS grown, event_id // 3 - lag(event_id // 3) OVER w AS slept FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)))""")
+def busy_share(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("idle", F.floor(F.col("event_id") / 3))
+    return sequences.busy(e, "user_id", "event_id", "idle", "event_id").select("event_id", F.round("share", 6).alias("share"), "busy")
+
+
+@query("""WITH c AS (SELECT l_suppkey AS k, unnest(range(l_partkey, l_partkey + l_linenumber)) AS x, l_quantity > 25 AS gone FROM lineitem),
+u AS (SELECT k, x FROM c GROUP BY k, x HAVING NOT bool_or(gone))
+SELECT k, min(x) AS lo, max(x) + 1 AS hi FROM (SELECT *, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM u) GROUP BY k, g""")
+def unread_rows(spark, sf_dir):
+    l = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_linenumber")).alias("hi"), "l_quantity")
+    return sequences.interval_difference(l.where("l_quantity <= 25"), l.where("l_quantity > 25"), "k", "lo", "hi")
+
+
+@query()
+def merged_areas(spark, sf_dir):
+    from ..operators.frames import merged_rects
+
+    per = _rects(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("a")).alias("rects"))
+    return per.select("l_orderkey", F.size("rects").alias("before"), F.size(merged_rects(F.col("rects"))).alias("after"))
+
+
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS start_s, count(*) AS n FROM events GROUP BY ALL")
 def streaming_counts(spark, sf_dir):
     """The windowed counts of the stream, over a table that has ended."""
