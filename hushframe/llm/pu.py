@@ -85,12 +85,13 @@ def describe(text: bytes) -> tuple[list[float], set[bytes]]:
 def _sample(docs: DataFrame, positives: DataFrame, sizes: Sizes) -> DataFrame:
     """(text, pos, unl): texts of at most so many positives and of at most so many documents, labelled or not."""
     order = F.xxhash64("doc_id", F.lit(sizes.seed))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct() if docs.isEmpty() else docs.select("doc_id").where("doc_id is not null")
+    ids = docs.select("doc_id").where("doc_id is not null")
     p = positives.orderBy(order).limit(sizes.positives).select("doc_id", F.lit(1).alias("pos"), F.lit(0).alias("unl"))
     u = ids.orderBy(order, "doc_id").limit(sizes.unlabelled).distinct().select("doc_id", F.lit(0).alias("pos"), F.lit(1).alias("unl"))
     # At most positives + unlabelled rows of three numbers: safe to broadcast at any input size.
     chosen = p.union(u).groupBy("doc_id").agg(F.max("pos").alias("pos"), F.max("unl").alias("unl"))
-    return cut(docs.join(F.broadcast(chosen), "doc_id").select("text", "pos", "unl"), "sample")
+    found = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # however often an id stands, once here
+    return cut(found.select("text", "pos", "unl"), "sample")
 
 
 def _all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
