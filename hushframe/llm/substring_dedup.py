@@ -215,4 +215,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the kept words, joined by spaces, as text where words were removed; all rows and columns stay."""
     _, kept = _outcomes(docs)
     joined = docs.join(kept, row_key(docs["doc_id"], docs["text"]) == kept["kept_key"], "left")
-    return joined.select(*[F.coalesce("kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[F.coalesce(kept["kept"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
