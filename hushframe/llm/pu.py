@@ -90,7 +90,8 @@ def _sample(docs: DataFrame, positives: DataFrame, sizes: Sizes) -> DataFrame:
     u = ids.orderBy(order, "doc_id").limit(sizes.unlabelled).distinct().select("doc_id", F.lit(0).alias("pos"), F.lit(1).alias("unl"))
     # At most positives + unlabelled rows of three numbers: safe to broadcast at any input size.
     chosen = p.union(u).groupBy("doc_id").agg(F.max("pos").alias("pos"), F.max("unl").alias("unl"))
-    found = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # however often an id stands, once here
+    # However often an id stands, it is here once, with the first of its texts, so that reruns fit alike.
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("pos").alias("pos"), F.max("unl").alias("unl"))
     return cut(found.select("text", "pos", "unl"), "sample")
 
 

@@ -205,6 +205,14 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     assert a == b
 
 
+def test_sample_has_each_id_once_whatever_the_order(spark):
+    rows = [(i % 40, f"text {i} of {i % 40}", "en", "s", 1) for i in range(120)]
+    known = spark.createDataFrame([(i,) for i in range(0, 40, 4)], "doc_id long")
+    shuffled = rows[::-1]
+    a, b = (sorted(map(tuple, pu._sample(spark.createDataFrame(x, SCHEMA).repartition(n), known, pu.Sizes()).collect())) for x, n in ((rows, 1), (shuffled, 5)))
+    assert a == b and len(a) == 40 and sum(r[1] for r in a) == 10
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 7000)
@@ -271,8 +279,10 @@ def test_substring_removals(docs, monkeypatch, bucket):
 
 
 def test_remove_repeats_keeps_rows_and_columns(docs, empty):
+    docs = docs.withColumns({c: F.lit("x") for c in ("kept", "kept_key", "n_removed")})
     out = substring_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
+    assert {r["kept"] for r in out.select("kept").collect()} == {"x"}
     assert substring_dedup.removals(empty).count() == 0
 
 
