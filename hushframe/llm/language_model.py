@@ -21,8 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import crc_fold, cut, row_key, utf8
 
 FOLDS, HELD_OUT = 7, 2
-#: Characters of a block, about; and one block in so many takes part in learning the weights.
-BLOCK_CHARS, LEARN_ONE_IN = 3_000_000, 8
+#: Characters of a block, about.
+BLOCK_CHARS = 3_000_000
 CONTEXT_BUCKETS = 24
 _LOW = np.uint64((1 << 48) - 1)
 _END = xxhash.xxh64_intdigest(b"")
@@ -182,10 +182,10 @@ def _held_out(bits: int, totals: Totals):
         p2, p1, _ = _shares(*(np.maximum(a - o, 0)[train] for a, o in ((x.word, own_word), (x.context, own_context), (x.pair, own_pair))), totals)
         bucket = _bucket(np.maximum(x.context - own_context, 0)[train])
         a, b = (np.where(p > 0, np.round(4 * np.log(np.maximum(p, 1e-12))), 1).astype(np.int64) for p in (p2, p1))
-        cells, where = np.unique(np.stack([bucket, a, b]), axis=1, return_inverse=True)
-        where = where.ravel()
-        sums = {name: np.bincount(where, v, cells.shape[1]) for name, v in (("n", np.ones(len(where))), ("p2", p2), ("p1", p1))} if len(where) else {name: np.zeros(0) for name in ("n", "p2", "p1")}
-        return pa.table({"bucket": cells[0].astype(np.int32), "a": cells[1].astype(np.int32), "b": cells[2].astype(np.int32), **sums})
+        # a and b lie between -111 and 1: with the bucket, one number names the cell.
+        cells, where = np.unique(bucket.astype(np.int64) << 16 | (a + 128) << 8 | (b + 128), return_inverse=True)
+        sums = {name: np.bincount(where, v, len(cells)) for name, v in (("n", np.ones(len(where))), ("p2", p2), ("p1", p1))} if len(where) else {name: np.zeros(0) for name in ("n", "p2", "p1")}
+        return pa.table({"bucket": (cells >> 16).astype(np.int32), "a": ((cells >> 8 & 255) - 128).astype(np.int32), "b": ((cells & 255) - 128).astype(np.int32), **sums})
 
     return count
 
@@ -245,8 +245,7 @@ def score(docs: DataFrame) -> DataFrame:
     got = told.where("block is null and kind = 0").agg(F.sum("n_keys").alias("v"), F.sum("n_tokens").alias("n")).first()
     totals = Totals(got["n"] or 0, got["v"] or 0)
     answers = told.where("block is not null").select("block", "kind", "part", "counts")
-    some = f"block % {LEARN_ONE_IN} = 0"
-    cells = texts.where(some).select("block", "train", "text").groupBy("block").cogroup(answers.where(some).groupBy("block")).applyInArrow(_held_out(bits, totals), "bucket int, a int, b int, n double, p2 double, p1 double")
+    cells = texts.select("block", "train", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_held_out(bits, totals), "bucket int, a int, b int, n double, p2 double, p1 double")
     # At most CONTEXT_BUCKETS times some 110 times 110 cells, whatever the input.
     summed = cells.groupBy("bucket", "a", "b").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("bucket", "a", "b").collect()
     weights = learn_weights([(r["bucket"], r["n"], r["p2"], r["p1"]) for r in summed], totals)

@@ -311,6 +311,31 @@ def test_language_model(docs, monkeypatch, chars):
     assert np.allclose(w.sum(1), 1)
 
 
+@pytest.mark.parametrize("chars", [3_000_000, 4000])
+def test_language_model_weights_are_learnt_from_all_training_documents(docs, monkeypatch, chars):
+    monkeypatch.setattr(language_model, "BLOCK_CHARS", chars)
+    seen = {}
+    learn = language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda cells, totals: seen.setdefault("cells", cells) and seen.setdefault("w", learn(cells, totals)))
+    language_model.score(docs).count()
+    train = [WORD.findall(lower(r[1])) + [""] for r in ROWS if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    c, pairs = Counter(x for t in train for x in t), Counter(p for t in train for p in zip([""] + t, t))
+    n, v, shares = sum(c.values()), len(c), defaultdict(list)
+    for t in train:
+        own, own_pairs = Counter(t), Counter(zip([""] + t, t))
+        for a, b in zip([""] + t, t):
+            context = c[a] - own[a]
+            shares[min(math.frexp(context)[1], language_model.CONTEXT_BUCKETS - 1)].append(((pairs[a, b] - own_pairs[a, b]) / max(1, context), (c[b] - own[b]) / n, 1 / (v + 1)))
+    assert Counter({k: len(x) for k, x in shares.items()}) == sum((Counter({x[0]: round(x[1])}) for x in seen["cells"]), Counter())
+    for k, x in shares.items():
+        p, w = np.array(x), np.full(3, 1 / 3)
+        for _ in range(60):
+            part = w * p
+            w = (part / part.sum(1, keepdims=True)).sum(0) + 1 / 3
+            w /= w.sum()
+        assert np.allclose(seen["w"][k], w, atol=0.01), k
+
+
 def test_language_model_of_nothing(empty):
     assert language_model.score(empty).count() == 0
 
