@@ -2,15 +2,82 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+
+def _pieces(df: DataFrame, key: str, order: str, value: str, piece, made: str) -> DataFrame:
+    """(key, pieces): rows are dealt by ranges of key and order, so that a large key falls to many tasks. Each task folds its
+    rows of a key, in order, to one piece with the fields of made; the array has them in order, one for each task at most.
+
+    piece(continues) gives an object with add(value) and result(); continues: the key may have begun in an earlier task.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("at"), F.col(value).alias("v"))
+    schema = StructType([*rows.schema.fields[:2], *StructType.fromDDL(made).fields])
+    types = to_arrow_schema(schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_now, at, state, done = None, None, None, []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t.type) for i, t in enumerate(types)], schema=types)
+
+        for batch in batches:
+            first = batch.column(1)
+            for i, (k, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if state is None or not (k == key_now or (k != k and key_now != key_now)):
+                    if state is not None:
+                        done.append((key_now, at, *state.result()))
+                    key_now, at, state = k, first[i].as_py(), piece(state is None)
+                state.add(v)
+            if len(done) >= 1000:
+                yield flush()
+                done.clear()
+        if state is not None:
+            done.append((key_now, at, *state.result()))
+            yield flush()
+
+    folded = rows.repartitionByRange("k", "at").sortWithinPartitions("k", "at").mapInArrow(fold, schema)
+    return folded.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", *schema.names[2:]))).alias("pieces")).withColumnRenamed("k", key)
+
+
+class _Smooth:
+    """Of a stretch of values: what it makes of nothing, and of an average before it that is scaled and added to.
+
+    A null leaves no average, so that the next value starts anew; no scale then.
+    """
+
+    def __init__(self, keep: float) -> None:
+        self.keep, self.scale, self.plus, self.alone = keep, 1.0, 0.0, None
+
+    def add(self, x: float | None) -> None:
+        if x is None:
+            self.scale = self.alone = None
+            return
+        new = x * (1 - self.keep)
+        self.alone = x if self.alone is None else self.alone * self.keep + new
+        if self.scale is not None:
+            # Never down to 0: an infinite average stays infinite.
+            self.scale = max(self.scale * self.keep, 5e-324 if self.keep else 0.0)
+            self.plus = self.plus * self.keep + new
+
+    def result(self) -> tuple:
+        return self.scale, self.plus, self.alone
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, keep: float = 0.8) -> DataFrame:
-    """(key, ema): the first value, then keep of the old and the rest of the new, in order. A key's values make one array."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    smooth = lambda a, x: F.when(a.isNull(), x).otherwise(a * keep + x * (1 - keep))
-    return df.groupBy(key).agg(values.alias("v")).select(key, F.aggregate("v", F.lit(None).cast("double"), smooth).alias("ema"))
+    """(key, ema): the first value, then keep of the old and the rest of the new, in order."""
+    values = df.select(key, F.struct(order, value).alias("at"), F.col(value).cast("double").alias("v"))
+    found = _pieces(values, key, "at", "v", lambda continues: _Smooth(keep), "scale double, plus double, alone double")
+    smooth = lambda a, p: F.when(a.isNull() | p["scale"].isNull(), p["alone"]).otherwise(a * p["scale"] + p["plus"])
+    return found.select(key, F.aggregate("pieces", F.lit(None).cast("double"), smooth).alias("ema"))
 
 
 def running_sum(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -38,17 +105,44 @@ def decayed(heat: Column, elapsed_ms: Column, half_life_ms: float = 250.0) -> Co
     return F.shiftright((heat * F.floor(256 * F.pow(F.lit(0.5), elapsed_ms / half_life_ms))).cast("long"), 8)
 
 
+class _Heat:
+    """Of a stretch of events: its first and last time, and the heat after it for each heat from 0 to cap left at its first event.
+
+    Only one heat where all end alike, or where the key begins here.
+    """
+
+    def __init__(self, continues: bool, gain: int, cap: int, half_life_ms: float) -> None:
+        self.gain, self.cap, self.half_life_ms = gain, cap, half_life_ms
+        self.heat, self.first, self.last, self.n = np.arange(cap + 1) if continues else 0, None, None, 0
+
+    def add(self, t: int | None) -> None:
+        if not self.n:
+            self.first = t
+        elif t is not None and self.last is not None and t > self.last:
+            self.heat = self.heat * math.floor(256 * 0.5 ** ((t - self.last) / self.half_life_ms)) >> 8
+        self.last, self.n = t, self.n + 1
+        if isinstance(self.heat, int):
+            self.heat = min(self.cap, self.heat + self.gain)
+        else:
+            self.heat = np.minimum(self.cap, self.heat + self.gain)
+            if self.heat[0] == self.heat[-1]:  # a hotter start never ends colder
+                self.heat = int(self.heat[0])
+
+    def result(self) -> tuple:
+        return self.first, self.last, [self.heat] if isinstance(self.heat, int) else self.heat.tolist()
+
+
 def heat(df: DataFrame, key: str, time_ms: str, order: str, gain: int = 48, cap: int = 255, hot: int = 120, half_life_ms: float = 250.0) -> DataFrame:
-    """(key, heat, hot): each event adds gain up to cap, and heat decays between events. A key's times make one array."""
-    times = F.transform(F.array_sort(F.collect_list(F.struct(time_ms, order))), lambda x: x[time_ms])
+    """(key, heat, hot): each event adds gain up to cap, and heat decays between events."""
     zero = F.struct(F.lit(0).cast("long").alias("heat"), F.lit(None).cast("long").alias("last"))
 
-    def add(s: Column, t: Column) -> Column:
-        kept = decayed(s["heat"], F.coalesce(t - s["last"], F.lit(0)), half_life_ms)
-        return F.struct(F.least(F.lit(cap), kept + gain).cast("long").alias("heat"), t.alias("last"))
+    def add(s: Column, p: Column) -> Column:
+        kept = decayed(s["heat"], F.coalesce(p["first"] - s["last"], F.lit(0)), half_life_ms)
+        return F.struct(F.get(p["heats"], F.when(F.size(p["heats"]) > 1, kept).otherwise(0).cast("int")).alias("heat"), p["last"].alias("last"))
 
-    found = df.groupBy(key).agg(times.alias("t")).select(key, F.aggregate("t", zero, add, lambda s: s["heat"]).alias("heat"))
-    return found.withColumn("hot", F.col("heat") >= hot)
+    times = df.select(key, F.struct(time_ms, order).alias("at"), F.col(time_ms).cast("long").alias("t"))
+    pieces = _pieces(times, key, "at", "t", lambda continues: _Heat(continues, gain, cap, half_life_ms), "first long, last long, heats array<long>")
+    return pieces.select(key, F.aggregate("pieces", zero, add, lambda s: s["heat"]).alias("heat")).withColumn("hot", F.col("heat") >= hot)
 
 
 def debounced(df: DataFrame, key: str, time_ms: str, order: str, settle_ms: int) -> DataFrame:

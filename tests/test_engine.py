@@ -1,6 +1,7 @@
 """Geometry, windows, mapping, images, tracking, stores and the queries' SQL."""
 
 import json
+import math
 import random
 
 import numpy as np
@@ -186,6 +187,42 @@ def test_sequences(spark):
     assert list(map(tuple, sequences.interval_gaps(spans, "k", "lo", "hi").collect())) == [(1, 7, 9)]
 
 
+def test_large_key_is_folded_in_several_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    t, rows = 0, []
+    for i in range(3000):
+        t += rng.choice([0, 1, 30, 90, 200, 1200])
+        rows.append((rng.choice([7, 7, 7, 7, None, 1 << 60, rng.randrange(50)]), t if i > 9 else None, i, None if rng.random() < 0.003 else rng.random()))
+    df = spark.createDataFrame(rows, "k long, t long, i long, v double").repartition(3)
+    pieces, most = sequences._pieces, []
+
+    def seen(*a):
+        out = pieces(*a)
+        most.append(max(r["n"] for r in out.where("k = 7").select(F.size("pieces").alias("n")).collect()))
+        return out
+
+    monkeypatch.setattr(sequences, "_pieces", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ema = {r["k"]: r["ema"] for r in sequences.ema(df, "k", "i", "v").collect()}
+        heat = {gain: {r["k"]: (r["heat"], r["hot"]) for r in sequences.heat(df, "k", "t", "i", gain=gain, half_life_ms=800.0).collect()} for gain in (3, 48)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert min(most) >= 3
+    for k in {r[0] for r in rows}:
+        a = None
+        for _, _, _, v in (r for r in rows if r[0] == k):
+            a = v if a is None or v is None else a * 0.8 + v * 0.2
+        assert ema[k] == (None if a is None else pytest.approx(a, rel=1e-12)), k
+        for gain in heat:
+            h, last = 0, None
+            for _, t, _, _ in (r for r in rows if r[0] == k):
+                h = min(255, (h * math.floor(256 * 0.5 ** ((t - last if t is not None and last is not None else 0) / 800)) >> 8) + gain)
+                last = t
+            assert heat[gain][k] == (h, h >= 120), (k, gain)
+    assert len(ema) == len(heat[48]) == len({r[0] for r in rows})
+
+
 def test_stores(spark, tmp_path):
     path, saved = str(tmp_path / "rules"), [Rule("Text", "päss", id="1"), Rule("Regex", r"\d", id="2")]
     assert stores.load_rules(spark, path, "k" * 16) == []
