@@ -247,6 +247,15 @@ def test_sink_skips_equal_snapshots(spark):
     assert written == [0, 2, 4]
 
 
+def test_signatures_cover_the_whole_text(spark, tmp_path):
+    from hushframe.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "alike at first"), (2, "the same"), (3, "gone")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "alike at first, then not"), (2, "the same"), (4, "new")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["id"]: r["state"] for r in QUERIES["rule_signature_diff"](spark, str(tmp_path)).collect()}
+    assert found == {1: "changed", 2: "unchanged", 3: "removed", 4: "added"}
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 
