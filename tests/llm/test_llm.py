@@ -401,6 +401,17 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_of_more_sources_than_the_driver_may_hold(spark, docs):
+    rng = random.Random(12)
+    many = spark.createDataFrame([(i, _prose(rng, rng.randrange(1, 40)) if i % 9 else None, f"h{rng.randrange(60)}" if i % 7 else None) for i in range(300)] + [(999, None, "empty")], "doc_id long, text string, source string").repartition(3)
+    for d in (many, docs.drop("size")):
+        shown = ("source", "__size", "__source_size", "__copies", "__taken")
+        want, got = (mixing.mix(d, settings=mixing.Settings(max_patterns=n)) for n in (10_000, 3))
+        assert by_row(got, *shown) == by_row(want, *shown)
+        known = {r["source"]: r["__target"] for r in want.collect()}
+        assert {r["source"]: r["__target"] for r in got.collect()} == pytest.approx(known)
+
+
 def test_mix_of_overlapping_sources(spark):
     rng = random.Random(8)
     rows = [(i, _prose(rng, 30), rng.choice([["a"], ["b"], ["a", "b"], ["b", "c"]])) for i in range(200)]
