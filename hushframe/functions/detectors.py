@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import pattern_spans
+from .spans import SPANS, pattern_spans
 
 # The detectors' patterns, in the order of their names in DETECTORS.
 EMAIL = r"[A-Z0-9._%+\-]+@[A-Z0-9\-]+(?:\.[A-Z0-9\-]+)*\.[A-Z]{2,}"
@@ -29,6 +29,9 @@ KNOWN_WALLET = r"[0O]x[0-9a-fo]{38,42}|[0O]x[0-9a-f]{2,10}[ \t]?(?:\.{2,4}|…)[
 ANY_WALLET = r"[0-9a-z]{3,10}[ \t]?(?:\.{2,4}|…)[ \t]?[0-9a-z]{3,10}|[0-9a-z]{26,64}"
 WALLET = rf"(?<![0-9A-Za-z])(?:{KNOWN_WALLET}|{ANY_WALLET})(?![0-9A-Za-z])"
 DETECTORS = {"Email": EMAIL, "Ipv4": IPV4, "Ipv6": IPV6, "Phone": PHONE, "ApiKey": API_KEY, "CreditCard": CREDIT_CARD, "Url": URL, "CryptoAddress": WALLET}
+DATE = r"(?U)^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$"
+#: What every match holds: texts without it are not searched.
+HOLDS = {"Email": "@", "Ipv6": ":"}
 RECOMMENDED = ("Email", "Ipv4", "Phone", "ApiKey", "CreditCard", "Url", "CryptoAddress")
 # Fixed values end here.
 
@@ -49,7 +52,7 @@ def plausible_phone(value: Column) -> Column:
     """8 to 15 digits, not a date, and fewer than three groups of a single digit."""
     groups = F.split(value, r"(?U)\D+")
     single = F.size(F.filter(groups, lambda g: F.length(g) == 1))
-    return F.length(digits_only(value)).between(8, 15) & ~value.rlike(r"(?U)^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$") & (single < 3)
+    return F.length(digits_only(value)).between(8, 15) & ~value.rlike(DATE) & (single < 3)
 
 
 def plausible_wallet(value: Column) -> Column:
@@ -65,7 +68,8 @@ _CHECKS = {"Phone": plausible_phone, "CreditCard": passes_luhn, "CryptoAddress":
 
 def candidates(text: Column, name: str) -> Column:
     """What the detector's pattern finds, before trimming and checks."""
-    return pattern_spans(text, _FLAGS + DETECTORS[name])
+    found = pattern_spans(text, _FLAGS + DETECTORS[name])
+    return F.when(text.contains(HOLDS[name]), found).otherwise(F.array().cast(SPANS)) if name in HOLDS else found
 
 
 def detector_spans(text: Column, name: str) -> Column:

@@ -13,10 +13,10 @@ from .rules import Rule, active, rule_spans
 _MATCHES = "array<struct<rule_id:string,start:int,length:int,text:string>>"
 
 
-def with_matches(df: DataFrame, text: str, rules: Iterable[Rule], guarded: bool = False) -> DataFrame:
+def with_matches(df: DataFrame, text: str, rules: Iterable[Rule], guarded: bool | None = None) -> DataFrame:
     """df with column matches: all matches of all valid, enabled rules, by start, the longer first."""
     every = []
-    for rule in active(rules):
+    for rule in active(rules, guarded):
         spans = rule_spans(F.coalesce(F.col(text), F.lit("")), rule, guarded)
         every.append(F.transform(spans, _named(rule.id)))
     return df.withColumn("matches", ordered(F.concat(*every)) if every else F.array().cast(_MATCHES))
@@ -26,7 +26,7 @@ def _named(rule_id: str):
     return lambda s: F.struct(F.lit(rule_id).alias("rule_id"), s["start"].alias("start"), s["length"].alias("length"), s["text"].alias("text"))
 
 
-def find_matches(df: DataFrame, text: str, rules: Iterable[Rule], keys: list[str], guarded: bool = False) -> DataFrame:
+def find_matches(df: DataFrame, text: str, rules: Iterable[Rule], keys: list[str], guarded: bool | None = None) -> DataFrame:
     """(keys, rule_id, start, length, text): a row for each match."""
     found = with_matches(df.select(*keys, F.col(text)), text, rules, guarded)
     return found.select(*keys, F.explode("matches").alias("m")).select(*keys, "m.*")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from uuid import uuid4
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.detectors import DETECTORS, RECOMMENDED, detector_spans
 from ..functions.fuzzy import fuzzy_spans
-from ..functions.spans import literal_spans, regex_spans
+from ..functions.spans import SPANS, literal_spans, regex_spans, wrapped
 
 SECONDS = 0.25
 SCHEMA = "id string, label string, kind string, pattern string, built_in string, enabled boolean, case_sensitive boolean, whole_word boolean, fuzzy boolean, fuzzy_threshold int, is_auto_discovered boolean"
-_SPANS = "array<struct<start:int,length:int,text:string>>"
 
 
 @dataclass(frozen=True)
@@ -39,8 +41,37 @@ class Rule:
         return self.label if self.label.strip() else self.built_in if self.kind == "BuiltIn" else self.pattern
 
 
-def validate(rule: Rule) -> str | None:
-    """The first problem of a rule, or None."""
+def risky(pattern: str) -> bool:
+    """Whether a pattern may take far longer than its text: it repeats in two ways, repeats a choice, or refers back."""
+    plain = re.sub(r"\[(?:\\.|[^\]\\])*\]", "x", re.sub(r"\\[^1-9k]", "x", pattern))
+    repeats = len(re.findall(r"(?<!\()[*+?{]", plain))
+    return "\\" in plain or repeats + ("|" in plain and repeats > 0) > 1
+
+
+def _java_problem(pattern: str) -> str | None:
+    """What Spark's engine says of a pattern, from a query over no table, which the optimizer answers; None where there is no session."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return None
+    try:
+        row = session.sql("SELECT '' RLIKE :p AS hit", args={"p": pattern}).first()
+    except (PySparkException, Py4JJavaError):
+        return "The pattern is not a regular expression."
+    return "The pattern matches empty text." if row["hit"] else None
+
+
+def _python_problem(pattern: str, flags: int = 0) -> str | None:
+    try:
+        hit = regex.compile(pattern, flags).search("", timeout=SECONDS)
+    except regex.error:
+        return "The pattern is not a regular expression."
+    except TimeoutError:
+        return "The pattern is too slow."
+    return "The pattern matches empty text." if hit else None
+
+
+def validate(rule: Rule, guarded: bool | None = None) -> str | None:
+    """The first problem of a rule, or None. A pattern must be one for the engines that are to run it (see rule_spans)."""
     if rule.kind == "BuiltIn":
         return None if rule.built_in in DETECTORS else "Unknown detector."
     if not rule.pattern.strip():
@@ -48,13 +79,10 @@ def validate(rule: Rule) -> str | None:
     if rule.kind == "AppWindow":
         return None if len(rule.pattern.strip()) >= 3 else "Give at least 3 characters."
     if rule.kind == "Regex":
-        try:
-            if regex.compile(rule.pattern).search("", timeout=SECONDS):
-                return "The pattern matches empty text."
-        except regex.error:
-            return "The pattern is not a regular expression."
-        except TimeoutError:
-            return "The pattern is too slow."
+        problem = _java_problem(rule.pattern) or _java_problem(wrapped(rule.pattern, rule.case_sensitive, rule.whole_word))
+        if problem is None and (guarded or SparkSession.getActiveSession() is None or guarded is None and risky(rule.pattern)):
+            problem = _python_problem(rule.pattern)
+        return problem
     if rule.kind == "Text" and rule.fuzzy and not 50 <= rule.fuzzy_threshold <= 100:
         return "The threshold must be from 50 to 100."
     return None
@@ -66,8 +94,8 @@ def normalised(rule: Rule) -> Rule:
     return replace(rule, label=rule.label.strip(), pattern="" if rule.kind == "BuiltIn" else rule.pattern, case_sensitive=rule.case_sensitive and not app, whole_word=rule.whole_word and not app, fuzzy=rule.fuzzy and text, fuzzy_threshold=min(100, max(50, rule.fuzzy_threshold)))
 
 
-def active(rules: Iterable[Rule]) -> list[Rule]:
-    return [r for r in rules if r.enabled and validate(r) is None]
+def active(rules: Iterable[Rule], guarded: bool | None = None) -> list[Rule]:
+    return [r for r in rules if r.enabled and validate(r, guarded) is None]
 
 
 def from_rows(df: DataFrame) -> list[Rule]:
@@ -80,7 +108,7 @@ def guarded_spans(text: Column, rule: Rule) -> Column:
     wrapped = rf"(?<!\w)(?:{rule.pattern})(?!\w)" if rule.whole_word else rule.pattern
     flags = 0 if rule.case_sensitive else regex.IGNORECASE
 
-    @F.pandas_udf(_SPANS)
+    @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
         compiled = regex.compile(wrapped, flags)
 
@@ -96,15 +124,19 @@ def guarded_spans(text: Column, rule: Rule) -> Column:
     return run(text)
 
 
-def rule_spans(text: Column, rule: Rule, guarded: bool = False) -> Column:
-    """array<struct<start,length,text>> of one rule; window rules find nothing in text."""
+def rule_spans(text: Column, rule: Rule, guarded: bool | None = None) -> Column:
+    """array<struct<start,length,text>> of one rule; window rules find nothing in text.
+
+    guarded: whether a user's pattern runs with a time limit for each text; by default where it is risky.
+    """
     if rule.kind == "BuiltIn":
         return detector_spans(text, rule.built_in)
     if rule.kind == "Regex":
-        return guarded_spans(text, rule) if guarded else regex_spans(text, rule.pattern, rule.case_sensitive, rule.whole_word)
+        limited = risky(rule.pattern) if guarded is None else guarded
+        return guarded_spans(text, rule) if limited else regex_spans(text, rule.pattern, rule.case_sensitive, rule.whole_word)
     if rule.kind == "Text":
         return fuzzy_spans(text, rule.pattern, rule.fuzzy_threshold) if rule.fuzzy else literal_spans(text, rule.pattern, rule.case_sensitive, rule.whole_word)
-    return F.array().cast(_SPANS)
+    return F.array().cast(SPANS)
 
 
 def described(rules: DataFrame) -> DataFrame:

@@ -126,3 +126,77 @@ def test_rule_tables(spark):
     assert (r["display_name"], r["hidden"], r["options"]) == ("abcdefghijklmnop", "•" * 12, "case sensitive")
     assert rules.from_rows(table)[0].pattern == "abcdefghijklmnop"
     assert detector_spans(F.col("t"), "Email") is not None and literal_spans(F.col("t"), " ") is not None
+
+
+def test_fuzzy_against_plain_windows(spark):
+    """Every window of words, scored by the usual table; the best of those that overlap."""
+    rng = random.Random(5)
+    words = ["corner", "comer", "be1ow", "below!", "b-e.low", "co", "rner", "x", "...", "corn", "erbelow", "CORNER", "c0mer,", "lob", "we"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 14))) for _ in range(120)]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    def plain(text, pattern, least):
+        target, size = normalise(pattern), len(pattern.split())
+        spots, hits = [m.span() for m in re.finditer(r"\S+", text)], []
+        for i in range(len(spots)):
+            for k in (size, size - 1, size + 1):
+                if 1 <= k <= len(spots) - i:
+                    shown = text[spots[i][0] : spots[i + k - 1][1]].rstrip(".,;:!?)]\"'")
+                    like = normalise(shown)
+                    if shown and like and abs(len(like) - len(target)) <= max(2, len(target) // 3):
+                        score = round(200 * common(target, like) / (len(target) + len(like)))
+                        if score >= least:
+                            hits.append((-score, spots[i][0], len(hits), len(shown)))
+        taken = []
+        for _, s, _, n in sorted(hits):
+            if all(s >= b + m or b >= s + n for b, m in taken):
+                taken.append((s, n))
+        return [text[s : s + n] for s, n in sorted(taken)]
+
+    for pattern, least in (("corner below", 85), ("corner", 60), ("a b", 50)):
+        assert found(spark, texts, Rule("Text", pattern, fuzzy=True, fuzzy_threshold=least)) == [plain(t, pattern, least) for t in texts]
+
+
+@pytest.mark.parametrize("pattern", [r"(?=a)", r"\b", r"x?(?=an)", r"a|(?=n)", r"(?<=n)|b", r"$|x", "a"])
+def test_matches_of_nothing_are_left_out(spark, pattern):
+    texts = ["banana xab", "", "an", "xan xan", "ax\nan"]
+    got = found(spark, texts, Rule("Regex", pattern, case_sensitive=True), guarded=False)
+    assert got == [[m[0] for m in re.finditer(pattern, t) if m[0]] if rules.validate(Rule("Regex", pattern)) is None else [] for t in texts]
+
+
+def test_a_bad_or_slow_rule_costs_the_others_nothing(spark):
+    bad = Rule("Regex", r"(?P<n>a)b", id="bad")
+    slow = Rule("Regex", r"^(a+)+$", id="slow")
+    assert rules.validate(bad) and rules.validate(slow) is None and rules.risky(slow.pattern) and not rules.risky(r"ACC-\d+")
+    assert rules.risky(r"(a|aa)+$") and rules.risky(r"(a)\1") and not rules.risky(r"[*+?]x\+") and not rules.risky(r"(?i)a(?=b)")
+    df = spark.createDataFrame([(1, "a" * 40 + "!"), (2, "ab")], "k int, t string")
+    got = detect.find_matches(df, "t", [bad, slow, Rule("Text", "ab", id="good")], ["k"])
+    assert [(r["k"], r["rule_id"]) for r in got.collect()] == [(2, "good")]
+
+
+def test_many_matches_in_one_text(spark):
+    """The cost grows with the matches, not with their square."""
+    text = "a " * 40_000
+    df = spark.createDataFrame([(text,)], "t string")
+    row = detect.mask(df, "t", [Rule("Text", "a", id="a")]).first()
+    assert row["masked"] == "█ " * 40_000
+    parts = df.select(F.size(lines_of_pieces(F.concat("t", F.lit("\n"), "t"), F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("length"))))).alias("n")).first()
+    assert parts["n"] == 2
+
+
+def test_merging_against_cells(spark):
+    rng = random.Random(9)
+    rows = [(i, [(rng.randint(0, 900), rng.randint(1, 9)) for _ in range(rng.choice((0, 1, 5, 300)))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, s array<struct<start:int,length:int>>")
+    for r in df.select("s", merged(F.col("s")).alias("m")).collect():
+        cells = sorted({c for s in r["s"] for c in range(s["start"], s["start"] + s["length"])})
+        got = [(s["start"], s["start"] + s["length"]) for s in r["m"]]
+        assert [c for a, b in got for c in range(a, b)] == cells and all(b < c for (_, b), (c, _) in zip(got, got[1:], strict=False))
