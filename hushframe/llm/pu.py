@@ -2,8 +2,8 @@
 
 A linear model over binary features is fitted from trusted positives and unlabelled texts: the risk on
 negatives is the risk of the unlabelled texts less the positives' share in it, and is kept from going
-below zero. The positives' share (class prior) is estimated from the same two samples. Fitting uses
-bounded samples (parameters); scoring reads every whole text.
+below zero. The positives' share (class prior) is estimated from the same two samples, whatever other labels
+there are. Fitting uses bounded samples (parameters); scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ _PLAIN = bytes(c for c in range(128) if chr(c).isalnum() or c in b" \t\n\x0b\x0c
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Lengths in bytes of the beginnings of words, and the share of a text's words that must have one for it to count.
 PREFIXES, SHARE = (4, 5, 6, 7, 8), 0.012
+#: Parts of the sample, each of which is scored by a model of the others when the class prior is estimated.
+PARTS = 5
 _ALL = bytes(range(256))
 _NOT_UPPER = bytes(c for c in _ALL if c not in _UPPER)
 _NOT_DIGIT = bytes(c for c in _ALL if c not in _DIGIT)
@@ -83,7 +85,7 @@ def describe(text: bytes) -> tuple[list[float], set[bytes]]:
 
 
 def _sample(docs: DataFrame, positives: DataFrame, sizes: Sizes) -> DataFrame:
-    """(text, pos, unl): texts of at most so many positives and of at most so many documents, labelled or not."""
+    """(text, pos, unl, part): texts of at most so many positives and of at most so many documents, labelled or not."""
     order = F.xxhash64("doc_id", F.lit(sizes.seed))
     ids = docs.select("doc_id").where("doc_id is not null")
     p = positives.orderBy(order).limit(sizes.positives).select("doc_id", F.lit(1).alias("pos"), F.lit(0).alias("unl"))
@@ -92,7 +94,7 @@ def _sample(docs: DataFrame, positives: DataFrame, sizes: Sizes) -> DataFrame:
     chosen = p.union(u).groupBy("doc_id").agg(F.max("pos").alias("pos"), F.max("unl").alias("unl"))
     # However often an id stands, it is here once, with the first of its texts, so that reruns fit alike.
     found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("pos").alias("pos"), F.max("unl").alias("unl"))
-    return cut(found.select("text", "pos", "unl"), "sample")
+    return cut(found.select("text", "pos", "unl", F.pmod(F.xxhash64("doc_id", F.lit(sizes.seed + 1)), F.lit(PARTS)).cast("int").alias("part")), "sample")
 
 
 def _all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,7 @@ def _featurised(numbers: dict[bytes, int]):
             rows = [(s, sorted(numbers[m] for m in known & marks)) for s, marks in map(describe, utf8(batch.column(0)))]
             style = pa.array([s for s, _ in rows], pa.list_(pa.float64()))
             found = pa.array([f for _, f in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), style, found], ["pos", "unl", "style", "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], style, found], ["pos", "unl", "part", "style", "found"])
 
     return run
 
@@ -157,21 +159,44 @@ def class_prior(score_p: np.ndarray, score_u: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
-def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes(), prior: float | None = None) -> Model:
-    """Model of the class of positives (column doc_id) from docs (doc_id, text). No positive text: a model without features.
+def _apart(xp: np.ndarray, xu: np.ndarray, l2: float) -> np.ndarray:
+    """Weights that tell positives from unlabelled texts, both counted alike; they only order the texts."""
+    return _descend(xp, lambda w: xp.T @ (_sigmoid(xp @ w) - 1) / len(xp) + xu.T @ _sigmoid(xu @ w) / len(xu), l2)
 
-    prior: the share of positives where it is known from elsewhere, such as an audited sample; else it is estimated here.
-    """
+
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Mean logistic losses: of the positives as such, times the prior, and of the negatives: the unlabelled less the positives among them."""
+    zp, zu = xp @ w, xu @ w
+    return float(prior * np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def minimise(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float) -> np.ndarray:
+    """Weights of the least non-negative risk: where the risk of the negatives falls below zero, the step raises it."""
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        zp, zu = xp @ w, xu @ w
+        on_p = xp.T @ _sigmoid(zp) / len(xp)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        g_negative = xu.T @ _sigmoid(zu) / len(xu) - prior * on_p
+        if negative < 0:
+            return -g_negative
+        return prior * (xp.T @ (_sigmoid(zp) - 1)) / len(xp) + g_negative
+
+    return _descend(xp, gradient, l2)
+
+
+def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes()) -> Model:
+    """Model of the class of positives (column doc_id) from docs (doc_id, text). No positive text: a model without features."""
     sample = _sample(docs, positives, sizes)
     marks = {m: i for i, m in enumerate(_choose_marks(sample, sizes))}
-    data = sample.select("text", "pos", "unl").mapInArrow(_featurised(marks), "pos int, unl int, style array<double>, found array<int>").toArrow()
+    data = sample.mapInArrow(_featurised(marks), "pos int, unl int, part int, style array<double>, found array<int>").toArrow()
     pos, unl = (data.column(c).to_numpy() == 1 for c in ("pos", "unl"))
     if pos.sum() < 2 or unl.sum() < 2:
         return Model(prior=0.5)
-    style = np.array(data.column("style").to_pylist())
-    order = np.lexsort([*style.T])  # so that reruns see the same order
-    style, pos, unl = style[order], pos[order], unl[order]
-    found = data.column("found").to_pylist()
+    part, style, found = data.column("part").to_numpy(), np.array(data.column("style").to_pylist()), data.column("found").to_pylist()
+    # So that reruns see the same order.
+    order = sorted(range(len(style)), key=lambda i: (style[i].tolist(), found[i], part[i], pos[i], unl[i]))
+    style, pos, unl, part = style[order], pos[order], unl[order], part[order]
     edges = [np.unique(np.quantile(style[unl, j], np.linspace(0, 1, BINS + 1)[1:-1])).tolist() for j in range(style.shape[1])]
     offsets = 1 + np.cumsum([0, *[len(e) + 1 for e in edges]])
     x = np.zeros((len(style), int(offsets[-1]) + len(marks)), np.float32)
@@ -181,28 +206,14 @@ def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes(), prior: fl
         x[np.arange(len(x)), offsets[j] + bins[:, j]] = 1
     for row, at in enumerate(order):
         x[row, [offsets[-1] + k for k in found[at]]] = 1
-    xp, xu = x[pos], x[unl]
-    l2 = 4.0 / len(xp)
-
-    def against(keep_p: np.ndarray, keep_u: np.ndarray) -> np.ndarray:
-        a, b = xp[keep_p], xu[keep_u]
-        return _descend(x, lambda w: a.T @ (_sigmoid(a @ w) - 1) / len(a) + b.T @ _sigmoid(b @ w) / len(b), l2)
-
-    if prior is None:  # scores of texts that the model at hand has not seen, by halves
-        half_p, half_u = np.arange(len(xp)) % 2 == 0, np.arange(len(xu)) % 2 == 0
-        halves = ((half_p, half_u), (~half_p, ~half_u))
-        prior = float(np.mean([class_prior(xp[~hp] @ w, xu[~hu] @ w) for hp, hu in halves for w in [against(hp, hu)]]))
-
-    def risk(w: np.ndarray) -> np.ndarray:
-        zp, zu = xp @ w, xu @ w
-        on_p = xp.T @ _sigmoid(zp) / len(xp)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = xu.T @ _sigmoid(zu) / len(xu) - prior * on_p
-        if negative < 0:
-            return -g_negative
-        return prior * (xp.T @ (_sigmoid(zp) - 1)) / len(xp) + g_negative
-
-    w = _descend(x, risk, l2 * prior)
+    l2 = 4.0 / pos.sum()
+    # A document that is positive and unlabelled is in one part, so that no text is scored by a model that saw it.
+    seen, scores = [g for g in range(PARTS) if (pos & (part != g)).any() and (unl & (part != g)).any()], np.zeros(len(x))
+    for g in seen:
+        scores[part == g] = x[part == g] @ _apart(x[pos & (part != g)], x[unl & (part != g)], l2)
+    scored = np.isin(part, seen)
+    prior = class_prior(scores[pos & scored], scores[unl & scored]) if (pos & scored).any() and (unl & scored).any() else 0.5
+    w = minimise(x[pos], x[unl], prior, l2 * prior)
     return Model(prior, float(w[0]), edges, [w[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)], {k: float(w[offsets[-1] + i]) for k, i in marks.items() if w[offsets[-1] + i]})
 
 
@@ -244,12 +255,5 @@ def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 
 def trusted(labels: DataFrame, column: str) -> DataFrame:
-    """(doc_id): ids whose labels in the column are all 1; null ids and labels are left out."""
-    known = labels.select("doc_id", F.col(column).alias("label")).where("doc_id is not null and label is not null")
-    return known.groupBy("doc_id").agg(F.min("label").alias("label")).where("label = 1").select("doc_id")
-
-
-def audited_prior(labels: DataFrame, column: str) -> float | None:
-    """Share of 1 among the labels; None where there are fewer than 20 labels or one value only, which tell nothing of the share."""
-    got = labels.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.avg(F.col(column).cast("double")).alias("share")).first()
-    return float(got["share"]) if got["n"] >= 20 and 0 < got["share"] < 1 else None
+    """(doc_id): ids with a label 1 in the column; other labels, null ids and null labels are left out."""
+    return labels.where((F.col(column) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()

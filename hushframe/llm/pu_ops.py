@@ -16,7 +16,7 @@ QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.7, 0.3
 def _fit(docs: DataFrame, labels: DataFrame, column: str, sizes: pu.Sizes) -> pu.Model:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = labels.where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    return pu.fit(texts, pu.trusted(known, column), sizes, pu.audited_prior(known, column))
+    return pu.fit(texts, pu.trusted(known, column), sizes)
 
 
 def _classify(docs: DataFrame, labels: DataFrame, column: str, threshold: float, sizes: pu.Sizes) -> DataFrame:

@@ -213,6 +213,54 @@ def test_sample_has_each_id_once_whatever_the_order(spark):
     assert a == b and len(a) == 40 and sum(r[1] for r in a) == 10
 
 
+def test_labels_0_do_not_matter(spark):
+    """The share of positives is estimated: labels 0 may go or become unknown, and further ones may come."""
+    rng = random.Random(5)
+    rows = [(i, _prose(rng, 40) + (" vile" if i % 4 == 0 else ""), "en", "s", 1) for i in range(240)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    labels = [[(i, 1) for i in range(0, 240, 8)], [(i, int(i % 8 == 0)) for i in range(240)], [(i, 1 if i % 8 == 0 else None) for i in range(240)]]
+    got = [by_row(pu_ops.classify_toxicity(d, spark.createDataFrame(x, "doc_id long, toxic int")).withColumn("s", F.round("score", 9)), "s") for x in labels]
+    assert got[0] == got[1] == got[2]
+
+
+def test_risk_is_the_least_that_plain_descent_finds():
+    rng = np.random.default_rng(3)
+    for prior, apart in ((0.3, 1.0), (0.6, 2.5)):
+        y = rng.random(900) < prior
+        xu = np.c_[np.ones(900), rng.normal(0, 1, (900, 3)) + apart * y[:, None]].astype(np.float32)
+        xp = np.c_[np.ones(300), rng.normal(0, 1, (300, 3)) + apart].astype(np.float32)
+        l2 = 0.01
+
+        def total(w, a=xp, b=xu, share=prior, l2=l2):
+            on_p, on_n = pu.risk(w, a, b, share)
+            return on_p + max(0.0, on_n) + l2 / 2 * float((w[1:] ** 2).sum())
+
+        w, rate = np.zeros(4), 0.5
+        for _ in range(3000):  # numeric slopes of the risk as it is defined
+            slope = np.array([(total(w + e) - total(w - e)) / 2e-4 for e in np.eye(4) * 1e-4])
+            if total(w - rate * slope) > total(w):
+                rate /= 2
+            w = w - rate * slope if rate > 1e-6 else w
+        assert total(pu.minimise(xp, xu, prior, l2).astype(float)) <= total(w) + 0.01
+
+
+@pytest.mark.parametrize("classify", [pu_ops.classify_quality, pu_ops.classify_toxicity])
+def test_pu_classifiers_on_odd_tables(spark, classify):
+    """Clashing columns, repeated rows, null ids and labels, one label only: a score for each row, equal for equal texts."""
+    rng = random.Random(6)
+    rows = [(i, _prose(rng, 30) + (" vile" if i % 3 else ""), "en", i, i, 0.5) for i in range(60)]
+    rows += rows[:10] + [(None, "vile", None, None, None, None), (None, None, "en", 1, 1, 0.1), (99, "", "en", 1, 1, 0.2), (100, "w " * 50_000, "en", 1, 1, 0.2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, pos string, unl int, part int, score double")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(30) if i % 3] * 2 + [(None, 1, 1), (31, None, None)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(1), labels.limit(0)):
+        found = classify(d, known).collect()
+        assert len(found) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in found)
+        per = {}
+        for r in found:
+            per.setdefault(r["doc_id"], set()).add(r["score"])
+        assert all(len(v) == 1 for k, v in per.items() if k is not None)
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 7000)
