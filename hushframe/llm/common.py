@@ -43,6 +43,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast; a table of more is joined by a shuffle.
+FEW_ROWS = 200_000
+
+
+def if_few(rows: DataFrame, count: int) -> DataFrame:
+    """rows, of which there are count, to be broadcast only if they are few."""
+    return F.broadcast(rows) if count <= FEW_ROWS else rows
+
+
 def word_array(text: Column) -> Column:
     """The words of a text in order; an empty array for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE))

@@ -1,20 +1,25 @@
 """Benchmark decontamination with DataFrame operations only.
 
-The hashes of the benchmark's word windows form a bit set of fixed size, which every task gets as a
-scalar. The windows of a training text whose hash is in the set become rows; a join on the window's words
-themselves verifies them, and the verified ones mark words, spans or whole documents.
+The 64-bit hashes of the benchmark's word windows form a hash set of buckets, about one hash in each, which every
+task gets as a constant. The windows of a training text whose hash is in the set become rows; a join on the
+window's words themselves verifies them, and the verified ones mark words, spans or whole documents. A benchmark with more
+windows than one set may hold has several sets, which the texts meet one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, row_key
+from .common import cut, if_few, lower_ascii, row_key
 
 WINDOW = 10
-#: 64-bit cells of the bit set: 128 KB, whatever the size of the benchmark. A fuller set lets more windows reach the join.
-CELLS = 1 << 14
+#: Windows of one hash set: some 80 bytes each, so that an executor holds 20 MB of them at most.
+SET_WINDOWS = 1 << 18
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -33,22 +38,45 @@ def _windows(benchmark: DataFrame) -> DataFrame:
     return cuts.select("item_id", "k", F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("window")).distinct()
 
 
-def _cell(h: Column) -> Column:
-    return F.pmod(F.shiftright(h, 6), F.lit(CELLS))
+def _bucket(h: Column, buckets: int) -> Column:
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def _hash_set(hashes: DataFrame, buckets: int) -> Column:
+    """array<array<bigint>>: the hashes (column h) of each bucket, by their lower bits, as a constant of the plan.
+
+    The driver holds the hashes of one set at most. A text that the optimizer reads once stands for them.
+    """
+    found = np.sort(hashes.toArrow().column("h").to_numpy().astype(np.int64))
+    found = found[np.argsort(found & (buckets - 1), kind="stable")]
+    parts = np.split(found, np.searchsorted(found & (buckets - 1), np.arange(1, buckets)))
+    return F.from_json(F.lit("[" + ",".join(str(p.tolist()) for p in parts) + "]"), "array<array<bigint>>")
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _place(h: Column) -> Column:
-    return h.bitwiseAND(63).cast("int")
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-def _bit_set(windows: DataFrame) -> DataFrame:
-    """One row, one array of CELLS longs: bit h & 63 of cell (h >> 6) is set for the hash h of each window."""
-    h = F.xxhash64(F.split("window", " "))
-    bits = windows.select(_cell(h).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), _place(h)).alias("bit"))
-    cells = bits.groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    every = windows.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(cells, "cell", "left")
-    pairs = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("x"))
-    return pairs.select(F.transform("x", lambda p: p["bits"]).alias("set"))
+
+def _hits_of_set(texts: DataFrame, hashes: DataFrame, count: int, lengths: list[int]) -> DataFrame:
+    """(row_key, at, k, window) of the windows of texts (row_key, w) whose hash is among hashes (h), of which there are count."""
+    buckets = 1 << max(0, count - 1).bit_length()
+    inside = _hash_set(hashes, buckets)
+
+    def starts(k: int, hw: Column, held: Column) -> Column:
+        """Where the windows of k words begin that the set holds."""
+        at = F.sequence(F.lit(1), F.size(hw) - k + 1)
+        known = lambda h: F.array_contains(F.get(held, _bucket(h, buckets)), h)
+        found = let(F.transform(at, lambda i: F.xxhash64(F.slice(hw, i, k))), lambda h: F.filter(at, lambda i: known(F.get(h, i - 1))))
+        cuts = F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("w", i, k), " ").alias("window")))
+        return F.when(F.size(hw) >= k, cuts)
+
+    every = lambda held: let(_hashed(F.col("w")), lambda hw: F.flatten(F.array_compact(F.array(*[starts(k, hw, held) for k in lengths]))))
+    return texts.select("row_key", F.explode(let(inside, every)).alias("c")).select("row_key", "c.*")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,23 +90,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     counted = texts.select("row_key", F.size("w").cast("long").alias("n_words"))
     if not lengths:
         return counted, texts.sparkSession.createDataFrame([], "row_key binary, at int, k int, item_id " + benchmark.schema["item_id"].dataType.simpleString())
-    bits = cut(_bit_set(windows), "bits")
-    inside = bits.scalar()
-
-    def held(k: int):
-        def test(i: Column) -> Column:
-            h = F.xxhash64(F.slice("w", i, k))
-            return F.call_function("shiftright", F.get(F.col("set"), _cell(h).cast("int")), _place(h)).bitwiseAND(1) == 1
-
-        return test
-
-    def starts(k: int) -> Column:
-        found = F.filter(F.sequence(F.lit(1), F.size("w") - k + 1), held(k))
-        cuts = F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.array_join(F.slice("w", i, k), " ").alias("window")))
-        return F.when(F.size("w") >= k, cuts)
-
-    likely = texts.withColumn("set", inside).select("row_key", F.explode(F.flatten(F.array_compact(F.array(*map(starts, lengths))))).alias("c"))
-    return counted, likely.select("row_key", "c.*").join(windows, ["k", "window"]).select("row_key", "at", "k", "item_id")
+    hashes = cut(windows.select(F.xxhash64(_hashed(F.split("window", " "))).alias("h")).distinct(), "hashes")
+    count = hashes.count()
+    sets = -(-count // SET_WINDOWS)
+    share = lambda i: hashes.where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(sets)) == i) if sets > 1 else hashes
+    likely = reduce(DataFrame.unionByName, [_hits_of_set(texts, share(i), -(-count // sets), lengths) for i in range(sets)])
+    # By the words themselves; equal hashes of other words end here.
+    return counted, likely.join(if_few(windows, windows.count()), ["k", "window"]).select("row_key", "at", "k", "item_id")
 
 
 def _covered(spans: Column) -> Column:
@@ -108,12 +126,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark window; all columns and all other rows stay."""
     _, hits = find_hits(docs, benchmark)
-    dirty = hits.select(F.col("row_key").alias("__dirty_key")).distinct()
-    return docs.join(dirty, row_key(docs["doc_id"], docs["text"]) == dirty["__dirty_key"], "left_anti")
+    dirty = cut(hits.select(F.col("row_key").alias("__dirty_key")).distinct(), "dirty")
+    return docs.join(if_few(dirty, dirty.count()), row_key(docs["doc_id"], docs["text"]) == dirty["__dirty_key"], "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text): normalised texts of docs without the words inside benchmark windows."""
+    """(doc_id, text): normalised texts of docs without the words inside benchmark windows; null and empty texts come out empty."""
     found = contamination(docs, benchmark).select(F.col("row_key").alias("found_key"), "spans").dropDuplicates(["found_key"])
     words = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), normal_words(F.col("text")).alias("w"))
     joined = words.join(found, words["row_key"] == found["found_key"], "left")

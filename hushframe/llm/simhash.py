@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, row_key, utf8
+from .common import cut, if_few, row_key, utf8
 from .components import components
 
 BITS, BLOCKS, MAX_DISTANCE, SHINGLE, SEED = 64, 5, 3, 3, 42
@@ -170,14 +170,15 @@ def near_links(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect every two of the distinct fingerprints (column print) within three bits."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_block_masks())])
     keyed = prints.select("print", F.explode(tables).alias("x")).select("print", "x.t", "x.k")
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     placed = keyed.join(sizes, ["t", "k"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK))
     own = F.pmod(F.xxhash64("print", F.lit("chunk")), "chunks")
     # Row of chunk c meets itself at (c, c) and every other chunk at (smaller, larger).
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, "c").alias("i"), F.greatest(o, "c").alias("j"), F.when(o == F.col("c"), 0).when(F.col("c") < o, 1).otherwise(2).cast("long").alias("side")))
     met = placed.withColumn("c", own).select("print", "t", "k", F.explode(meets).alias("m"))
     bucketed = met.select("print", "m.side", F.xxhash64("t", "k", "m.i", "m.j").alias("bucket"))
-    calls = max(64, -(-bucketed.count() // CALL_ROWS))
+    rows = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / CHUNK))).first()[0] or 0
+    calls = max(64, -(-rows // CALL_ROWS))
     return bucketed.withColumn("call", F.pmod("bucket", F.lit(calls))).groupBy("call").applyInArrow(_compare, "a long, b long")
 
 
@@ -203,10 +204,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest id stays, once."""
-    grouped = simhash_components(docs, id_col, text_col)
-    kept = cut(grouped.where("row_key = first_key").select(F.col("row_key").alias("__kept_key")), "kept")
-    counts = kept.agg(F.count("*").alias("n"), F.count_distinct("__kept_key").alias("d")).first()
-    out = docs.join(kept.distinct() if counts["n"] > counts["d"] else kept, row_key(docs[id_col], docs[text_col]) == kept["__kept_key"], "inner")
-    if counts["n"] > counts["d"]:
-        out = out.dropDuplicates(["__kept_key"])
-    return out.select(*[docs[c] for c in docs.columns])
+    grouped = cut(simhash_components(docs, id_col, text_col).select("row_key", (F.col("row_key") == F.col("first_key")).alias("stays")), "grouped")
+    gone = cut(grouped.where("not stays").select(F.col("row_key").alias("__gone_key")).distinct(), "gone")
+    key = row_key(docs[id_col], docs[text_col])
+    out = docs.join(if_few(gone, gone.count()), key == gone["__gone_key"], "left_anti")
+    stay = grouped.where("stays").agg(F.count("*").alias("n"), F.count_distinct("row_key").alias("d")).first()
+    if stay["n"] > stay["d"]:  # rows that repeat an id and text
+        out = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"), key.alias("key")).dropDuplicates(["key"]).select("row.*")
+    return out

@@ -474,7 +474,9 @@ def normal(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("windows", [1 << 18, 40])
+def test_decontamination(spark, docs, empty, monkeypatch, windows):
+    monkeypatch.setattr(decontaminate, "SET_WINDOWS", windows)
     rng = random.Random(9)
     long_item, rows = ROWS[62][1], list(ROWS)
     bench_rows = [(1, long_item), (2, "not anywhere at all in these texts of ours at any place"), (3, "Two-words!"), (4, ""), (5, None), (None, "copy of a row"), (6, "again and"), (10, long_item[: len(long_item) // 2])]
@@ -502,3 +504,22 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
     left = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}
     assert "two words" not in left[ROWS.index(next(r for r in ROWS if r[1] == "two words"))]
+
+
+def test_a_benchmark_of_a_million_windows(spark):
+    """Several sets; the texts hold one window of every thousandth item and are otherwise unlike the items."""
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit("b"), F.col("id") * 20 + i) for i in range(19)]).alias("text"))
+    dirty = items.where("item_id % 1000 = 0").select(F.col("item_id").alias("doc_id"), F.expr("concat('before ', substring_index(text, ' ', 10), ' behind')").alias("text"))
+    clean = spark.range(200).select((-1 - F.col("id")).alias("doc_id"), F.concat(F.lit("c"), F.expr("repeat(concat(' d', id), 40)")).alias("text"))
+    found = decontaminate.contamination(dirty.union(clean), items).where("contaminated").collect()
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found} == {i: (10, [str(i)]) for i in range(0, 100_000, 1000)}
+
+
+def test_dropped_rows_are_the_same_by_broadcast_and_by_shuffle(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, ROWS[62][1])], "item_id long, text string")
+    seen = []
+    for few in (200_000, 0):
+        for module in (decontaminate, simhash):
+            monkeypatch.setattr(module, "if_few", lambda rows, n, few=few: F.broadcast(rows) if n <= few else rows)
+        seen.append((by_row(decontaminate.drop_contaminated(docs, bench)), by_row(simhash.keep_one_per_group(docs))))
+    assert seen[0] == seen[1] and sum(seen[0][0].values()) < len(ROWS)
