@@ -4,7 +4,8 @@ A window is 35 consecutive words. Its minimiser is the least hash among its runs
 consecutive windows with the same minimiser form a super-k-mer. Equal windows have equal minimisers, so:
 minimisers are counted first, and only super-k-mers whose minimiser occurs again travel, each as one packed
 string, to the bucket of their minimiser. There the windows are sorted and counted exactly. A minimiser
-with many super-k-mers has many buckets, whose counts of distinct windows are added up.
+with many super-k-mers has many buckets: what a bucket holds twice is settled there, and a window that it holds
+once is looked for in the others by its digest.
 """
 
 from __future__ import annotations
@@ -112,7 +113,8 @@ _SPAN = pa.struct([("row_key", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32
 
 
 def _counted(data: pa.Table) -> pa.Table:
-    """Spans of repeated windows of a call's buckets. Windows of salted minimisers come with their digest and count."""
+    """Spans of repeated windows of a call's buckets. Windows of salted minimisers come with their digest, and with
+    their span where the bucket has them once; so no digest has more spans than the minimiser has buckets."""
     keys, at, salted = (data.column(c).to_pylist() for c in ("row_key", "at", "salted"))
     windows: list[tuple[bytes, int, int]] = []
     for i, packed in enumerate(data.column("packed").to_pylist()):
@@ -127,10 +129,10 @@ def _counted(data: pa.Table) -> pa.Table:
     for window, same in groupby(windows, itemgetter(0)):
         same = list(same)
         if salted[same[0][1]]:
-            digests.append(hashlib.md5(window).digest())
-            counts.append(len(same))
-            spans.append([(keys[i], w, w + WINDOW) for _, i, w in same])
-        elif len(same) > 1:
+            digests.append(hashlib.blake2b(window, digest_size=16).digest())
+            counts.append(min(2, len(same)))
+            spans.append([(keys[i], w, w + WINDOW) for _, i, w in same] if len(same) == 1 else [])
+        if len(same) > 1:
             for _, i, w in same:
                 repeated[i].append(w)
     for i, found in repeated.items():
@@ -174,7 +176,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = cut(placed.groupBy("call").applyInArrow(_counted, "digest binary, n long, spans array<struct<row_key: binary, lo: int, hi: int>>"), "counted")
     parts = counted.where("digest is not null")
     twice = parts.groupBy("digest").agg(F.sum("n").alias("times")).where("times > 1").select("digest")
-    spans = counted.where("digest is null").select("spans").union(parts.join(twice, "digest").select("spans"))
+    spans = counted.where("digest is null").select("spans").union(parts.where("n = 1").join(twice, "digest").select("spans"))
     by_row = spans.select(F.explode("spans").alias("s")).groupBy(F.col("s.row_key").alias("found_key")).agg(F.array_sort(F.collect_set(F.struct("s.lo", "s.hi"))).alias("spans"))
     found = flagged.dropDuplicates(["row_key"]).join(by_row, F.col("row_key") == F.col("found_key")).select("row_key", "text", "spans")
     return summaries.select("doc_id", "row_key", "n_words", "sha256"), found
