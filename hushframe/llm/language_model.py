@@ -24,7 +24,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Characters of a block, about.
 BLOCK_CHARS = 3_000_000
 CONTEXT_BUCKETS = 24
-_LOW = np.uint64((1 << 48) - 1)
+#: So many blocks' worth of keys, about, make a range: fewer and longer rows, of which there is one for each block and range.
+RANGE_BLOCKS = 4
 _END = xxhash.xxh64_intdigest(b"")
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -51,14 +52,19 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(tokens: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
-    """Keys of each token with the one before it (an end before the first): the range in the upper bits, then 48 bits."""
+    """Keys of each token with the one before it (an end before the first): the range in the upper bits, then 48 bits, or what 64 leave."""
     before = np.r_[np.uint64(_END), tokens[:-1]]
     before[np.cumsum(sizes)[:-1]] = _END
     h = (before * _K1) ^ tokens
     h = (h ^ (h >> np.uint64(32))) * _K2
     h ^= h >> np.uint64(29)
     h *= _K1
-    return ((h >> np.uint64(64 - bits)) << np.uint64(48)) | (h & _LOW) if bits else h & _LOW
+    return h >> np.uint64(max(0, 16 - bits))
+
+
+def _shift(kind: int, bits: int) -> int:
+    """Bits of a key below its range."""
+    return min(48, 64 - bits) if kind else 64 - bits
 
 
 def _ranges(keys: np.ndarray, shift: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +103,9 @@ def _questions(bits: int):
         rows = []
         for kind, keys in enumerate((tokens, _pairs(tokens, sizes, bits))):
             found, counts, _ = _distinct(keys, train)
-            ranges, start = _ranges(found, 48 if kind else 64 - bits, bits)
+            ranges, start = _ranges(found, _shift(kind, bits), bits)
             for r, a, b in zip(ranges.tolist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
-                own = found[a:b] & _LOW if kind else found[a:b]
+                own = found[a:b] & np.uint64((1 << _shift(kind, bits)) - 1) if kind else found[a:b]
                 rows.append((block, kind, r, _pack(_differences(own), 6 if kind else 8), counts[a:b].astype("<u4").tobytes()))
         types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["block", "kind", "part", "keys", "counts"])
@@ -232,11 +238,11 @@ def score(docs: DataFrame) -> DataFrame:
 
     Learns from the rows outside the held-out fold. Null and empty texts are one end token; null ids count as fold
     0, are learnt from and keep their row; repeated rows are counted as often as they stand; an empty table gives no row. Words are told
-    apart by 64-bit hashes, pairs by 48 bits and their range. Other columns are not read.
+    apart by 64-bit hashes, pairs by 48 bits and their range, together 64 bits at most. Other columns are not read.
     """
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = 1 + chars // BLOCK_CHARS
-    bits = (blocks - 1).bit_length()
+    bits = (-(-blocks // RANGE_BLOCKS) - 1).bit_length()
     key = row_key(F.col("doc_id"), F.col("text"))
     train = (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT).cast("int")
     texts = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), "doc_id", train.alias("train"), F.col("text").cast("string").alias("text"))

@@ -384,6 +384,21 @@ def test_language_model_weights_are_learnt_from_all_training_documents(docs, mon
         assert np.allclose(seen["w"][k], w, atol=0.01), k
 
 
+@pytest.mark.parametrize("bits", [0, 3, 16, 20, 26])
+def test_ranges_of_pairs(bits):
+    """Every range is used, keys of a range differ, and what is packed comes back, however many ranges there are."""
+    rng = np.random.default_rng(bits)
+    keys = np.unique(language_model._pairs(rng.integers(0, 1 << 63, 200_000, dtype=np.uint64), np.array([200_000]), bits))
+    assert len(keys) > 199_990
+    shift = language_model._shift(1, bits)
+    ranges, start = language_model._ranges(keys, shift, bits)
+    assert ranges[-1] < 1 << bits and len(ranges) > min(1 << bits, 200_000) * 0.6
+    for r, a, b in list(zip(ranges.tolist(), start[:-1].tolist(), start[1:].tolist(), strict=True))[:50]:
+        own = keys[a:b] & np.uint64((1 << shift) - 1)
+        back = np.cumsum(language_model._unpack(language_model._pack(language_model._differences(own), 6), 6), dtype=np.uint64)
+        assert ((back | np.uint64(r << shift)) == keys[a:b]).all()
+
+
 def test_language_model_of_nothing(empty):
     assert language_model.score(empty).count() == 0
 
