@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, if_few, shared_dir
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
-#: Records of one archive file, so that a reader holds a bounded part of the archive.
-FILE_RECORDS = 2000
+#: Bytes of one archive file, about, or one record if that is larger; records are written by classes of size, so that
+#: the largest of a class says how many of them a file may hold.
+FILE_BYTES = 64_000_000
+CLASSES = (32_000, 1_000_000)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -50,9 +52,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", payload.alias("payload")).withColumns({"sha256": F.sha2("payload", 256), "n": F.octet_length("payload")})
+    p = p.withColumn("class", sum(F.when(F.col("n") >= c, 1).otherwise(0) for c in CLASSES))
+    narrow = cut(p.select("page_id", "sha256", "n", "class"), "digests")
     first = F.min(F.struct(F.col("page_id").isNull(), "page_id"))["page_id"]
-    firsts = p.groupBy("sha256", "n").agg(first.alias("first_id"))
-    p = p.join(firsts, ["sha256", "n"]).withColumn("revisit", (F.col("n") >= min_bytes) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id"))) & F.col("first_id").isNotNull())
+    # A payload that no other record has needs no look at the others: only digests that repeat meet the records, which
+    # then travel only if those digests are too many to be sent to all.
+    shared = cut(narrow.where(F.col("n") >= min_bytes).groupBy("sha256", "n").agg(first.alias("first_id"), F.count("*").alias("times")).where("times > 1").drop("times"), "shared")
+    p = p.join(if_few(shared, shared.count()), ["sha256", "n"], "left").withColumn("revisit", F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id"))))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(_END))
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     name = lambda value: F.concat(F.lit("<urn:page:"), _one_line(value), F.lit(">"))
@@ -70,8 +76,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit("\r\n"),
     )
     record = F.concat(header, http, F.when(F.col("revisit"), "").otherwise(F.col("payload")))
-    out = p.select(record.alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip")
-    out.option("lineSep", _END).text(path)
+    largest = {r["class"]: r["n"] for r in narrow.groupBy("class").agg(F.max("n").alias("n")).collect()}
+    for c, n in sorted(largest.items()) or [(0, 0)]:
+        most = max(1, FILE_BYTES // (max(n, 32_000) + 1))
+        out = p.where(F.col("class") == c).select(record.alias("value")).write.mode("append").option("maxRecordsPerFile", most)
+        out.option("compression", "gzip").option("lineSep", _END).text(path)
 
 
 @dataclass
