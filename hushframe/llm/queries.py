@@ -60,6 +60,29 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_ops.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract of op2 fixes."""
+    judged = decision_list.statistics(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract of op4 fixes."""
+    found = secret_scan.scan_base(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"))
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract of op6 fixes."""
+    scored = language_model.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract of op8 fixes to the word; which documents fill the targets is the flow's."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decision_list": op2_decision_list,
@@ -71,30 +94,105 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_pu_toxicity": op10_pu_toxicity,
+    "base_statistics": base_statistics,
+    "base_secrets": base_secrets,
+    "unigram_scores": unigram_scores,
+    "mix_targets": mix_targets,
 }
-#: Targets by the closed form of resharing; documents in the order of their seeded place.
-OP8_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(text, '')), 1, 12))::BIGINT AS place
-  FROM documents),
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Statistics by words and lines in rows.
+BASE_STATISTICS_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+w AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS five FROM d, unnest(range(1, len(ws) - 3)) u(i)),
+t AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, five) AS n FROM w) WHERE n > 1),
+p AS (SELECT r, count(DISTINCT i + j) AS n FROM t, range(5) x(j) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+       coalesce(p.n, 0)::BIGINT AS n_repeat_words, (len(ws) < 10 OR 100 * coalesce(p.n, 0) > 20 * len(ws)) AS base_failed
+FROM d LEFT JOIN l ON d.r = l.r LEFT JOIN p ON d.r = p.r
+"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _sql_spans(kind: str, place: int, pattern: str, keep: str) -> str:
+    """Matches with their offsets, by the lengths of the pieces between them."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT r, '{kind}' AS kind, {place} AS place, raw, s AS start, s + length(raw) AS stop FROM (
+ SELECT r, m[i] AS raw, (list_sum(list_transform(x[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0))::BIGINT AS s
+ FROM (SELECT r, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS x FROM d), unnest(range(1, len(m) + 1)) u(i)) WHERE {keep}"""
+
+
+_NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_HEAD = rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?"""
+_ASSIGN = _sql_spans("assign", 0, _HEAD + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(raw, '^{_HEAD.replace(chr(39), chr(39) * 2)}', '')) >= 6")
+#: Each kind by itself, then in the order of starts.
+BASE_SECRETS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_ASSIGN} UNION ALL {_sql_spans("access", 1, "AKIA[A-Z0-9]+", "length(raw) >= 20")} UNION ALL {_sql_spans("hex", 2, "[0-9a-f]+", "length(raw) >= 24")})
+SELECT d.doc_id, (count(*) FILTER (WHERE kind = 'assign'))::BIGINT AS n_assign, (count(*) FILTER (WHERE kind = 'access'))::BIGINT AS n_access, (count(*) FILTER (WHERE kind = 'hex'))::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place), '')) AS base_sha256
+FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r, d.doc_id
+"""
+
+#: All windows in rows, those found twice, and the words that they cover.
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT r, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS win FROM d, unnest(range(1, len(ws) - 33)) u(i)),
+t AS (SELECT r, i FROM w JOIN (SELECT win FROM w GROUP BY win HAVING count(*) > 1) v ON w.win = v.win),
+c AS (SELECT DISTINCT r, i + j AS pos FROM t, range(35) x(j)),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept FROM (SELECT d.r, i AS pos, ws[i] AS word FROM d, unnest(range(1, len(ws) + 1)) u(i)) e ANTI JOIN c ON c.r = e.r AND c.pos = e.pos GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN k ON d.r = k.r
+"""
+
+_FOLD_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Windows of items and of documents in rows, joined by their words.
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLD_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM (SELECT item_id, {_FOLD_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM b, unnest(range(1, len(ws) - k + 2)) u(i)),
+dw AS (SELECT r, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM d, (SELECT DISTINCT k FROM bw) ks, unnest(range(1, len(ws) - k + 2)) u(i)),
+h AS (SELECT r, i, h.k, item_id FROM dw h JOIN bw ON h.k = bw.k AND h.win = bw.win),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM h, unnest(range(k)) x(j) GROUP BY r),
+m AS (SELECT r, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM h GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN m ON d.r = m.r
+"""
+
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+#: Counts of the tokens of training documents, an end behind each; chr(10) stands for the end.
+UNIGRAM_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC} % 7 = 2, false) AS held_out,
+                  list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), chr(10)) AS ws FROM documents),
+t AS (SELECT r, held_out, unnest(ws) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+s AS (SELECT sum(c)::BIGINT AS n, count(*)::BIGINT AS v FROM c)
+SELECT d.doc_id, d.held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, s.n AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 1) / (s.n + s.v + 1)::DOUBLE)), 4) AS base_score
+FROM d JOIN t ON d.r = t.r LEFT JOIN c ON t.word = c.word, s GROUP BY d.r, d.doc_id, d.held_out, s.n
+"""
+
+#: Targets by the closed form of resharing.
+MIX_TARGETS_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT source, n, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight FROM s),
-r AS (SELECT *, 2.0 * n / weight AS ratio, row_number() OVER (ORDER BY 2.0 * n / weight, source NULLS LAST) AS k,
+r AS (SELECT *, row_number() OVER (ORDER BY 2.0 * n / weight, source NULLS LAST) AS k,
              coalesce(sum(2 * n) OVER (ORDER BY 2.0 * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS gone,
              coalesce(sum(weight) OVER (ORDER BY 2.0 * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS gone_weight,
              (sum(n) OVER ())::DOUBLE * 1.5 AS total, (sum(weight) OVER ())::DOUBLE AS weights FROM w),
 f AS (SELECT min(k) AS k FROM r WHERE (total - gone) / (weights - gone_weight) * weight <= 2 * n),
-c AS (SELECT (total - gone) / (weights - gone_weight) AS level, r.k FROM r JOIN f ON r.k = f.k),
-t AS (SELECT r.source, r.n, CASE WHEN r.k < c.k THEN 2.0 * r.n ELSE c.level * r.weight END::DOUBLE AS target FROM r, c),
-q AS (SELECT *, least(2, CASE WHEN n > 0 THEN CAST(round_even(target, 0) AS BIGINT) // n ELSE 0 END) AS base FROM t),
-g AS (SELECT d.*, q.n AS source_size, q.target, q.base, CAST(round_even(q.target, 0) AS BIGINT) - q.base * q.n AS extra,
-             sum(size) OVER (PARTITION BY d.source ORDER BY place) AS upto,
-             sum(size) OVER (PARTITION BY d.source, place) AS here
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-       (size * (base + CASE WHEN extra > 0 AND upto - here / 2.0 <= extra THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM g
+c AS (SELECT (total - gone) / (weights - gone_weight) AS level, r.k FROM r JOIN f ON r.k = f.k)
+SELECT d.doc_id, d.size, r.n AS source_size, round(CASE WHEN r.k < c.k THEN 2.0 * r.n ELSE c.level * r.weight END::DOUBLE, 4) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, c
 """
 
 _FIVE_BITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
@@ -107,4 +205,12 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {_FIVE_BITS
 FROM q
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": OP5_SQL,
+    "op7_warc": OP7_SQL,
+    "op9_decontaminate": OP9_SQL,
+    "base_statistics": BASE_STATISTICS_SQL,
+    "base_secrets": BASE_SECRETS_SQL,
+    "unigram_scores": UNIGRAM_SQL,
+    "mix_targets": MIX_TARGETS_SQL,
+}

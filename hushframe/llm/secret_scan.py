@@ -188,7 +188,15 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     that the inferred formats would have found too. Null text counts as
     empty; null ids keep their row; repeated rows get equal spans; an empty table gives no row. Other columns are not read.
     """
-    judge = learn_formats(docs, settings)
+    return _scanned(docs, learn_formats(docs, settings))
+
+
+def scan_base(docs: DataFrame) -> DataFrame:
+    """As scan, with the base patterns alone: nothing is learnt, and n_format and n_likely are 0."""
+    return _scanned(docs, Judge([], None, 0.0))
+
+
+def _scanned(docs: DataFrame, judge: Judge) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string"))
     return texts.mapInArrow(_scan(judge), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_format long, n_likely long, base string, spans string")

@@ -427,6 +427,35 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Files of many small, some middling and one huge record each; nothing of a payload is lost."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 320_000)
+    rows = [(i, "u", f"page {i} " + "x" * (20_000 if i < 40 else 100_000)) for i in range(50)] + [(90, "big", "é" * 10_000_000), (91, "big again", "é" * 10_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"))
+    held = []
+    for f in sorted((tmp_path / "a").glob("*.gz")):
+        import gzip
+
+        data = gzip.decompress(f.read_bytes())
+        n = len(list(warc.parse(data)))
+        assert len(data) <= 330_000 or n == 1
+        held.append(n)
+    assert sum(held) == 52 and len(held) >= 9
+    headers, payloads = warc.read_archives(spark, str(tmp_path / "a"))
+    assert payloads.count() == 51 and {r["page_id"]: r["refers_to"] for r in headers.where("record_type = 'revisit'").collect()} == {"91": "90"}
+    back = warc.rebuild(headers, payloads).where("page_id in ('90', '91')").select("page_id", F.length(F.col("payload").cast("string")).alias("n"), F.length("record").alias("m")).collect()
+    assert all(r["n"] == 10_000_000 and (r["m"] > 20_000_000) == (r["page_id"] == "90") for r in back) and len(back) == 2
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_revisits_by_broadcast_and_by_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "if_few", lambda rows, n: F.broadcast(rows) if n <= few else rows)
+    pages = spark.createDataFrame([(i, "u", f"p{i % 7}" if i % 3 else "same") for i in range(60)], "page_id long, url string, html string")
+    kinds = Counter(r["record_type"] for r in warc.archive_pages(pages).collect())
+    assert kinds == {"response": 8, "revisit": 52}
+
+
 # 8
 
 
@@ -467,12 +496,50 @@ def test_mix(docs, empty):
 def test_mix_of_more_sources_than_the_driver_may_hold(spark, docs):
     rng = random.Random(12)
     many = spark.createDataFrame([(i, _prose(rng, rng.randrange(1, 40)) if i % 9 else None, f"h{rng.randrange(60)}" if i % 7 else None) for i in range(300)] + [(999, None, "empty")], "doc_id long, text string, source string").repartition(3)
+    shown = ("source", "__size", "__source_size", "__copies", "__taken")
+    want, got = (mixing.mix(many, settings=mixing.Settings(max_patterns=n)) for n in (10_000, 3))
+    assert by_row(got, *shown) == by_row(want, *shown)
+    # Where sources share texts, the flow may take others of a source, but as many words of each.
     for d in (many, docs.drop("size")):
-        shown = ("source", "__size", "__source_size", "__copies", "__taken")
-        want, got = (mixing.mix(d, settings=mixing.Settings(max_patterns=n)) for n in (10_000, 3))
-        assert by_row(got, *shown) == by_row(want, *shown)
-        known = {r["source"]: r["__target"] for r in want.collect()}
-        assert {r["source"]: r["__target"] for r in got.collect()} == pytest.approx(known)
+        per = []
+        for n in (10_000, 8, 3):
+            taken, target, longest = Counter(), {}, 0
+            for r in mixing.mix(d, settings=mixing.Settings(max_patterns=n)).collect():
+                taken[r["source"]] += r["__taken"]
+                target[r["source"]] = r["__target"]
+                longest = max(longest, r["__size"])
+            per.append(target)
+            assert all(abs(taken[s] - target[s]) <= 3 * longest for s in target)
+        assert per[0] == pytest.approx(per[1]) and per[0] == pytest.approx(per[2])
+
+
+def test_flow_takes_texts_of_one_source_first(spark):
+    """Where a source needs less than it has, texts that another source holds too are the last to be taken, as plain enumeration says."""
+    rng = random.Random(3)
+    own, both = [_prose(rng, 20) for _ in range(30)], [_prose(rng, 20) for _ in range(30)]
+    rows = [(i, t, "a") for i, t in enumerate(own + both)] + [(100 + i, t, "b") for i, t in enumerate(both)]
+    rows += [(200 + i, _prose(rng, 20), "c") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(d).collect()}
+    # a: 1,200 words, b: 600, c: 200; targets by weight 3, 1, 2 of 3,000: c stops at 400, the others share 2,600.
+    assert {r["source"]: r["__target"] for r in got.values()} == pytest.approx({"a": 1950, "b": 650, "c": 400})
+    uses = {"own": sum(got[i]["__copies"] for i in range(30)), "a both": sum(got[i]["__copies"] for i in range(30, 60)), "b": sum(got[100 + i]["__copies"] for i in range(30))}
+    assert abs(20 * (uses["own"] + uses["a both"]) - 1950) <= 20 and abs(20 * uses["b"] - 650) <= 20
+
+    # The k-th use of a text costs k * k.
+    square = lambda n: sum((i // 30 + 1) ** 2 for i in range(n))
+    a, b = 1950 // 20, 650 // 20
+    least = min(square(x) + square(a - x + b) for x in range(61) if 0 <= a - x <= 60)
+    # Whole documents: the words of up to three of them at the marginal cost.
+    assert square(uses["own"]) + square(uses["a both"] + uses["b"]) <= least + 27 and uses["own"] >= 59
+
+
+def test_mix_keeps_columns_of_any_name(spark, docs):
+    clash = {c: F.lit(7) for c in ("__key", "__place", "__base", "__extra", "__cut", "row", "held_by", "digest", "copies", "target", "sharers", "__taken")}
+    d = docs.withColumns(clash)
+    mixed = mixing.mix(d)
+    assert set(mixed.columns) == {*d.columns, "__size", "__source_size", "__target", "__copies"} and mixed.count() == len(ROWS)
+    assert mixed.where("__key = 7 and __place = 7 and __cut = 7 and row = 7 and held_by = 7 and copies = 7").count() == len(ROWS)
 
 
 def test_mix_of_overlapping_sources(spark):
