@@ -12,14 +12,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Automaton, infer
-from .common import utf8
+from .common import cut, utf8
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,6 +34,8 @@ _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNO
 _CLASS = str.maketrans({c: str(i) for i, cs in enumerate(_CLASSES) for c in cs})
 _SHAPE = str.maketrans("012345", "000001")
 _TOKENS = len(KINDS) - 1
+#: Bins of a doubling of the hash: each holds about one in 90 of what is below it.
+HASH_BINS = 64
 #: Verdicts on tokens that a task remembers at most, before it forgets them all.
 REMEMBERED = 200_000
 
@@ -135,11 +139,19 @@ def _samples(settings: Settings):
 def learn_formats(docs: DataFrame, settings: Settings = Settings()) -> Judge:
     """Automata of the kinds of credentials that docs (text) hold, from all texts read once, and of common tokens."""
     seen = docs.select(F.col("text").cast("string")).mapInArrow(_samples(settings), "kind int, value string, h long, n long")
-    seen = seen.groupBy("kind", "value", "h").agg(F.sum("n").alias("n"))
-    # Of each kind the first by hash, which every batch that has them sends: at most so many rows reach the driver.
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    most = F.when(F.col("kind") == _TOKENS, settings.tokens).otherwise(settings.credentials)
-    rows = seen.withColumn("place", place).where((F.col("place") <= most) & (F.col("place") <= max(settings.tokens, settings.credentials))).orderBy("kind", "place").collect()
+    most = {k: settings.tokens if k == _TOKENS else settings.credentials for k in range(len(KINDS))}
+    # Of each kind the first by hash, which every batch that has them sends. How many have about which hash says how far to
+    # read: a few thousand numbers, then as many rows as wanted and one bin more reach the driver, however many there are.
+    bin_of = F.floor(F.log2(F.col("h") + 1.0) * HASH_BINS).cast("int")
+    seen = cut(seen.groupBy("kind", "value", "h").agg(F.sum("n").alias("n")).withColumn("bin", bin_of), "tokens")
+    until, sums = {}, Counter()
+    for r in seen.groupBy("kind", "bin").count().orderBy("kind", "bin").collect():
+        if sums[r["kind"]] < most[r["kind"]]:
+            until[r["kind"]] = r["bin"]
+        sums[r["kind"]] += r["count"]
+    near = [(F.col("kind") == k) & (F.col("bin") <= b) for k, b in until.items()]
+    found = sorted(seen.where(reduce(or_, near)).collect(), key=lambda r: (r["kind"], r["h"], r["value"])) if near else []
+    rows = [r for k in most for r in [x for x in found if x["kind"] == k][: most[k]]]
     formats = []
     for k, kind in enumerate(KINDS[:_TOKENS]):
         classes, left = [], settings.characters
