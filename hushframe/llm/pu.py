@@ -31,6 +31,8 @@ _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PREFIXES, SHARE = (4, 5, 6, 7, 8), 0.012
 #: Parts of the sample, each of which is scored by a model of the others when the class prior is estimated.
 PARTS = 5
+#: Steps of those models, which only have to order the texts.
+ORDER_STEPS = 80
 _ALL = bytes(range(256))
 _NOT_UPPER = bytes(c for c in _ALL if c not in _UPPER)
 _NOT_DIGIT = bytes(c for c in _ALL if c not in _DIGIT)
@@ -161,7 +163,7 @@ def class_prior(score_p: np.ndarray, score_u: np.ndarray) -> float:
 
 def _apart(xp: np.ndarray, xu: np.ndarray, l2: float) -> np.ndarray:
     """Weights that tell positives from unlabelled texts, both counted alike; they only order the texts."""
-    return _descend(xp, lambda w: xp.T @ (_sigmoid(xp @ w) - 1) / len(xp) + xu.T @ _sigmoid(xu @ w) / len(xu), l2)
+    return _descend(xp, lambda w: xp.T @ (_sigmoid(xp @ w) - 1) / len(xp) + xu.T @ _sigmoid(xu @ w) / len(xu), l2, ORDER_STEPS)
 
 
 def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
