@@ -1,60 +1,51 @@
-"""Change and motion between consecutive frames of each window."""
+"""Areas that touch, made one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import imaging as I
+Rect = tuple[int, int, int, int]
+
+
+def _overlap(a: Rect, b: Rect) -> int:
+    return max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
 
-_OUT = "window_id long, seq long, shift int, dirty_blocks int, blocks int, page_switch boolean, rects array<struct<x:int,y:int,w:int,h:int>>"
-#: Share of the blocks that must change in place for a new page.
-SWITCH = 0.35
 
+def _around(a: Rect, b: Rect) -> Rect:
+    x, y = min(a[0], b[0]), min(a[1], b[1])
+    return x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y
 
-def image(pixels: bytes, width: int, height: int) -> np.ndarray:
-    return np.frombuffer(pixels, np.uint8).reshape(height, width)
 
+def merge_touching(rects: list[Rect]) -> list[Rect]:
+    """Rectangles that touch become one where one holds the other or the box around them is at most 30 % larger
+    than what they cover; the first pair in order merges, then all pairs are tried anew."""
+    found = list(rects)
 
-def compare(prev: np.ndarray, cur: np.ndarray, expected: int, most: int) -> tuple[int, np.ndarray, bool]:
-    """(shift, new blocks, page switch) of a frame against the one before it."""
-    if prev.shape != cur.shape:
-        return 0, I.new_blocks(prev, cur), True
-    shift = I.vertical_shift(prev, cur, most, expected)
-    dirty = I.new_blocks(prev, cur, round(shift / 2))
-    return shift, dirty, shift == 0 and dirty.mean() >= SWITCH
+    def pair() -> tuple[int, int] | None:
+        for i, a in enumerate(found):
+            near = (a[0] - 1, a[1] - 1, a[2] + 2, a[3] + 2)
+            for j in range(i + 1, len(found)):
+                b = found[j]
+                if _overlap(near, b):
+                    common, box = _overlap(a, b), _around(a, b)
+                    size_a, size_b = a[2] * a[3], b[2] * b[3]
+                    if common in (size_a, size_b) or box[2] * box[3] <= (size_a + size_b - common) * 1.3:
+                        return i, j
+        return None
+
+    while (at := pair()) is not None:
+        found[at[0]] = _around(found[at[0]], found.pop(at[1]))
+    return found
 
 
 def merged_rects(rects: Column) -> Column:
-    """array<rect> with touching rectangles made one, in the order of imaging.merge_touching."""
+    """array<rect> with touching rectangles made one, in the order of merge_touching."""
 
     @F.pandas_udf("array<struct<x:int,y:int,w:int,h:int>>")
     def run(lists: pd.Series) -> pd.Series:
-        merge = lambda row: [dict(zip("xywh", r, strict=True)) for r in I.merge_touching([(q["x"], q["y"], q["w"], q["h"]) for q in row])]
+        merge = lambda row: [dict(zip("xywh", r, strict=True)) for r in merge_touching([(q["x"], q["y"], q["w"], q["h"]) for q in row])]
         return lists.map(lambda row: merge(row) if row is not None else None)
 
     return run(rects)
-
-
-def changes(frames: DataFrame, most: int = 120) -> DataFrame:
-    """frames (window_id, seq, width, height, pixels) of half size: a row for each frame that has one before it."""
-    w = Window.partitionBy("window_id").orderBy("seq")
-    now = F.struct("width", "height", "pixels")
-    pairs = frames.select("window_id", "seq", now.alias("cur"), F.lag(now).over(w).alias("prev")).where("prev is not null")
-    flat = pairs.select("window_id", "seq", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("cur", "prev") for c in ("width", "height", "pixels")])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                cur = image(r.cur_pixels, r.cur_width, r.cur_height)
-                shift, dirty, switch = compare(image(r.prev_pixels, r.prev_width, r.prev_height), cur, 0, most)
-                rects = [dict(zip("xywh", x, strict=True)) for x in I.rects_of(dirty, cur.shape[1], cur.shape[0])]
-                rows.append((r.window_id, r.seq, shift, int(dirty.sum()), dirty.size, bool(switch), rects))
-            yield pd.DataFrame(rows, columns=["window_id", "seq", "shift", "dirty_blocks", "blocks", "page_switch", "rects"])
-
-    return flat.mapInPandas(run, _OUT)

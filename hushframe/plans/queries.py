@@ -112,14 +112,14 @@ def literal_search(spark, sf_dir):
     return _exploded(_table(spark, sf_dir, "part"), "p_partkey", literal_spans(F.col("p_name"), " an "))
 
 
-@query(_sql_literal("benchmark", "item_id", "text", "de", r"NOT regexp_matches(substr(text, p - 1, 1), '[\pL\p{Nd}_]') AND NOT regexp_matches(substr(text, p + 2, 1), '[\pL\p{Nd}_]')".replace("substr(text, p - 1, 1)", "CASE WHEN p > 1 THEN substr(text, p - 1, 1) ELSE '' END")))
+@query(_sql_literal("documents", "doc_id", "text", "de", r"NOT regexp_matches(substr(text, p - 1, 1), '[\pL\p{Nd}_]') AND NOT regexp_matches(substr(text, p + 2, 1), '[\pL\p{Nd}_]')".replace("substr(text, p - 1, 1)", "CASE WHEN p > 1 THEN substr(text, p - 1, 1) ELSE '' END")))
 def literal_whole_word(spark, sf_dir):
-    return _exploded(_table(spark, sf_dir, "benchmark"), "item_id", literal_spans(F.col("text"), "de", whole_word=True))
+    return _exploded(_table(spark, sf_dir, "documents"), "doc_id", literal_spans(F.col("text"), "de", whole_word=True))
 
 
-@query(_sql_literal("benchmark", "item_id", "text", "ana", fold=""))
+@query(_sql_literal("documents", "doc_id", "text", "ana", fold=""))
 def literal_overlapping(spark, sf_dir):
-    return _exploded(_table(spark, sf_dir, "benchmark"), "item_id", literal_spans(F.col("text"), "ana", case_sensitive=True))
+    return _exploded(_table(spark, sf_dir, "documents"), "doc_id", literal_spans(F.col("text"), "ana", case_sensitive=True))
 
 
 @query("SELECT c_custkey, start, length(raw)::INT AS length, raw AS value FROM (" + _sql_spans("customer", "c_custkey", "c_name", r"#\d*[13579]") + ")")
@@ -217,7 +217,7 @@ def app_window_anti(spark, sf_dir):
 
 
 @query("""SELECT id, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN was = now THEN 'unchanged' ELSE 'changed' END AS state
-FROM (SELECT coalesce(o.item_id, n.doc_id) AS id, o.was, n.now FROM (SELECT item_id, md5(left(text, 1)) AS was FROM benchmark) o FULL JOIN (SELECT doc_id, md5(left(text, 1)) AS now FROM documents) n ON o.item_id = n.doc_id)""")
+FROM (SELECT coalesce(o.item_id, n.doc_id) AS id, o.was, n.now FROM (SELECT item_id, md5(text) AS was FROM benchmark) o FULL JOIN (SELECT doc_id, md5(text) AS now FROM documents) n ON o.item_id = n.doc_id)""")
 def rule_signature_diff(spark, sf_dir):
     sign = F.md5("text").alias("signature")
     return rules.changed(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), sign), _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sign))
@@ -278,6 +278,100 @@ def coverage(spark, sf_dir):
     return _rects(spark, sf_dir).select(*_KEYS.split(", "), F.round(G.coverage(F.col("a"), F.array("b")), 6).alias("coverage"))
 
 
+@query(f"SELECT {_KEYS}, {_MEET} AS meets, (bw > 0 AND bh > 0 AND bx >= ax AND by_ >= ay AND bx + bw <= ax + aw AND by_ + bh <= ay + ah) AS holds FROM {_R}")
+def rect_tests(spark, sf_dir):
+    return _rects(spark, sf_dir).select(*_KEYS.split(", "), G.intersects(F.col("a"), F.col("b")).alias("meets"), G.contains(F.col("a"), F.col("b")).alias("holds"))
+
+
+@query(f"SELECT {_KEYS}, (ax + 3 - 2)::INT AS x, (ay - 4 - 5)::INT AS y, (aw + 4)::INT AS w, (ah + 10)::INT AS h FROM {_R}")
+def rect_move_and_grow(spark, sf_dir):
+    return _flat(_rects(spark, sf_dir), G.inflate(G.offset(F.col("a"), 3, -4), 2, 5))
+
+
+@query(f"""SELECT {_KEYS}, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h FROM (
+ SELECT {_KEYS}, unnest([{{'x': ax, 'y': ay, 'w': aw, 'h': CASE WHEN {_MEET} THEN greatest(ay, by_) - ay ELSE ah END}},
+  {{'x': ax, 'y': least(ay + ah, by_ + bh), 'w': aw, 'h': CASE WHEN {_MEET} THEN ay + ah - least(ay + ah, by_ + bh) ELSE 0 END}},
+  {{'x': ax, 'y': greatest(ay, by_), 'w': CASE WHEN {_MEET} THEN greatest(ax, bx) - ax ELSE 0 END, 'h': {_IH}}},
+  {{'x': least(ax + aw, bx + bw), 'y': greatest(ay, by_), 'w': CASE WHEN {_MEET} THEN ax + aw - least(ax + aw, bx + bw) ELSE 0 END, 'h': {_IH}}}], recursive := true) FROM {_R}) WHERE w > 0 AND h > 0""")
+def rect_bands(spark, sf_dir):
+    r = _rects(spark, sf_dir)
+    return _flat(r.select(*_KEYS.split(", "), F.explode(G.subtract(F.array("a"), F.col("b"))).alias("part")), F.col("part"))
+
+
+@query(f"""SELECT {_KEYS}, (list_sum(list_transform(range(ax, ax + aw), lambda x: ah)) - {_IW} * {_IH} - greatest(0, least(ax + aw, 60) - greatest(ax, 30)) * greatest(0, least(ay + ah, 50) - greatest(ay, 20))
+ + greatest(0, least(ax + aw, bx + bw, 60) - greatest(ax, bx, 30)) * greatest(0, least(ay + ah, by_ + bh, 50) - greatest(ay, by_, 20)))::BIGINT AS area FROM {_R}""")
+def rect_two_cuts(spark, sf_dir):
+    """What two cuts that may overlap leave, by inclusion and exclusion."""
+    return _rects(spark, sf_dir).select(*_KEYS.split(", "), G.total_area(G.subtract_all(F.array("a"), F.array(F.col("b"), G.rect(30, 20, 30, 30)))).alias("area"))
+
+
+@query(f"SELECT {_KEYS}, greatest(ax, bx)::INT AS x, greatest(ay, by_)::INT AS y, {_IW}::INT AS w, {_IH}::INT AS h FROM {_R} WHERE {_MEET}")
+def rect_clip(spark, sf_dir):
+    r = _rects(spark, sf_dir)
+    return _flat(r.select(*_KEYS.split(", "), F.explode(G.clip(F.col("a"), F.array("b"))).alias("part")), F.col("part"))
+
+
+_SEEN = f"(SELECT {_KEYS}, ax, ay, aw, ah, l_quantity::INT AS z, l_suppkey % 3 AS kind, greatest(0, least(ax + aw, 120) - ax) * greatest(0, least(ay + ah, 100) - ay) AS area FROM (SELECT *, aw AS l_quantity FROM {_R}))"
+
+
+@query(f"""SELECT {_KEYS}, kind = 0 AS covered FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, kind = 0 ORDER BY z, l_orderkey, l_suppkey, l_linenumber) AS k
+ FROM {_SEEN} WHERE kind <> 1 AND aw >= 8 AND ah >= 8 AND (kind = 0 OR area >= 2000)) WHERE kind = 0 OR k <= 8""")
+def watched_windows(spark, sf_dir):
+    w = _rects(spark, sf_dir).withColumn("kind", F.col("l_suppkey") % 3)
+    w = w.select(*_KEYS.split(", "), F.col("a").alias("rect"), F.when(F.col("kind") == 1, "Progman").otherwise("app").alias("class"), F.when(F.col("kind") == 0, "My Wallet").otherwise("other").alias("title"), F.lit(None).cast("string").alias("process"), F.struct(F.col("a.w"), "l_orderkey", "l_suppkey", "l_linenumber").alias("z"))
+    seen = windows.usable(w).withColumn("visible", F.array(G.intersect(F.col("rect"), G.rect(0, 0, 120, 100))))
+    return windows.watched(seen, [Rule("AppWindow", "wallet")], key="l_partkey").select(*_KEYS.split(", "), "covered")
+
+
+@query(f"""WITH w AS (SELECT *, greatest(ax, 0) AS vx, greatest(ay, 0) AS vy, least(ax + aw, 120) AS vr, least(ay + ah, 100) AS vb FROM {_R}),
+p AS (SELECT *, ax + bx AS x0, ay + by_ AS y0, ax + bx + bw AS x1, ay + by_ + bh AS y1 FROM w)
+SELECT {_KEYS}, vx::INT AS x, vy::INT AS y, (vr - vx)::INT AS w, (vb - vy)::INT AS h FROM p WHERE l_suppkey % 3 = 0 AND vr > vx AND vb > vy
+UNION ALL SELECT {_KEYS}, greatest(x0, vx)::INT, greatest(y0, vy)::INT, (least(x1, vr) - greatest(x0, vx))::INT, (least(y1, vb) - greatest(y0, vy))::INT FROM p
+WHERE l_suppkey % 3 <> 0 AND least(x1, vr) > greatest(x0, vx) AND least(y1, vb) > greatest(y0, vy)""")
+def composed_covers(spark, sf_dir):
+    """What covers each window: its visible part where a rule covers it whole, else its box within it."""
+    r = _rects(spark, sf_dir).withColumn("window_id", F.struct(*_KEYS.split(", ")))
+    visible = F.filter(F.array(G.intersect(F.col("a"), G.rect(0, 0, 120, 100))), lambda v: ~G.is_empty(v))
+    w = r.select("window_id", F.col("a").alias("rect"), visible.alias("visible"), (F.col("l_suppkey") % 3 == 0).alias("covered"))
+    boxes = r.select("window_id", F.col("b").alias("rect"), F.lit(0.0).alias("velocity"), F.lit(0.0).alias("frame_time_ms"), F.lit(16.0).alias("interval_ms"))
+    return _flat(windows.compose(boxes, w, F.lit(5.0)).select("window_id.*", "rect"), F.col("rect"))
+
+
+_RGB = "(SELECT p_partkey, (p_partkey * 7919) % 16777216 AS c FROM part)"
+
+
+@query(f"SELECT p_partkey, c AS rgb, CASE WHEN (0.2126 * (c >> 16 & 255) + 0.7152 * (c >> 8 & 255) + 0.0722 * (c & 255)) / 255 > 0.6 THEN '#1A1A1A' ELSE '#FFFFFF' END AS ink, c AS again FROM {_RGB}")
+def colours(spark, sf_dir):
+    """Numbers of colours from their hex form, the text colour for each, and the number again by way of hue, saturation and value."""
+    p = _table(spark, sf_dir, "part").withColumn("c", (F.col("p_partkey") * 7919) % 16777216)
+    number = G.colour(F.concat(F.lit("#"), F.lpad(F.hex("c"), 6, "0")))
+    p = p.select("p_partkey", number.alias("rgb")).withColumn("hsv", G.hsv(F.col("rgb")))
+    return p.select("p_partkey", "rgb", G.ink(F.col("rgb")).alias("ink"), G.rgb(F.col("hsv.h"), F.col("hsv.s"), F.col("hsv.v")).alias("again"))
+
+
+@query(f"""SELECT rule_id, label, n, CASE n WHEN 0 THEN 'No matches' WHEN 1 THEN '1 match' ELSE n || ' matches' END AS summary FROM ({ORACLE_SQL["rule_counts"]})""")
+def match_summary(spark, sf_dir):
+    return detect.summary(rule_counts(spark, sf_dir))
+
+
+@query("""SELECT p_partkey::VARCHAR AS id, CASE WHEN trim(p_brand) <> '' THEN p_brand ELSE p_name END AS display_name, 'Text' AS kind, repeat('•', least(length(p_name), 12)) AS hidden,
+ concat_ws(', ', CASE WHEN p_size % 2 = 0 THEN 'case sensitive' END, CASE WHEN p_size % 3 = 0 THEN 'whole word' END, CASE WHEN p_size % 5 = 0 THEN 'fuzzy ' || p_size END) AS options FROM part""")
+def described_rules(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    even = lambda n: F.col("p_size") % n == 0
+    table = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("label"), F.lit("Text").alias("kind"), F.col("p_name").alias("pattern"), F.lit("Email").alias("built_in"), even(2).alias("case_sensitive"), even(3).alias("whole_word"), even(5).alias("fuzzy"), F.col("p_size").cast("int").alias("fuzzy_threshold"))
+    return rules.described(table)
+
+
+@query("""SELECT conv_id, turn, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS lines FROM conversations WHERE text IS NOT NULL""")
+def highlighted_lines(spark, sf_dir):
+    """Lines of texts that are cut at their matches: cutting adds and loses none."""
+    from ..functions.spans import lines_of_pieces, merged
+
+    c = detect.with_matches(_table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text"), "text", [Rule("Text", "the", id="r-the")])
+    return c.select("conv_id", "turn", F.size(lines_of_pieces(F.col("text"), merged(F.col("matches")))).alias("lines"))
+
+
 @query()
 def visible_regions(spark, sf_dir):
     w = _rects(spark, sf_dir).select(F.col("l_orderkey").alias("screen_id"), F.col("l_partkey").alias("window_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("z"), F.col("a").alias("rect"), (F.col("l_suppkey") % 3 > 0).alias("opaque"))

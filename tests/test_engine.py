@@ -1,4 +1,4 @@
-"""Geometry, windows, mapping, images, tracking, stores and the queries' SQL."""
+"""Geometry, windows, mapping, stores and the queries' SQL."""
 
 import json
 import math
@@ -10,11 +10,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hushframe.functions import geometry as G
-from hushframe.functions import imaging as I
 from hushframe.operators import frames, mapping, sequences, windows
 from hushframe.operators.rules import Rule
 from hushframe.sources import stores
-from hushframe.streaming import tracker
 from hushframe.streaming.counts import only_changes
 
 
@@ -82,99 +80,9 @@ def test_mapping(spark):
     assert got == {(1, "e", (26, 2, 36, 5)), (1, "p", (11, 12, 10, 5)), (2, "n", (1, 2, 20, 5)), (2, "n", (1, 12, 20, 5)), (2, "p", (11, 12, 10, 5))}
 
 
-def page(height=1500, width=400, seed=42):
-    rng = np.random.default_rng(seed)
-    image = np.full((height, width), 245, np.uint8)
-    for y in range(10, height - 20, 22):
-        x = 10
-        while x < width - 60:
-            w = int(rng.integers(15, 50))
-            image[y : y + 10, x : x + w] = rng.integers(20, 200, (10, w))
-            x += w + int(rng.integers(6, 14))
-    return image
-
-
-def test_motion_and_change():
-    p = page()
-    for shift in (-40, -7, 6, 25):
-        assert I.vertical_shift(p[300:600], p[300 - shift : 600 - shift], 120, 0, scale=1) == shift
-    a, b = p[300:600], p[300:600].copy()
-    assert I.vertical_shift(a, a, 120) == 0
-    b[100:140, 50:120] ^= 255
-    rects = I.rects_of(I.new_blocks(a, b), 400, 300)
-    assert any(x <= 50 and y <= 100 and x + w >= 120 and y + h >= 140 for x, y, w, h in rects)
-    assert I.merge_touching([(0, 0, 10, 10), (10, 0, 10, 10), (100, 100, 5, 5)]) == [(0, 0, 20, 10), (100, 100, 5, 5)]
-    assert len(I.merge_touching([(0, 0, 2, 100), (2, 0, 100, 2)])) == 2
-
-
-def test_templates_and_scaling():
-    p = page()
-    t = I.template(p, (40, 120, 60, 20))
-    assert t.textured and I.likeness(p, t, 40, 120) == pytest.approx(1)
-    assert I.search(p, t, 42, 119, 3, 3)[:2] == (40, 120)
-    assert I.search_wide(p[60:], t, 40, 100, 4, 60)[:2] == (40, 60)
-    assert I.template(p, (0, 0, 2, 2)) is None and I.likeness(p, I.Template(np.full((5, 5), 9, np.uint8)), 0, 0) == -1
-    assert I.upscaled(np.full((3, 3), 7, np.uint8), 2).tolist() == np.full((6, 6), 7).tolist()
-    assert I.has_ink(p, (0, 0, 400, 200)) and not I.has_ink(np.full((50, 50), 9, np.uint8), (0, 0, 50, 50))
-    assert I.luma(np.array([[[255, 255, 255, 0], [0, 0, 0, 0]]], np.uint8)).tolist() == [[255, 0]]
-    assert I.strips(300) == [(86, 128)] and len(I.strips(1000)) == 3 and I.crop(p, (-2, -2, 4, 4))[:2].sum() == 0
-
-
-def test_frames_of_windows(spark):
-    p = page()
-    rows = [(1, i, 400, 300, bytearray(p[300 + 5 * i : 600 + 5 * i].tobytes())) for i in range(3)] + [(2, 0, 400, 300, bytearray(p[:300].tobytes())), (2, 1, 400, 300, bytearray(page(seed=9)[:300].tobytes()))]
-    got = {(r["window_id"], r["seq"]): r for r in frames.changes(spark.createDataFrame(rows, "window_id long, seq long, width int, height int, pixels binary")).collect()}
-    assert got[1, 1]["shift"] == -10 and got[1, 2]["shift"] == -10 and not got[1, 1]["page_switch"] and got[2, 1]["page_switch"]
-
-
-def test_tracker_follows_forgets_and_rejects(spark, tmp_path):
-    p = page()
-    frame = lambda at, top: (1, at, "frame", 400, 300, bytearray(p[top : top + 300].tobytes()), None, None, None, None, None)
-    found = json.dumps([{"rule_id": "r", "x": 40, "y": 120, "w": 60, "h": 20}])
-    rows = [frame(0, 300), (1, 5, "result", None, None, None, 1, 0, found, None, "[0, 0, 800, 600]"), frame(20, 305), frame(40, 310), (1, 45, "result", None, None, None, 0, 0, found, None, None), (1, 48, "idle", None, None, None, None, None, None, None, None), (1, 50, "control", None, None, None, None, None, None, "[]", None), frame(200, 310)]
-    spark.createDataFrame(rows, tracker.EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(tracker.EVENTS).parquet(str(tmp_path / "in"))
-    q = tracker.track(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = {r["at_ms"]: r for r in spark.table("tracked").collect()}
-    box = lambda at: [(b["x"], b["y"]) for b in json.loads(out[at]["boxes"])]
-    assert box(5) == [(40, 120)] and box(20) == [(40, 115)] and box(40) == [(40, 110)] and out[40]["scroll"] == -20
-    assert json.loads(out[200]["request"])["whole"] and out[5]["request"] is None
-    assert box(45) == [(40, 110)] and box(50) == [] and out[50]["rescan"] and out[40]["velocity"] == pytest.approx(-0.5)
-
-
-def test_tracker_heat_and_page_switch():
-    s = tracker.Tracked()
-    rng = np.random.default_rng(1)
-    base = np.full((160, 160), 128, np.uint8)
-    tracker.on_frame(s, base, 0)
-    for i in range(1, 6):
-        f = base.copy()
-        f[:16, :16] = rng.integers(0, 255)
-        f[0, 0] = i
-        tracker.on_frame(s, f, 10 * i)
-    assert s.heat[0, 0] >= tracker.HOT and s.heat[5, 5] == 0 and s.generation == 1
-    tracker.on_frame(s, 255 - base // 2, 100)
-    assert s.generation == 2 and s.rescan
-
-
-def test_tracker_forgets_what_readings_miss_and_recalls_known_items():
-    p, s = page(), tracker.Tracked()
-    found = [{"rule_id": "r", "x": 40, "y": 120, "w": 60, "h": 20}]
-    tracker.on_frame(s, p[300:600], 0)
-    assert tracker.on_result(s, 1, 0, found, 1, [0, 0, 800, 600]) and len(s.known) == 1
-    tracker.on_result(s, 1, 0, [], 2, [0, 0, 800, 100])
-    assert s.boxes[0].misses == 0
-    tracker.on_frame(s, np.full((300, 400), 20, np.uint8), 500)
-    assert s.generation == 2 and s.boxes == []
-    tracker.on_frame(s, p[300:600], 1000)
-    assert [b.rect for b in s.boxes] == [(40, 120, 60, 20)]
-    tracker.on_result(s, s.generation, 0, [], 1001, [0, 0, 800, 600])
-    assert s.boxes == []
-    s = tracker._unpack(tracker._pack(s))
-    tracker.on_result(s, s.generation, 0, found, 1002)
-    tracker.on_idle(s, 1100)
-    assert [b.rect for b in s.boxes] == [(40, 120, 60, 20)] and s.velocity == 0
+def test_touching_areas():
+    assert frames.merge_touching([(0, 0, 10, 10), (10, 0, 10, 10), (100, 100, 5, 5)]) == [(0, 0, 20, 10), (100, 100, 5, 5)]
+    assert len(frames.merge_touching([(0, 0, 2, 100), (2, 0, 100, 2)])) == 2
 
 
 def test_sequences(spark):
