@@ -78,17 +78,41 @@ def detect_api_key(spark, sf_dir):
     return _exploded(_table(spark, sf_dir, "documents"), "doc_id", detector_spans(F.col("text"), "ApiKey"))
 
 
-@query()
+def _sql_first_matches(run: str, first: str, not_before: str, pattern: str, behind: str) -> str:
+    """(doc_id, pos, raw): matches of a pattern with looks to both sides, which DuckDB's expressions lack: in each run of
+    the pattern's characters, with its neighbours, every place is tried; then the first match, and the first behind each."""
+    return f"""RECURSIVE q AS (SELECT doc_id, text, regexp_extract_all(text, '{run}') AS m, regexp_split_to_array(text, '{run}') AS s FROM documents),
+g AS (SELECT doc_id, text, m[i] AS raw, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::INT AS start FROM q, unnest(range(1, len(m) + 1)) AS u(i)),
+n AS (SELECT doc_id, start, least(start, 1) AS off, length(raw) AS size, substr(text, greatest(start, 1), length(raw) + 1 + least(start, 1)) AS seen FROM g),
+p AS (SELECT doc_id, (start + i - off - 1)::INT AS pos, regexp_extract(substr(seen, i), '^({pattern})(?:{behind}|$)', 1) AS raw
+      FROM n, unnest(range(off + 1, off + size + 1)) AS u(i) WHERE regexp_matches(substr(seen, i, 1), '{first}') AND (i = 1 OR NOT regexp_matches(substr(seen, i - 1, 1), '{not_before}'))),
+c AS (SELECT * FROM p WHERE raw <> ''),
+t AS (SELECT doc_id, min(pos) AS pos, arg_min(raw, pos) AS raw FROM c GROUP BY doc_id
+      UNION ALL SELECT c.doc_id, min(c.pos), arg_min(c.raw, c.pos) FROM t JOIN c ON c.doc_id = t.doc_id AND c.pos >= t.pos + length(t.raw) GROUP BY c.doc_id)"""
+
+
+_WORD = r"[\pL\pM\p{Nd}\p{Pc}]"
+_SQL_PHONES = _sql_first_matches(r"[+\p{Nd} \t().\-]{8,}", r"[+\p{Nd}]", _WORD, r"\+?\p{Nd}[\p{Nd} \t().\-]{6,}\p{Nd}", r"[^\pL\pM\p{Nd}\p{Pc}]")
+_SQL_CARDS = _sql_first_matches(r"[\p{Nd} \-]{13,}", r"\p{Nd}", r"\p{Nd}", r"(?:\p{Nd}[ \-]?){13,19}", r"\P{Nd}")
+_SQL_DIGITS = r"regexp_replace(raw, '\P{Nd}', '', 'g')"
+_SQL_DATE = r"^\p{Nd}{1,4}[-/.]\p{Nd}{1,2}[-/.]\p{Nd}{1,4}$"
+_SQL_FOUND = "doc_id, pos AS start, length(raw)::INT AS length, raw AS value"
+
+
+@query(rf"""WITH {_SQL_PHONES} SELECT {_SQL_FOUND} FROM t
+WHERE length({_SQL_DIGITS}) BETWEEN 8 AND 15 AND NOT regexp_matches(raw, '{_SQL_DATE}') AND len(list_filter(regexp_extract_all(raw, '\p{{Nd}}+'), lambda x: length(x) = 1)) < 3""")
 def detect_phone(spark, sf_dir):
     return _exploded(_table(spark, sf_dir, "documents"), "doc_id", detector_spans(F.col("text"), "Phone"))
 
 
-@query()
+@query(f"WITH {_SQL_CARDS} SELECT {_SQL_FOUND} FROM t")
 def detect_credit_card_candidates(spark, sf_dir):
     return _exploded(_table(spark, sf_dir, "documents"), "doc_id", candidates(F.col("text"), "CreditCard"))
 
 
-@query()
+@query(f"""WITH {_SQL_CARDS}, d AS (SELECT *, {_SQL_DIGITS} AS digits FROM t)
+SELECT {_SQL_FOUND} FROM d WHERE length(digits) BETWEEN 13 AND 19
+AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: (1 + (j + 1) % 2) * try_cast(substr(digits, -j, 1) AS INT) // 10 + (1 + (j + 1) % 2) * try_cast(substr(digits, -j, 1) AS INT) % 10)) % 10 = 0""")
 def detect_credit_card(spark, sf_dir):
     return _exploded(_table(spark, sf_dir, "documents"), "doc_id", detector_spans(F.col("text"), "CreditCard"))
 
@@ -379,6 +403,20 @@ def visible_regions(spark, sf_dir):
     return seen.select("screen_id", "window_id", F.size("visible").alias("parts"), G.total_area(F.col("visible")).alias("area"))
 
 
+@query(f"""
+WITH w AS (SELECT l_orderkey AS screen_id, l_partkey AS window_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS z, l_suppkey % 3 > 0 AS opaque,
+                  greatest(ax, 0) AS l, greatest(ay, 0) AS t, least(ax + aw, 120) AS r, least(ay + ah, 100) AS b FROM {_R}),
+x AS (SELECT screen_id, v AS x0, lead(v) OVER (PARTITION BY screen_id ORDER BY v) AS x1 FROM (SELECT screen_id, l AS v FROM w UNION SELECT screen_id, r FROM w)),
+y AS (SELECT screen_id, v AS y0, lead(v) OVER (PARTITION BY screen_id ORDER BY v) AS y1 FROM (SELECT screen_id, t AS v FROM w UNION SELECT screen_id, b FROM w)),
+c AS (SELECT w.screen_id, w.z, x0, x1, y0, y1 FROM w JOIN x ON x.screen_id = w.screen_id AND x0 >= l AND x1 <= r JOIN y ON y.screen_id = w.screen_id AND y0 >= t AND y1 <= b),
+h AS (SELECT DISTINCT c.screen_id, c.z, c.x0, c.y0 FROM c JOIN w ON w.screen_id = c.screen_id AND w.z < c.z AND w.opaque AND c.x0 >= w.l AND c.x1 <= w.r AND c.y0 >= w.t AND c.y1 <= w.b),
+a AS (SELECT c.screen_id, c.z, sum((x1 - x0) * (y1 - y0)) AS area FROM c ANTI JOIN h ON c.screen_id = h.screen_id AND c.z = h.z AND c.x0 = h.x0 AND c.y0 = h.y0 GROUP BY c.screen_id, c.z)
+SELECT w.screen_id, w.window_id, coalesce(area, 0)::BIGINT AS area FROM w LEFT JOIN a ON a.screen_id = w.screen_id AND a.z = w.z""")
+def visible_areas(spark, sf_dir):
+    """What is seen of each window, by cells between all edges of a screen in the SQL."""
+    return visible_regions(spark, sf_dir).select("screen_id", "window_id", "area")
+
+
 @query("""SELECT event_id, (CASE WHEN abs(v) < 0.01 OR e <= 0 OR e > hor + iv THEN 10 ELSE 10 + round_even(v * least(e, hor), 0) END)::INT AS y
 FROM (SELECT event_id, (value % 7) - 3 AS v, event_id % 150 AS e, least(user_id % 60, 40.0) AS iv, least(user_id % 60, 40.0) * 1.5 + 30 AS hor FROM events)""")
 def predict_position(spark, sf_dir):
