@@ -135,9 +135,10 @@ def _bins(style: np.ndarray, edges: list[list[float]]) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, gradient, l2: float, steps: int = 250, rate: float = 0.05) -> np.ndarray:
+    """Adam steps, all in x's 32 bits: a wider weight or l2 would have every product copy all of x."""
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for t in range(1, steps + 1):
-        g = gradient(w) + l2 * w * (np.arange(len(w)) > 0)
+        g = (gradient(w) + np.float32(l2) * w * (np.arange(len(w)) > 0)).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -208,7 +209,7 @@ def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes()) -> Model:
         x[np.arange(len(x)), offsets[j] + bins[:, j]] = 1
     for row, at in enumerate(order):
         x[row, [offsets[-1] + k for k in found[at]]] = 1
-    l2 = 4.0 / pos.sum()
+    l2 = 4.0 / int(pos.sum())
     # A document that is positive and unlabelled is in one part, so that no text is scored by a model that saw it.
     seen, scores = [g for g in range(PARTS) if (pos & (part != g)).any() and (unl & (part != g)).any()], np.zeros(len(x))
     for g in seen:
