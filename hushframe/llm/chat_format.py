@@ -53,7 +53,7 @@ def _plain(text: str) -> str:
 
 @dataclass(frozen=True)
 class Machine:
-    """States and the roles that lead from one to the next; any other role ends the order. A conversation is whole in a state of accepts."""
+    """States (not empty) and the roles that lead from one to the next; any other role ends the order. A conversation is whole in a state of accepts."""
 
     moves: dict[str, dict[str, str]] = field(
         default_factory=lambda: {
@@ -67,13 +67,13 @@ class Machine:
     accepts: tuple[str, ...] = ("answered",)
 
     def run(self, roles: Column) -> Column:
-        """struct<state, n_ok>: the state after the roles in order, null once one did not fit, and how many fitted before that."""
+        """struct<state, n_ok>: the state after the roles in order, empty once one did not fit, and how many fitted before that."""
         arcs = [(F.concat_ws("\n", F.lit(s), F.lit(r)), F.lit(t)) for s, to in self.moves.items() for r, t in to.items()]
         table = F.create_map(*[x for arc in arcs for x in arc])
 
         def step(at: Column, role: Column) -> Column:
-            to = F.try_element_at(table, F.concat(at["state"], F.lit("\n"), role))
-            return F.struct(to.alias("state"), (at["n_ok"] + F.when(to.isNotNull(), 1).otherwise(0)).cast("long").alias("n_ok"))
+            to = F.coalesce(F.try_element_at(table, F.concat(at["state"], F.lit("\n"), role)), F.lit(""))
+            return F.struct(to.alias("state"), (at["n_ok"] + F.when(to != "", 1).otherwise(0)).cast("long").alias("n_ok"))
 
         return F.aggregate(roles, F.struct(F.lit(self.start).alias("state"), F.lit(0).cast("long").alias("n_ok")), step)
 
@@ -97,7 +97,7 @@ def format_conversations(turns: DataFrame, template: Template = Template(), mach
         return F.array(piece(head, F.lit(False)), piece(template.escaped(t["text"]), role.isin(*template.learnt)), piece(F.lit(template.end), F.lit(False)))
 
     run = whole.select("conv_id", "turns", machine.run(F.transform("turns", lambda t: t["role"])).alias("run"))
-    valid = F.coalesce(F.col("run.state").isin(*machine.accepts), F.lit(False))
+    valid = F.col("run.state").isin(*machine.accepts)
     return run.select("conv_id", F.col("run.n_ok").alias("n_ok"), valid.alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"))
 
 
