@@ -1,7 +1,8 @@
 """Phrase collocations: n-grams of distinct pieces of text, weighted by how often a piece occurs, counted out of core bucket by bucket.
 
-Words and pairs are counted first. Longer phrases are counted only where all their pairs may be frequent: a filter of pairs,
-of bounded size, leaves out most of the others, and whatever it lets through is counted exactly and then compared.
+Pairs of words are counted first, by 64-bit keys. Phrases are counted, as text, only where all their pairs may be frequent: a
+filter of pairs, of bounded size, leaves out most of the others. Equal keys of different pairs, and places that pairs share in
+the filter, only let more through: whatever passes is counted exactly and then compared.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 class Settings:
     """least: a phrase's occurrences; longest: its words; best: phrases reported per language.
 
-    pending: n-grams that a task keeps before it sends their sums on; memory: what a bucket's counting may use before it goes
+    pending, pending_pairs: phrases and occurrences of pairs that a task keeps before it sends their sums on; memory: what a bucket's counting may use before it goes
     to disk; filter_bits: bits of the filter of pairs at most; salts: shares of the answers about single words.
     """
 
@@ -37,6 +38,7 @@ class Settings:
     longest: int = 5
     best: int = 2000
     pending: int = 200_000
+    pending_pairs: int = 2_000_000
     memory: str = "128MB"
     filter_bits: int = 1 << 26
     salts: int = 16
@@ -52,66 +54,129 @@ def pieces(docs: DataFrame) -> DataFrame:
     return counted.select("lang", "piece", (spaces + 1).cast("long").alias("n_words"), "n")
 
 
-_GRAMS = "lang string, phrase string, n long"
+class _Hashes(dict):
+    """63-bit hashes of a language's words, kept as they are met."""
 
+    def __init__(self, lang: str) -> None:
+        self.seed = xxhash.xxh3_64_intdigest(lang.encode())
 
-def _flushed(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, counts in sums.items():
-        phrases, n = list(counts), list(counts.values())
-        for i in range(0, len(phrases), 20_000):
-            part = phrases[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[i : i + 20_000], pa.int64())], names=["lang", "phrase", "n"])
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word, self.seed) >> 1
+        return found
 
 
-def _pair_places(lang: str, pairs: list[str], bits: int) -> list[int]:
-    head = lang + "\n"
-    return [xxhash.xxh3_64_intdigest(head + p) & (bits - 1) for p in pairs]
+#: Words whose hashes a task keeps; more are hashed anew.
+_KNOWN = 500_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(rows: DataFrame, lengths: tuple[int, ...], pending: int, pair_filter: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, n): sums for n-grams of the lengths, several for one n-gram; with a filter, only those all of whose pairs are in it."""
-    shared = None if pair_filter is None else rows.sparkSession.sparkContext.broadcast(pair_filter)
+@dataclass
+class _Words:
+    """The words of a batch of pieces side by side: their hashes, how many follow in the same piece, the piece's number and how often it occurs."""
+
+    words: list[bytes]
+    hashes: np.ndarray
+    following: np.ndarray
+    piece: np.ndarray
+    often: np.ndarray
+    langs: list[str]
+
+    def pairs(self) -> np.ndarray:
+        """A key for each word and the next one; those of a piece's last words mean nothing."""
+        h = self.hashes.astype(np.uint64)
+        mixed = (h[:-1] * _MIX) ^ h[1:]
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
+        return np.append((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1), np.uint64(0)).astype(np.int64)
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
+    known: dict[str, _Hashes] = {}
+    for batch in batches:
+        langs, words, hashes, sizes = batch.column(0).to_pylist(), [], [], []
+        for lang, text in zip(langs, utf8(batch.column(1)), strict=True):
+            own = text.split(b" ")
+            if lang not in known or len(known[lang]) > _KNOWN:
+                known[lang] = _Hashes(lang)
+            words += own
+            hashes += map(known[lang].__getitem__, own)
+            sizes.append(len(own))
+        size = np.array(sizes, np.int64)
+        piece = np.repeat(np.arange(len(size)), size)
+        yield _Words(words, np.array(hashes, np.int64), np.cumsum(size)[piece] - 1 - np.arange(len(words)), piece, batch.column(2).to_numpy(), langs)
+
+
+def _pair_sums(rows: DataFrame, pending: int) -> DataFrame:
+    """(pair, n): keys of pairs of neighbouring words with sums of their occurrences, several for one key."""
+
+    def summed(keys: list[np.ndarray], often: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.concatenate(keys), np.concatenate(often)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(n[order], first) if len(key) else n
+        return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(sums)], names=["pair", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, often, size = [], [], 0
+        for w in _laid_out(batches):
+            inside = w.following > 0
+            keys.append(w.pairs()[inside])
+            often.append(w.often[w.piece[inside]])
+            size += len(keys[-1])
+            if size > pending:
+                yield summed(keys, often)
+                keys, often, size = [], [], 0
+        if keys:
+            yield summed(keys, often)
+
+    return rows.select("lang", "piece", "n").mapInArrow(run, "pair long, n long")
+
+
+def _grams(rows: DataFrame, longest: int, pending: int, pair_filter: np.ndarray) -> DataFrame:
+    """(lang, phrase, n): sums for words, and for phrases of up to longest words all of whose pairs are in the filter; several sums for one phrase."""
+    shared = rows.sparkSession.sparkContext.broadcast(pair_filter)
+
+    def flushed(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in sums.items():
+            phrases, n = list(counts), list(counts.values())
+            for i in range(0, len(phrases), 20_000):
+                part = pa.array(phrases[i : i + 20_000], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + 20_000], pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = {}
-        bits = None if shared is None else shared.value
-        for batch in batches:
-            for lang, text, n in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words, counts = text.decode().split(" "), sums.setdefault(lang, Counter())
-                for grams in _chosen(lang, words, lengths, bits):
-                    if n == 1:
-                        counts.update(grams)
-                    else:
-                        for gram, often in Counter(grams).items():
-                            counts[gram] += n * often
-                if len(counts) > pending:
-                    yield from _flushed(sums)
-                    sums = {}
-        yield from _flushed(sums)
-
-    return rows.select("lang", "piece", "n").mapInArrow(run, _GRAMS)
-
-
-def _chosen(lang: str, words: list[str], lengths: tuple[int, ...], bits: np.ndarray | None) -> Iterator[list[str]]:
-    """The n-grams of each length, in order, without those that hold a pair not in the filter."""
-    if bits is None:
-        for k in lengths:
-            yield words if k == 1 else list(map(" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
-        return
-    if len(words) < min(lengths):
-        return
-    at = np.array(_pair_places(lang, list(map(" ".join, zip(words, words[1:], strict=False))), len(bits) * 8), np.int64)
-    good = (bits[at >> 3] >> (at & 7)) & 1
-    # The pairs in the filter from each place on; a phrase of k words holds k - 1.
-    gaps = np.flatnonzero(np.append(good, 0) == 0)
-    ahead = gaps[np.searchsorted(gaps, np.arange(len(good)))] - np.arange(len(good))
-    for k in lengths:
-        yield [" ".join(words[i : i + k]) for i in np.flatnonzero(ahead >= k - 1).tolist()]
-
-
-def _counted(grams: DataFrame, least: int, memory: str) -> DataFrame:
-    """(lang, phrase, n) of the n-grams that occur least times or more. Each task sums its bucket of n-grams in DuckDB, which
+        bits = shared.value
+        for w in _laid_out(batches):
+            at = w.pairs() & (len(bits) * 8 - 1)
+            good = (w.following > 0) & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+            # Pairs in the filter from each word on, without a gap.
+            gaps = np.flatnonzero(np.append(good, False) == 0)
+            ahead = gaps[np.searchsorted(gaps, np.arange(len(good)))] - np.arange(len(good))
+            lang_of = {lang: i for i, lang in enumerate(dict.fromkeys(w.langs))}
+            lang_at, once = np.array([lang_of[x] for x in w.langs], np.int64)[w.piece], (w.often == 1)[w.piece]
+            for k in range(1, longest + 1):
+                chosen = ahead >= k - 1
+                for lang, i in lang_of.items():
+                    counts = sums.setdefault(lang, Counter())
+                    here = chosen & (lang_at == i)
+                    single = np.flatnonzero(here & once).tolist()
+                    counts.update([w.words[j] for j in single] if k == 1 else [b" ".join(w.words[j : j + k]) for j in single])
+                    several = np.flatnonzero(here & ~once)
+                    for j, n in zip(several.tolist(), w.often[w.piece[several]].tolist(), strict=True):
+                        counts[b" ".join(w.words[j : j + k])] += n
+            if sum(map(len, sums.values())) > pending:
+                yield from flushed(sums)
+                sums = {}
+        yield from flushed(sums)
+
+    return rows.select("lang", "piece", "n").mapInArrow(run, "lang string, phrase string, n long")
+
+
+def _counted(rows: DataFrame, least: int, memory: str) -> DataFrame:
+    """rows (keys..., n) summed by their keys, if the sum is least or more. Each task sums its bucket of keys in DuckDB, which
     goes to a scratch folder of the task, gone at its end, where the sums outgrow the memory."""
+    keys = rows.columns[:-1]
+    sql = f"SELECT {', '.join(keys)}, sum(n)::BIGINT AS n FROM incoming GROUP BY {', '.join(keys)} HAVING sum(n) >= {least:d}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
@@ -126,27 +191,21 @@ def _counted(grams: DataFrame, least: int, memory: str) -> DataFrame:
         scratch = tempfile.mkdtemp(prefix="grams-")
         try:
             with duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": scratch, "preserve_insertion_order": False}) as con:
-                sql = f"SELECT lang, phrase, sum(n)::BIGINT AS n FROM incoming GROUP BY lang, phrase HAVING sum(n) >= {least:d}"
                 yield from con.sql(sql).to_arrow_reader(20_000)
         finally:
             shutil.rmtree(scratch, ignore_errors=True)
 
-    return grams.repartition("lang", "phrase").mapInArrow(run, _GRAMS)
+    return rows.repartition(*keys).mapInArrow(run, rows.schema)
 
 
 def _pair_filter(pairs: DataFrame, most_bits: int) -> np.ndarray:
-    """Bits at the places of pairs (lang, phrase): ten for each pair, most_bits (a power of two) at most. Only whole bytes that are not 0 come to the driver."""
-    bits = 1 << 16
-    count = pairs.count()
-    while bits < most_bits and bits < 10 * count:
+    """Bytes with a bit at the place of each pair: some 16 bits for each, most_bits (a power of two) at most. Only words of 32 bits that are not 0 come to the driver."""
+    bits, count = 1 << 16, pairs.count()
+    while bits < most_bits and bits < 16 * count:
         bits *= 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = [at for lang, pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for at in _pair_places(lang, [pair], bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([p >> 5 for p in places], pa.int64()), pa.array([1 << (p & 31) for p in places], pa.int64())], names=["at", "bit"])
-
-    parts = pairs.select("lang", "phrase").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    place = F.col("pair").bitwiseAND(bits - 1)
+    bit = F.expr("shiftleft(1L, cast(pair & 31 AS int))")
+    parts = pairs.groupBy(F.shiftright(place, 5).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
     words = np.zeros(bits // 32, np.dtype("<u4"))
     words[parts["at"].to_numpy()] = parts["bits"].to_numpy().astype(np.uint32)
     return words.view(np.uint8)
@@ -156,12 +215,9 @@ def phrase_counts(docs: DataFrame, settings: Settings = Settings()) -> tuple[Dat
     """(lang, phrase, n) of all phrases of up to longest words with least occurrences or more, and (lang, total): all word occurrences."""
     split = cut(pieces(docs), "pieces")
     totals = split.groupBy("lang").agg(F.sum(F.col("n_words") * F.col("n")).alias("total"))
-    counts = cut(_counted(_grams(split, (1, 2), settings.pending), settings.least, settings.memory), "grams")
-    if settings.longest > 2:
-        known = _pair_filter(counts.where(F.contains("phrase", F.lit(" "))), settings.filter_bits)
-        longer = _grams(split.where("n_words > 2"), tuple(range(3, settings.longest + 1)), settings.pending, known)
-        counts = counts.unionByName(cut(_counted(longer, settings.least, settings.memory), "long-grams"))
-    return counts, totals
+    pairs = cut(_counted(_pair_sums(split.where("n_words > 1"), settings.pending_pairs), settings.least, settings.memory), "pairs")
+    known = _pair_filter(pairs, settings.filter_bits)
+    return cut(_counted(_grams(split, settings.longest, settings.pending, known), settings.least, settings.memory), "grams"), totals
 
 
 def _stretch(words: Column, first: int, n: int) -> Column:
