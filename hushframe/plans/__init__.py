@@ -1 +1,6 @@
+"""The queries over the tables."""
 
+from . import queries  # isort: skip
+from . import over_time
+
+__all__ = ["over_time", "queries"]
