@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import masked, merged, ordered
 from .rules import Rule, active, rule_spans
+from .sequences import interval_union
 
 _MATCHES = "array<struct<rule_id:string,start:int,length:int,text:string>>"
 
 
-def with_matches(df: DataFrame, text: str, rules: Iterable[Rule], guarded: bool | None = None) -> DataFrame:
+def with_matches(df: DataFrame, text: str, rules: Iterable[Rule]) -> DataFrame:
     """df with column matches: all matches of all valid, enabled rules, by start, the longer first."""
     every = []
-    for rule in active(rules, guarded):
-        spans = rule_spans(F.coalesce(F.col(text), F.lit("")), rule, guarded)
+    for rule in active(rules):
+        spans = rule_spans(F.coalesce(F.col(text), F.lit("")), rule)
         every.append(F.transform(spans, _named(rule.id)))
     return df.withColumn("matches", ordered(F.concat(*every)) if every else F.array().cast(_MATCHES))
 
@@ -26,9 +27,9 @@ def _named(rule_id: str):
     return lambda s: F.struct(F.lit(rule_id).alias("rule_id"), s["start"].alias("start"), s["length"].alias("length"), s["text"].alias("text"))
 
 
-def find_matches(df: DataFrame, text: str, rules: Iterable[Rule], keys: list[str], guarded: bool | None = None) -> DataFrame:
+def find_matches(df: DataFrame, text: str, rules: Iterable[Rule], keys: list[str]) -> DataFrame:
     """(keys, rule_id, start, length, text): a row for each match."""
-    found = with_matches(df.select(*keys, F.col(text)), text, rules, guarded)
+    found = with_matches(df.select(*keys, F.col(text)), text, rules)
     return found.select(*keys, F.explode("matches").alias("m")).select(*keys, "m.*")
 
 
@@ -56,11 +57,6 @@ def summary(counts: DataFrame) -> DataFrame:
 
 
 def merge_rows(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, length) from rows of spans: islands of spans that overlap or touch, by a running end."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy("start", F.desc("length"))
-    reach = F.max(F.col("start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = matches.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
-    ends = islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
-    return ends.select(*keys, "start", (F.col("end") - F.col("start")).alias("length"))
+    """(keys, start, length) from rows of spans: islands of spans that overlap or touch."""
+    spans = matches.select(F.struct(*keys).alias("key"), F.col("start").alias("lo"), (F.col("start") + F.col("length")).alias("hi"))
+    return interval_union(spans, "key", "lo", "hi").select("key.*", F.col("lo").alias("start"), (F.col("hi") - F.col("lo")).alias("length"))

@@ -12,6 +12,8 @@ from .detect import find_matches
 from .rules import Rule
 
 TIGHT = 0.22
+#: Characters of a stretch of a document's text, in which words and matches meet.
+STRETCH = 256
 
 
 def words_with_spans(words: DataFrame, join_tight: bool) -> DataFrame:
@@ -38,9 +40,21 @@ def texts_of(words: DataFrame) -> DataFrame:
 
 
 def line_boxes(words: DataFrame, matches: DataFrame) -> DataFrame:
-    """(doc_id, rule_id, start, length, line, l, t, r, b): for each match and line, the box around what it covers of its words."""
+    """(doc_id, rule_id, start, length, line, l, t, r, b): for each match and line, the box around what it covers of its words.
+
+    A document's words and matches meet in stretches of its text, each pair in the stretch where it begins, so that a long
+    document with many matches neither compares them all nor falls to one task.
+    """
+
+    def stretches(first, last):
+        return F.explode(F.sequence(F.floor(first / STRETCH), F.floor(F.greatest(first, last - 1) / STRETCH)))
+
     m = matches.select(F.col("doc_id").alias("m_doc"), "rule_id", F.col("start").alias("m_start"), F.col("length").alias("m_length"))
-    pairs = words.join(m, (F.col("doc_id") == F.col("m_doc")) & (F.col("start") < F.col("m_start") + F.col("m_length")) & (F.col("m_start") < F.col("end")))
+    m = m.withColumn("m_at", stretches(F.col("m_start"), F.col("m_start") + F.col("m_length")))
+    w = words.withColumn("at", stretches(F.col("start"), F.col("end")))
+    meet = (F.col("start") < F.col("m_start") + F.col("m_length")) & (F.col("m_start") < F.col("end"))
+    pairs = w.join(m, (F.col("doc_id") == F.col("m_doc")) & (F.col("at") == F.col("m_at")) & meet)
+    pairs = pairs.where(F.floor(F.greatest("start", "m_start") / STRETCH) == F.col("at"))
     size = F.greatest(F.lit(1), F.col("end") - F.col("start"))
     since = F.greatest("start", "m_start") - F.col("start")
     until = F.least("end", F.col("m_start") + F.col("m_length")) - F.col("start")

@@ -12,13 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 PART = "__part"
 
 
 def with_part(df: DataFrame, order: str, parts: int = 16) -> DataFrame:
-    """df with PART: how many of parts - 1 bounds, which deal all rows about equally, lie at or below a numeric order; 0 for null."""
-    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
-    at = reduce(lambda n, b: n + F.coalesce((F.col(order) >= b).cast("int"), F.lit(0)), bounds, F.lit(0))
+    """df with PART: how many of parts - 1 bounds, which deal all rows about equally, lie at or below a number or time; 0 for null."""
+    timed = dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz")
+    place = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order)
+    bounds = sorted(set(df.select(place.cast("double").alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.01)))
+    at = reduce(lambda n, b: n + F.coalesce((place.cast("double") >= b).cast("int"), F.lit(0)), bounds, F.lit(0))
     return df.withColumn(PART, at)
 
 
@@ -54,3 +58,21 @@ def last_value(df: DataFrame, keys: list[str], order: list[Column], value: Colum
     last = lambda c: F.last(c, ignorenulls=True)
     total = F.max_by(value, F.when(value.isNotNull(), at))
     return _running(df, keys, order, name, lambda: last(value), total, last, lambda a, b: F.coalesce(b, a), True)
+
+
+def stretches(df: DataFrame, fresh: Callable[[Column, Column], Column], parts: int = 16) -> DataFrame:
+    """(k, lo, hi, n) of intervals (k, lo, hi, n): those that hang together made one, their n added up. fresh(lo, reach):
+    whether an interval that begins at lo begins a stretch where those before it reach to reach.
+
+    Stretches are made in each part of a key first; those at the parts' ends are then joined by what the parts before come to.
+    """
+    rows = with_part(df, "lo", parts)
+    inside = Window.partitionBy("k", PART).orderBy("lo", "hi")
+    reach = F.max("hi").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("fresh", (reach.isNull() | fresh(F.col("lo"), reach)).cast("int"))
+    numbered = marked.withColumn("island", F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = cut(numbered.groupBy("k", PART, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")), "stretches")
+    behind = running_max(local, ["k"], [F.col("lo")], F.col("hi"), "before")
+    begins = F.when(F.col("before").isNull() | fresh(F.col("lo"), F.col("before")), F.col("lo"))
+    owned = last_value(behind.withColumn("begins", begins), ["k"], [F.col("lo")], F.col("begins"), "owner", F.col("lo"))
+    return owned.groupBy("k", "owner").agg(F.max("hi").alias("hi"), F.sum("n").alias("n")).select("k", F.col("owner").alias("lo"), "hi", "n")

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import re
+import logging
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from uuid import uuid4
 
 import pandas as pd
-import regex
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions.detectors import DETECTORS, RECOMMENDED, detector_spans
 from ..functions.fuzzy import fuzzy_spans
-from ..functions.spans import SPANS, literal_spans, regex_spans, wrapped
+from ..functions.spans import SPANS, literal_spans
 
-SECONDS = 0.25
+LOG = logging.getLogger(__name__)
 SCHEMA = "id string, label string, kind string, pattern string, built_in string, enabled boolean, case_sensitive boolean, whole_word boolean, fuzzy boolean, fuzzy_threshold int, is_auto_discovered boolean"
 
 
@@ -41,37 +39,8 @@ class Rule:
         return self.label if self.label.strip() else self.built_in if self.kind == "BuiltIn" else self.pattern
 
 
-def risky(pattern: str) -> bool:
-    """Whether a pattern may take far longer than its text: it repeats in two ways, repeats a choice, or refers back."""
-    plain = re.sub(r"\[(?:\\.|[^\]\\])*\]", "x", re.sub(r"\\[^1-9k]", "x", pattern))
-    repeats = len(re.findall(r"(?<!\()[*+?{]", plain))
-    return "\\" in plain or repeats + ("|" in plain and repeats > 0) > 1
-
-
-def _java_problem(pattern: str) -> str | None:
-    """What Spark's engine says of a pattern, from a query over no table, which the optimizer answers; None where there is no session."""
-    session = SparkSession.getActiveSession()
-    if session is None:
-        return None
-    try:
-        row = session.sql("SELECT '' RLIKE :p AS hit", args={"p": pattern}).first()
-    except (PySparkException, Py4JJavaError):
-        return "The pattern is not a regular expression."
-    return "The pattern matches empty text." if row["hit"] else None
-
-
-def _python_problem(pattern: str, flags: int = 0) -> str | None:
-    try:
-        hit = regex.compile(pattern, flags).search("", timeout=SECONDS)
-    except regex.error:
-        return "The pattern is not a regular expression."
-    except TimeoutError:
-        return "The pattern is too slow."
-    return "The pattern matches empty text." if hit else None
-
-
-def validate(rule: Rule, guarded: bool | None = None) -> str | None:
-    """The first problem of a rule, or None. A pattern must be one for the engines that are to run it (see rule_spans)."""
+def validate(rule: Rule) -> str | None:
+    """The first problem of a rule, or None."""
     if rule.kind == "BuiltIn":
         return None if rule.built_in in DETECTORS else "Unknown detector."
     if not rule.pattern.strip():
@@ -79,10 +48,7 @@ def validate(rule: Rule, guarded: bool | None = None) -> str | None:
     if rule.kind == "AppWindow":
         return None if len(rule.pattern.strip()) >= 3 else "Give at least 3 characters."
     if rule.kind == "Regex":
-        problem = _java_problem(rule.pattern) or _java_problem(wrapped(rule.pattern, rule.case_sensitive, rule.whole_word))
-        if problem is None and (guarded or SparkSession.getActiveSession() is None or guarded is None and risky(rule.pattern)):
-            problem = _python_problem(rule.pattern)
-        return problem
+        return patterns.problem(rule.pattern, rule.case_sensitive, rule.whole_word)
     if rule.kind == "Text" and rule.fuzzy and not 50 <= rule.fuzzy_threshold <= 100:
         return "The threshold must be from 50 to 100."
     return None
@@ -94,8 +60,17 @@ def normalised(rule: Rule) -> Rule:
     return replace(rule, label=rule.label.strip(), pattern="" if rule.kind == "BuiltIn" else rule.pattern, case_sensitive=rule.case_sensitive and not app, whole_word=rule.whole_word and not app, fuzzy=rule.fuzzy and text, fuzzy_threshold=min(100, max(50, rule.fuzzy_threshold)))
 
 
-def active(rules: Iterable[Rule], guarded: bool | None = None) -> list[Rule]:
-    return [r for r in rules if r.enabled and validate(r, guarded) is None]
+def refused(rules: Iterable[Rule]) -> list[tuple[Rule, str]]:
+    """Rules that are on and cannot run, each with its problem."""
+    return [(r, problem) for r in rules if r.enabled and (problem := validate(r)) is not None]
+
+
+def active(rules: Iterable[Rule]) -> list[Rule]:
+    """Rules that are on and can run. Those that cannot cost the others nothing; the log says which, without their patterns."""
+    kept = list(rules)
+    for rule, problem in refused(kept):
+        LOG.warning("rule %s is left out: %s", rule.id, problem)
+    return [r for r in kept if r.enabled and validate(r) is None]
 
 
 def from_rows(df: DataFrame) -> list[Rule]:
@@ -105,35 +80,25 @@ def from_rows(df: DataFrame) -> list[Rule]:
 
 def guarded_spans(text: Column, rule: Rule) -> Column:
     """A user's pattern with a time limit for each text; a text that takes longer has no match for this rule."""
-    wrapped = rf"(?<!\w)(?:{rule.pattern})(?!\w)" if rule.whole_word else rule.pattern
-    flags = 0 if rule.case_sensitive else regex.IGNORECASE
+    args = rule.pattern, rule.case_sensitive, rule.whole_word
 
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
-        compiled = regex.compile(wrapped, flags)
-
-        def one(t: str | None) -> list[dict]:
-            try:
-                found = [m for m in compiled.finditer(t or "", timeout=SECONDS) if m.end() > m.start()]
-            except TimeoutError:
-                return []
-            return [{"start": m.start(), "length": m.end() - m.start(), "text": m[0]} for m in found]
-
-        return texts.map(one)
+        pattern = patterns.compiled(*args)
+        return texts.map(lambda t: [{"start": at, "length": len(hit), "text": hit} for at, hit in patterns.matches(pattern, t or "")])
 
     return run(text)
 
 
-def rule_spans(text: Column, rule: Rule, guarded: bool | None = None) -> Column:
+def rule_spans(text: Column, rule: Rule) -> Column:
     """array<struct<start,length,text>> of one rule; window rules find nothing in text.
 
-    guarded: whether a user's pattern runs with a time limit for each text; by default where it is risky.
+    Users' patterns all run in the engine that can be stopped, so that a rule means the same whatever it costs.
     """
     if rule.kind == "BuiltIn":
         return detector_spans(text, rule.built_in)
     if rule.kind == "Regex":
-        limited = risky(rule.pattern) if guarded is None else guarded
-        return guarded_spans(text, rule) if limited else regex_spans(text, rule.pattern, rule.case_sensitive, rule.whole_word)
+        return guarded_spans(text, rule)
     if rule.kind == "Text":
         return fuzzy_spans(text, rule.pattern, rule.fuzzy_threshold) if rule.fuzzy else literal_spans(text, rule.pattern, rule.case_sensitive, rule.whole_word)
     return F.array().cast(SPANS)
@@ -164,10 +129,13 @@ def uncovered(values: DataFrame, rules: DataFrame) -> DataFrame:
     return values.join(have, F.lower(F.trim("value")) == F.col("have"), "left_anti")
 
 
-def missing_detectors(rules: DataFrame) -> DataFrame:
-    """The recommended detectors that no rule uses."""
-    wanted = rules.sparkSession.createDataFrame([(d,) for d in RECOMMENDED], "built_in string")
-    return wanted.join(rules.where("kind = 'BuiltIn'").select("built_in"), "built_in", "left_anti")
+def missing_detectors(rules: DataFrame, by: str | None = None) -> DataFrame:
+    """The recommended detectors that no rule uses; with by, (by, built_in) for each value of that column of rules, which may
+    be many: those that a value has are counted in one pass and taken from the whole list."""
+    wanted = F.array(*[F.lit(d) for d in RECOMMENDED])
+    has = F.collect_set(F.when(F.col("kind") == "BuiltIn", F.col("built_in")))
+    used = rules.groupBy(*([by] if by else [])).agg(has.alias("has"))
+    return used.select(*([by] if by else []), F.explode(F.array_except(wanted, "has")).alias("built_in"))
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:

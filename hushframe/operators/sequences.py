@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from . import prefixes
+
 
 def _pieces(df: DataFrame, key: str, order: str, value: str, piece, made: str) -> DataFrame:
     """(key, pieces): rows are dealt by ranges of key and order, so that a large key falls to many tasks. Each task folds its
@@ -81,7 +83,11 @@ def ema(df: DataFrame, key: str, order: str, value: str, keep: float = 0.8) -> D
 
 
 def running_sum(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """df with the sum of value up to and with each row of its key, in order; the first of order is a number or a time.
+
+    A large key falls to many tasks, by parts of its order.
+    """
+    return prefixes.running_sum(prefixes.with_part(df, order[0]), [key], [F.col(c) for c in order], F.col(value), name).drop(prefixes.PART)
 
 
 def rates(df: DataFrame, time: str, keys: list[str], least_seconds: float = 0.5) -> DataFrame:
@@ -166,17 +172,14 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def runs(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """(keys, first, last): stretches of consecutive positions."""
-    step = F.col(position) - F.row_number().over(Window.partitionBy(*keys).orderBy(position))
-    return df.select(*keys, position).distinct().withColumn("g", step).groupBy(*keys, "g").agg(F.min(position).alias("first"), F.max(position).alias("last")).drop("g")
+    places = df.select(F.struct(*keys).alias("key"), F.col(position).alias("lo"), (F.col(position) + 1).alias("hi")).where("lo is not null").distinct()
+    return interval_union(places, "key", "lo", "hi").select("key.*", F.col("lo").alias("first"), (F.col("hi") - 1).cast(df.schema[position].dataType).alias("last"))
 
 
 def interval_union(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
-    """(key, lo, hi): the union of half-open intervals."""
-    w = Window.partitionBy(key).orderBy(lo, hi)
-    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(key, F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.when(reach.isNull() | (F.col(lo) > reach), 1).otherwise(0).alias("new"))
-    islands = marked.withColumn("island", F.sum("new").over(Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(key, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+    """(key, lo, hi): the union of half-open intervals, by parts of a key."""
+    rows = df.select(F.col(key).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.lit(1).alias("n"))
+    return prefixes.stretches(rows, lambda a, reach: a > reach).select(F.col("k").alias(key), "lo", "hi")
 
 
 def interval_gaps(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:

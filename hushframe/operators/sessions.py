@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
-from .prefixes import PART, last_value, running_max, with_part
+from .prefixes import stretches
 
 
 def idle_periods(df: DataFrame, key: str, time_ms: str, gap_ms: int, parts: int = 16) -> DataFrame:
     """(key, start, idle_since, n): stretches of rows less than gap_ms apart, after each of which the key is idle.
 
-    Stretches are made in each part of a key first; those at the parts' ends are then joined by what the parts before come
-    to. Rows with a null key or time are left out; rows at one time count each.
+    Rows with a null key or time are left out; rows at one time count each.
     """
-    rows = with_part(df.select(F.col(key).alias("k"), F.col(time_ms).cast("long").alias("t")).where("k is not null and t is not null"), "t", parts)
-    inside = Window.partitionBy("k", PART).orderBy("t")
-    fresh = F.coalesce(F.col("t") - F.lag("t").over(inside) >= gap_ms, F.lit(True)).cast("int")
-    numbered = rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    local = cut(numbered.groupBy("k", PART, "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n")), "sessions")
-    order = [F.col("start")]
-    behind = running_max(local, ["k"], order, F.col("end"), "before")
-    begins = F.when(F.col("before").isNull() | (F.col("start") - F.col("before") >= gap_ms), F.col("start"))
-    owned = last_value(behind.withColumn("begins", begins), ["k"], order, F.col("begins"), "owner", F.col("start"))
-    return owned.groupBy("k", "owner").agg(F.max("end").alias("idle_since"), F.sum("n").alias("n")).select(F.col("k").alias(key), F.col("owner").alias("start"), "idle_since", "n")
+    points = df.select(F.col(key).alias("k"), F.col(time_ms).cast("long").alias("lo"), F.lit(1).cast("long").alias("n")).where("k is not null and lo is not null")
+    found = stretches(points.withColumn("hi", F.col("lo")), lambda lo, reach: lo - reach >= gap_ms, parts)
+    return found.select(F.col("k").alias(key), F.col("lo").alias("start"), F.col("hi").alias("idle_since"), "n")

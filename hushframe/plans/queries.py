@@ -151,12 +151,25 @@ def regex_rule(spark, sf_dir):
     return _exploded(_table(spark, sf_dir, "customer"), "c_custkey", regex_spans(F.col("c_name"), r"#\d*[13579]"))
 
 
-@query()
+@query(ORACLE_SQL["regex_rule"])
 def regex_rule_guarded(spark, sf_dir):
-    found = detect.find_matches(_table(spark, sf_dir, "customer"), "c_name", [Rule("Regex", r"#\d*[13579]", id="odd")], ["c_custkey"], guarded=True)
+    found = detect.find_matches(_table(spark, sf_dir, "customer"), "c_name", [Rule("Regex", r"#\d*[13579]", id="odd")], ["c_custkey"])
     return found.select("c_custkey", "start", "length", F.col("text").alias("value"))
 
 
+_SQL_TWICE = "|".join(2 * c for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+@query(
+    f"SELECT p_partkey, 'r-twice' AS rule_id, start, length(raw)::INT AS length, raw AS value FROM ({_sql_spans('part', 'p_partkey', 'p_name', _SQL_TWICE)}) UNION ALL "
+    f"SELECT p_partkey, 'r-consonants', start, length(raw)::INT, raw FROM ({_sql_spans('part', 'p_partkey', 'p_name', '[b-df-hj-np-tv-z]{2,}')})"
+)
+def regex_dialect(spark, sf_dir):
+    """Users' patterns with a back reference by name and with a class cut by another."""
+    wanted = [Rule("Regex", r"(?<y>[a-z])\k<y>", case_sensitive=True, id="r-twice"), Rule("Regex", "[a-z&&[^aeiou]]{2,}", case_sensitive=True, id="r-consonants")]
+    return detect.find_matches(_table(spark, sf_dir, "part"), "p_name", wanted, ["p_partkey"]).select("p_partkey", "rule_id", "start", "length", F.col("text").alias("value"))
+
+
 @query(r"SELECT p_partkey, replace(translate(regexp_replace(lower(p_name), '[\s_\-.]', '', 'g'), '01i|!58', 'ollllsb'), 'rn', 'm') AS plain FROM part")
 def normalize_ocr(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", normalised(F.col("p_name")).alias("plain"))
@@ -361,6 +374,19 @@ def composed_covers(spark, sf_dir):
     return _flat(windows.compose(boxes, w, F.lit(5.0)).select("window_id.*", "rect"), F.col("rect"))
 
 
+@query(f"""WITH w AS (SELECT *, ax AS vx, ay AS vy, least(ax + aw, 120) AS vr, least(ay + ah, 100) AS vb, ((l_partkey % 9 - 4) * 0.375)::DOUBLE AS v, least(l_suppkey % 60, 40.0) AS iv FROM {_R} WHERE l_suppkey % 3 <> 0),
+m AS (SELECT *, CASE WHEN abs(v) < 0.01 OR l_orderkey % 150 <= 0 OR l_orderkey % 150 > iv * 2.5 + 30 THEN 0 ELSE round_even(v * least(l_orderkey % 150, iv * 1.5 + 30), 0) END AS dy FROM w),
+p AS (SELECT *, ax + bx AS x0, ay + by_ + dy AS y0, ax + bx + bw AS x1, ay + by_ + dy + bh AS y1 FROM m)
+SELECT {_KEYS}, greatest(x0, vx)::INT AS x, greatest(y0, vy)::INT AS y, (least(x1, vr) - greatest(x0, vx))::INT AS w, (least(y1, vb) - greatest(y0, vy))::INT AS h FROM p WHERE least(x1, vr) > greatest(x0, vx) AND least(y1, vb) > greatest(y0, vy)""")
+def moving_covers(spark, sf_dir):
+    """What covers each window whose box moves, where it is by then."""
+    r = _rects(spark, sf_dir).where("l_suppkey % 3 <> 0").withColumn("window_id", F.struct(*_KEYS.split(", ")))
+    visible = F.filter(F.array(G.intersect(F.col("a"), G.rect(0, 0, 120, 100))), lambda v: ~G.is_empty(v))
+    w = r.select("window_id", F.col("a").alias("rect"), visible.alias("visible"), F.lit(False).alias("covered")).dropDuplicates(["window_id"])
+    boxes = r.select("window_id", F.col("b").alias("rect"), ((F.col("l_partkey") % 9 - 4) * 0.375).alias("velocity"), (-(F.col("l_orderkey") % 150)).cast("double").alias("frame_time_ms"), (F.col("l_suppkey") % 60).cast("double").alias("interval_ms"))
+    return _flat(windows.compose(boxes, w, F.lit(0.0)).select("window_id.*", "rect"), F.col("rect"))
+
+
 _RGB = "(SELECT p_partkey, (p_partkey * 7919) % 16777216 AS c FROM part)"
 
 
@@ -396,6 +422,19 @@ def highlighted_lines(spark, sf_dir):
     return c.select("conv_id", "turn", F.size(lines_of_pieces(F.col("text"), merged(F.col("matches")))).alias("lines"))
 
 
+@query("""WITH l AS (SELECT conv_id, turn, i - 1 AS line, ls[i] AS line_text FROM (SELECT conv_id, turn, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM conversations WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i)),
+s AS (SELECT *, regexp_split_to_array(line_text, '(?i)(?:the)+') AS plain, regexp_extract_all(line_text, '(?i)(?:the)+') AS hits FROM l),
+p AS (SELECT conv_id, turn, line, 2 * i AS place, false AS hit, plain[i] AS piece FROM s, unnest(range(1, len(plain) + 1)) u(i) UNION ALL SELECT conv_id, turn, line, 2 * i + 1, true, hits[i] FROM s, unnest(range(1, len(hits) + 1)) u(i))
+SELECT conv_id, turn, line::INT AS line, (row_number() OVER (PARTITION BY conv_id, turn, line ORDER BY place) - 1)::INT AS piece_no, hit, piece FROM p WHERE piece <> ''""")
+def highlighted_pieces(spark, sf_dir):
+    """The pieces of each line, hit and plain in turn."""
+    from ..functions.spans import lines_of_pieces, merged
+
+    c = detect.with_matches(_table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text"), "text", [Rule("Text", "the", id="r-the")])
+    lines = c.select("conv_id", "turn", F.posexplode(lines_of_pieces(F.col("text"), merged(F.col("matches")))).alias("line", "pieces"))
+    return lines.select("conv_id", "turn", "line", F.posexplode("pieces").alias("piece_no", "p")).select("conv_id", "turn", "line", "piece_no", "p.hit", F.col("p.text").alias("piece"))
+
+
 @query()
 def visible_regions(spark, sf_dir):
     w = _rects(spark, sf_dir).select(F.col("l_orderkey").alias("screen_id"), F.col("l_partkey").alias("window_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("z"), F.col("a").alias("rect"), (F.col("l_suppkey") % 3 > 0).alias("opaque"))
@@ -571,10 +610,17 @@ def discovery_uncovered(spark, sf_dir):
     return rules.uncovered(_values(spark, sf_dir), have).select("seq", "value")
 
 
-@query("SELECT * FROM (VALUES ('Ipv4'), ('Phone'), ('ApiKey'), ('CreditCard'), ('CryptoAddress')) v(built_in)")
+_PROFILES = "(SELECT p_partkey % 97 AS profile, CASE WHEN p_size % 4 = 0 THEN 'Text' ELSE 'BuiltIn' END AS kind, ['Email', 'Ipv4', 'Ipv6', 'Phone', 'ApiKey', 'CreditCard', 'Url', 'CryptoAddress'][p_size % 8 + 1] AS built_in FROM part WHERE p_size > 15)"
+
+
+@query(f"""SELECT w.profile, d.built_in FROM (SELECT DISTINCT profile FROM {_PROFILES}) w, (VALUES ('Email'), ('Ipv4'), ('Phone'), ('ApiKey'), ('CreditCard'), ('Url'), ('CryptoAddress')) d(built_in)
+WHERE NOT EXISTS (SELECT 1 FROM {_PROFILES} p WHERE p.profile = w.profile AND p.kind = 'BuiltIn' AND p.built_in = d.built_in)""")
 def missing_detectors(spark, sf_dir):
-    have = spark.createDataFrame([("BuiltIn", "Email"), ("BuiltIn", "Url"), ("Text", "Phone")], "kind string, built_in string")
-    return rules.missing_detectors(have)
+    """The recommended detectors that each of many profiles lacks, from a table of their rules."""
+    names = F.array(*[F.lit(n) for n in ("Email", "Ipv4", "Ipv6", "Phone", "ApiKey", "CreditCard", "Url", "CryptoAddress")])
+    p = _table(spark, sf_dir, "part").where("p_size > 15")
+    table = p.select((F.col("p_partkey") % 97).alias("profile"), F.when(F.col("p_size") % 4 == 0, "Text").otherwise("BuiltIn").alias("kind"), F.get(names, F.col("p_size") % 8).alias("built_in"))
+    return rules.missing_detectors(table, "profile")
 
 
 @query("""SELECT DISTINCT url AS name FROM pages WHERE contains(lower(url), 'tion') ORDER BY name LIMIT 5""")

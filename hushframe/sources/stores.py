@@ -26,18 +26,29 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target, jvm.org.apache.hadoop.fs.Path
 
 
+def _replace(spark: SparkSession, row: DataFrame, path: str, name: str) -> None:
+    """Put one row of text into the file name of a folder: written beside it, then renamed over the old file in one step, so
+    that a reader or a crash meets the old content or the new one."""
+    fs, target, to_path = _filesystem(spark, path)
+    row.coalesce(1).write.mode("overwrite").text(path + ".tmp")
+    parts = [s.getPath() for s in fs.listStatus(to_path(path + ".tmp")) if s.getPath().getName().startswith("part-")]
+    fs.mkdirs(target)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context.rename(fs.makeQualified(parts[0]), fs.makeQualified(to_path(target, name)), options)
+    fs.delete(to_path(path + ".tmp"), True)
+
+
 def save_rules(spark: SparkSession, rules: Iterable[Rule], path: str, key: str) -> None:
-    """Write the rules as encrypted JSON: to a temporary folder first, which then takes the place of the old one.
+    """Write the rules as encrypted JSON, in place of those saved before.
 
     key: 16, 24 or 32 characters. The file is as safe as the key, which belongs in a secret store.
     """
     text = json.dumps([asdict(r) for r in rules])
     row = spark.createDataFrame([(text, key)], "t string, k string").select(F.hex(F.aes_encrypt("t", "k", F.lit("GCM"))).alias("value"))
-    row.coalesce(1).write.mode("overwrite").text(path + ".tmp")
-    fs, target, to_path = _filesystem(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(to_path(path + ".tmp"), target)
+    _replace(spark, row, path, "rules.txt")
 
 
 def load_rules(spark: SparkSession, path: str, key: str) -> list[Rule]:
@@ -69,8 +80,7 @@ def load_settings(spark: SparkSession, path: str) -> dict:
 
 
 def save_settings(spark: SparkSession, settings: dict, path: str) -> None:
-    row = spark.createDataFrame([(json.dumps(settings),)], "value string")
-    row.coalesce(1).write.mode("overwrite").text(path)
+    _replace(spark, spark.createDataFrame([(json.dumps(settings),)], "value string"), path, "settings.json")
 
 
 def network_names(output: Column) -> Column:

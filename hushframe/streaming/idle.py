@@ -61,10 +61,10 @@ def idle_since(events: DataFrame, key: str, time: str, gap_ms: int, late: str =
     finds, but for events later than the watermark, which Spark leaves out, and stretches that the watermark has not closed.
 
     The state of a key is its open stretches, few as they lie between the watermark and the newest event; it is gone when the
-    last one closes. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). Null keys are a key, null
-    times are left out.
+    last one closes. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). Rows with a null
+    key or time are left out.
     """
-    rows = events.where(F.col(time).isNotNull()).withWatermark(time, late).select(F.col(key).alias("key"), F.col(time).alias("at"), F.unix_millis(F.col(time)).alias("ms"))
+    rows = events.where(F.col(time).isNotNull() & F.col(key).isNotNull()).withWatermark(time, late).select(F.col(key).alias("key"), F.col(time).alias("at"), F.unix_millis(F.col(time)).alias("ms"))
     kind = dict(rows.dtypes)["key"]
     found = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Idle(gap_ms), outputStructType=f"key {kind}, start long, idle_since long, n long", outputMode="Append", timeMode="EventTime")
     return found.withColumnRenamed("key", key)

@@ -80,6 +80,31 @@ def test_mapping(spark):
     assert got == {(1, "e", (26, 2, 36, 5)), (1, "p", (11, 12, 10, 5)), (2, "n", (1, 2, 20, 5)), (2, "n", (1, 12, 20, 5)), (2, "p", (11, 12, 10, 5))}
 
 
+def test_mapping_of_long_documents(spark, monkeypatch):
+    """Words and matches meet in stretches of the text: as if each match were held against each word; a third of all is one document."""
+    monkeypatch.setattr(mapping, "STRETCH", 16)
+    rng = random.Random(3)
+    words, matches = [], []
+    for doc, n in ((0, 400), (1, 200), (2, 3), (3, 1)):
+        at = 0
+        for i in range(n):
+            size = rng.choice([0, 1, 2, 5, 30])
+            words.append((doc, i // 10, i % 10, at, at + size, float(i % 10 * 40), float(i // 10 * 20), 38.0, 14.0))
+            at += size + 1
+        matches += [(doc, f"r{j % 3}", rng.randrange(at), rng.choice([1, 3, 40, 200])) for j in range(n // 2)]
+    w = spark.createDataFrame(words, "doc_id int, line int, word_ix int, start int, end int, x double, y double, width double, height double")
+    m = spark.createDataFrame(matches, "doc_id int, rule_id string, start int, length int")
+    want = {}
+    for doc, rule, start, length in set(matches):
+        for d, line, _, a, b, x, y, width, height in words:
+            if d == doc and a < start + length and start < b:
+                l, r = x + width * (max(a, start) - a) / max(1, b - a), x + width * (min(b, start + length) - a) / max(1, b - a)
+                old = want.get((doc, rule, start, length, line), (l, y, r, y + height))
+                want[doc, rule, start, length, line] = (min(old[0], l), min(old[1], y), max(old[2], r), max(old[3], y + height))
+    got = {tuple(r)[:5]: tuple(r)[5:] for r in mapping.line_boxes(w, m).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_touching_areas():
     assert frames.merge_touching([(0, 0, 10, 10), (10, 0, 10, 10), (100, 100, 5, 5)]) == [(0, 0, 20, 10), (100, 100, 5, 5)]
     assert len(frames.merge_touching([(0, 0, 2, 100), (2, 0, 100, 2)])) == 2
@@ -136,7 +161,7 @@ def test_stores(spark, tmp_path):
     assert stores.load_rules(spark, path, "k" * 16) == []
     stores.save_rules(spark, saved, path, "k" * 16)
     assert stores.load_rules(spark, path, "k" * 16) == saved
-    assert "päss" not in "".join(p.read_text() for p in (tmp_path / "rules").glob("part-*"))
+    assert "päss" not in "".join(p.read_text() for p in (tmp_path / "rules").glob("*.txt"))
     assert stores.load_rules(spark, path, "x" * 16) == [] and (tmp_path / "rules.unreadable").exists()
     where = str(tmp_path / "settings")
     assert stores.load_settings(spark, where) == stores.SETTINGS

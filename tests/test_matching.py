@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from hushframe.functions import patterns
 from hushframe.functions.detectors import detector_spans
 from hushframe.functions.fuzzy import normalise, normalised, ratio
 from hushframe.functions.spans import lines_of_pieces, literal_spans, masked, merged, pattern_spans
@@ -13,10 +14,10 @@ from hushframe.operators import detect, rules
 from hushframe.operators.rules import Rule
 
 
-def found(spark, texts, rule, guarded=False):
+def found(spark, texts, rule):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     out = {i: [] for i in range(len(texts))}
-    for r in detect.find_matches(df, "t", [rule], ["k"], guarded).orderBy("k", "start", F.desc("length")).collect():
+    for r in detect.find_matches(df, "t", [rule], ["k"]).orderBy("k", "start", F.desc("length")).collect():
         assert texts[r["k"]][r["start"] : r["start"] + r["length"]] == r["text"]
         out[r["k"]].append(r["text"])
     return list(out.values())
@@ -71,7 +72,7 @@ def test_regex_rules(spark):
     assert found(spark, ["ACC-1234 acc-12"], Rule("Regex", r"ACC-\d{4}")) == [["ACC-1234"]]
     assert found(spark, ["cat concat"], Rule("Regex", "cat", whole_word=True)) == [["cat"]]
     slow = Rule("Regex", r"(a|aa)+$")
-    assert found(spark, ["a" * 60 + "b", "xaa"], slow, guarded=True)[1] == ["aa"]
+    assert found(spark, ["a" * 60 + "b", "xaa"], slow)[1] == ["aa"]
 
 
 def test_validation():
@@ -168,15 +169,15 @@ def test_fuzzy_against_plain_windows(spark):
 @pytest.mark.parametrize("pattern", [r"(?=a)", r"\b", r"x?(?=an)", r"a|(?=n)", r"(?<=n)|b", r"$|x", "a"])
 def test_matches_of_nothing_are_left_out(spark, pattern):
     texts = ["banana xab", "", "an", "xan xan", "ax\nan"]
-    got = found(spark, texts, Rule("Regex", pattern, case_sensitive=True), guarded=False)
+    got = found(spark, texts, Rule("Regex", pattern, case_sensitive=True))
     assert got == [[m[0] for m in re.finditer(pattern, t) if m[0]] if rules.validate(Rule("Regex", pattern)) is None else [] for t in texts]
 
 
 def test_a_bad_or_slow_rule_costs_the_others_nothing(spark):
-    bad = Rule("Regex", r"(?P<n>a)b", id="bad")
+    bad = Rule("Regex", r"(?<n>a)\k<m>b", id="bad")
     slow = Rule("Regex", r"^(a+)+$", id="slow")
-    assert rules.validate(bad) and rules.validate(slow) is None and rules.risky(slow.pattern) and not rules.risky(r"ACC-\d+")
-    assert rules.risky(r"(a|aa)+$") and rules.risky(r"(a)\1") and not rules.risky(r"[*+?]x\+") and not rules.risky(r"(?i)a(?=b)")
+    assert rules.validate(bad) and rules.validate(slow) is None
+    assert rules.refused([bad, slow, Rule("Regex", "[", enabled=False)]) == [(bad, "The pattern is not a regular expression.")]
     df = spark.createDataFrame([(1, "a" * 40 + "!"), (2, "ab")], "k int, t string")
     got = detect.find_matches(df, "t", [bad, slow, Rule("Text", "ab", id="good")], ["k"])
     assert [(r["k"], r["rule_id"]) for r in got.collect()] == [(2, "good")]
@@ -200,3 +201,71 @@ def test_merging_against_cells(spark):
         cells = sorted({c for s in r["s"] for c in range(s["start"], s["start"] + s["length"])})
         got = [(s["start"], s["start"] + s["length"]) for s in r["m"]]
         assert [c for a, b in got for c in range(a, b)] == cells and all(b < c for (_, b), (c, _) in zip(got, got[1:], strict=False))
+
+
+SAME = [
+    (r"(?<y>\d+)-\k<y>", "a 12-12 b 3-4", ["12-12"]),
+    (r"(?<y>\w)\k{y}", "book off", ["oo", "ff"]),
+    (r"(?'y'a)b\k'y'", "aba", ["aba"]),
+    (r"(a)(b)\2\1\k<1>", "abbaa", ["abbaa"]),
+    (r"[a-z&&[^b]]+\d+", "abc12 bb3", ["c12"]),
+    (r"[a-z&&def]+", "abcdefg", ["def"]),
+    (r"[a-z-[aeiou]]+", "stone", ["st", "n"]),
+    (r"[[a]+", "x[[a]", ["[[a"]),
+    (r"[]a]+", "]a]b", ["]a]"]),
+    (r"[^]a]+", "]xy]", ["xy"]),
+    (r"[a\]b]+", "a]b", ["a]b"]),
+    (r"[|~-]+", "a||~~--b", ["||~~--"]),
+    (r"[a&b]+", "a&b", ["a&b"]),
+    (r"[[:digit:]x]+", "12x", ["12x"]),
+    (r"\Qa.b*\E+", "a.b** a.bb", ["a.b**"]),
+    (r"x\Q[", "x[", ["x["]),
+    (r"\x{41}\u0042\x43", "ABC", ["ABC"]),
+    (r"a\hb", "a\tb a\nb", ["a\tb"]),
+    (r"\p{Lu}\p{Ll}+", "Ab éÉa", ["Ab", "Éa"]),
+    (r"\p{Alpha}{2,}", "é1ab", ["ab"]),
+    (r"a++b", "aaab", ["aaab"]),
+    (r"(?>a|ab)c", "abc ac", ["ac"]),
+    (r"(?<=\d{2,3})x", "1x 12x", ["x"]),
+    (r"(?<!\d)x(?!y)", "x 1x xy", ["x"]),
+    (r"(?i:ab)C", "ABC abC", ["ABC", "abC"]),
+    (r"(?x) a b  # c", "ab", ["ab"]),
+    (r"end\Z", "the end\n", ["end"]),
+    (r"end\z", "the end\n", []),
+    (r"^b.$", "a\nbc", []),
+    (r"(?m)^b.$", "a\nbc", ["bc"]),
+    (r"(?s)a.b", "a\nb", ["a\nb"]),
+    (r"(\w+\s?)+!", "one two!", ["one two!"]),
+    (r"straße", "strasse STRAßE", ["STRAßE"]),
+    (r"\R", "a\r\nb", ["\r\n"]),
+    (r"😀{2}", "😀😀", ["😀😀"]),
+]
+
+
+@pytest.mark.parametrize("pattern, text, want", SAME)
+def test_dialect_of_patterns(pattern, text, want):
+    """What a pattern means, whatever dialect it is written in."""
+    sensitive = pattern not in ("straße",)
+    assert rules.validate(Rule("Regex", pattern, case_sensitive=sensitive)) is None
+    assert [m for _, m in patterns.matches(patterns.compiled(pattern, sensitive), text)] == want
+
+
+def test_patterns_as_rules(spark):
+    """Rules find what the engine finds by itself; those that cannot run are told, with what is wrong."""
+    texts = [t for _, t, _ in SAME] + ["", None]
+    for pattern, _, _ in SAME[:6]:
+        for whole in (False, True):
+            hits = [[m for _, m in patterns.matches(patterns.compiled(pattern, False, whole), t or "")] for t in texts]
+            assert found(spark, texts, Rule("Regex", pattern, whole_word=whole)) == hits
+    bad = [Rule("Regex", p) for p in ("[", "(", r"\k<n>", "a*", r"\p{javaLowerCase}", "(?<n>a)(?P=m)", "[a-z&&[^b]")]
+    assert [r for r, _ in rules.refused([*bad, Rule("Regex", "[", enabled=False), Rule("Regex", "ok")])] == bad
+    assert [problem for _, problem in rules.refused(bad)][3] == "The pattern matches empty text."
+
+
+def test_missing_detectors(spark):
+    table = spark.createDataFrame([(1, "BuiltIn", "Email"), (1, "BuiltIn", "Url"), (1, "Text", "Phone"), (2, "Text", "Email"), (None, "BuiltIn", "Phone"), (2, None, None)], "who int, kind string, built_in string")
+    every = set(rules.RECOMMENDED)
+    assert {r[0] for r in rules.missing_detectors(table).collect()} == every - {"Email", "Url", "Phone"}
+    assert {r[0] for r in rules.missing_detectors(table.limit(0)).collect()} == every
+    each = {(r["who"], r["built_in"]) for r in rules.missing_detectors(table, "who").collect()}
+    assert each == {(1, d) for d in every - {"Email", "Url"}} | {(2, d) for d in every} | {(None, d) for d in every - {"Phone"}}
