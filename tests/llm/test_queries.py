@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_mixing": "doc_id size source_size target taken",
     "op9_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op10_pu_toxicity": "doc_id held_out score predicted",
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -39,13 +40,17 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(1, passage), (2, None), (3, ""), (None, "one"), (5, texts[1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     pages = [(i, f"u{i % 3}", f"<p>{i % 6}</p>") for i in range(20)] + [(50, None, None), (51, "u", ""), (52, "v", "é" * 9000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    turns = [(i % 7, i // 7 if i % 5 else None, [None, "user", "assistant", "system", "tool", "a <|im_sep|>\n"][i % 6], texts[i % len(texts)], "x", i) for i in range(120)]
+    turns += turns[:3] + [(None, 0, "user", "no id"), (None, None, None, None), (9, 0, "user", "<|im_end|> <\\|im_start|>"), (9, 1, "assistant", "<|<|im_sep|>\\")]
+    turns = [(*t, "x", 0)[:6] for t in turns]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, segments string, valid int").repartition(3).write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="module")
 def nothing(spark, odd, tmp_path_factory):
     folder = tmp_path_factory.mktemp("nothing")
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "conversations"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -58,7 +63,7 @@ def against_sql(spark, name, folder):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations"):
         db.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'' if folder == SF else '/*.parquet'}')")
     want = db.execute(queries.ORACLE_SQL[name])
     columns, df = [c[0] for c in want.description], queries.QUERIES[name](spark, folder)
@@ -72,7 +77,7 @@ def test_sql_on_the_driver_s_tables(spark, name):
     against_sql(spark, name, SF)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.ORACLE_SQL if n != "op7_warc"])
+@pytest.mark.parametrize("name", [n for n in queries.ORACLE_SQL if n not in ("op7_warc", "op13_collocations")])
 def test_sql_on_odd_tables(spark, odd, name):
     against_sql(spark, name, odd)
 
@@ -96,3 +101,9 @@ def test_base_columns_of_learnt_queries(spark, odd):
             a = a.withColumn("base_score", F.round("base_score", 4))
         rows = lambda d, columns=b.columns: sorted(repr([r[c] for c in columns]) for r in d.collect())
         assert rows(a) == rows(b)
+
+
+def test_nothing_to_format_or_to_count(spark, nothing):
+    assert [r["conv_id"] for r in queries.QUERIES["op11_chat_format"](spark, nothing).collect()] == [-1]
+    assert queries.QUERIES["op13_collocations"](spark, nothing).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert queries.QUERIES["op13_collocations"](spark, nothing).count() == 0
