@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..sources.scratch import cut
+from .tiles import overlapping
+
 Rect = tuple[int, int, int, int]
 
 
@@ -40,12 +44,40 @@ def merge_touching(rects: list[Rect]) -> list[Rect]:
     return found
 
 
-def merged_rects(rects: Column) -> Column:
-    """array<rect> with touching rectangles made one, in the order of merge_touching."""
+def _grouped(rects: DataFrame, key: str) -> DataFrame:
+    """(key, rect, box): distinct rectangles, with a box around all that they might ever be merged with. Boxes of one key are
+    equal or apart: each grows by those that it meets until none does."""
+    around = lambda r: G.inflate(r, 1, 1)
+    rows = rects.where(F.col(key).isNotNull() & F.col("rect").isNotNull()).select(key, "rect").distinct()
+    # Even a rectangle of no area lies in its box.
+    sound = G.rect(F.col("rect.x"), F.col("rect.y"), F.greatest(F.col("rect.w"), F.lit(0)), F.greatest(F.col("rect.h"), F.lit(0)))
+    found = cut(rows.withColumn("box", around(sound)), "areas")
+    while True:
+        boxes = found.select(key, F.col("box").alias("rect"))
+        met = overlapping(boxes, boxes, key)
+        edge = lambda f, c: f(F.col("b")[c])
+        far = lambda c, size: F.max(F.col("b")[c] + F.col("b")[size])
+        grown = met.groupBy(key, "a").agg(edge(F.min, "x").alias("l"), edge(F.min, "y").alias("t"), far("x", "w").alias("r"), far("y", "h").alias("d"))
+        grown = cut(grown.select(F.col(key).alias("__key"), "a", G.ltrb(F.col("l"), F.col("t"), F.col("r"), F.col("d")).alias("to")).where("a <> to"), "areas-grown")
+        if grown.isEmpty():
+            return found
+        found = cut(found.join(grown, (F.col(key) == F.col("__key")) & (F.col("box") == F.col("a")), "left").select(key, "rect", F.coalesce("to", "box").alias("box")), "areas")
+
+
+def merged_areas(rects: DataFrame, key: str) -> DataFrame:
+    """(key, rect): the rectangles of each key, those that touch made one as merge_touching does in the order of x, y, w and h.
+
+    Rectangles whose boxes stay apart never meet, so that each group within one box is merged by itself: a key's areas fall
+    to as many tasks as it has groups. Rectangles that all hang together are one group, of one task. Equal rectangles are
+    one; null keys and rectangles are left out; no rows give none.
+    """
+    kind = dict(rects.dtypes)[key]
 
-    @F.pandas_udf("array<struct<x:int,y:int,w:int,h:int>>")
-    def run(lists: pd.Series) -> pd.Series:
-        merge = lambda row: [dict(zip("xywh", r, strict=True)) for r in merge_touching([(q["x"], q["y"], q["w"], q["h"]) for q in row])]
-        return lists.map(lambda row: merge(row) if row is not None else None)
+    def merge(group: pa.Table) -> pa.Table:
+        found = merge_touching(sorted((r["x"], r["y"], r["w"], r["h"]) for r in group.column("rect").to_pylist()))
+        one = group.column(key).slice(0, 1).to_pylist() * len(found)
+        fields = [pa.array([r[i] for r in found], pa.int32()) for i in range(4)]
+        return pa.table({key: pa.array(one, group.schema.field(key).type), "x": fields[0], "y": fields[1], "w": fields[2], "h": fields[3]})
 
-    return run(rects)
+    parts = _grouped(rects, key).groupBy(key, "box").applyInArrow(merge, f"`{key}` {kind}, x int, y int, w int, h int")
+    return parts.select(key, F.struct("x", "y", "w", "h").alias("rect"))

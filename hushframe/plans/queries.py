@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions.detectors import DETECTORS, candidates, detector_spans
 from ..functions.fuzzy import normalised
 from ..functions.spans import literal_spans, regex_spans
-from ..operators import detect, mapping, rules, sequences, windows
+from ..operators import detect, frames, mapping, rules, sequences, windows
 from ..operators.rules import Rule
 from ..sources import stores
 
@@ -657,12 +657,22 @@ def unread_rows(spark, sf_dir):
     return sequences.interval_difference(l.where("l_quantity <= 25"), l.where("l_quantity > 25"), "k", "lo", "hi")
 
 
+def _merged(spark, sf_dir):
+    rects = _rects(spark, sf_dir).select("l_orderkey", F.col("a").alias("rect"))
+    return rects, frames.merged_areas(rects, "l_orderkey")
+
+
 @query()
 def merged_areas(spark, sf_dir):
-    from ..operators.frames import merged_rects
+    """How many rectangles an order has before and after those that touch are made one."""
+    rects, after = _merged(spark, sf_dir)
+    return rects.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("before")).join(after.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("after")), "l_orderkey")
 
-    per = _rects(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("a")).alias("rects"))
-    return per.select("l_orderkey", F.size("rects").alias("before"), F.size(merged_rects(F.col("rects"))).alias("after"))
+
+@query()
+def merged_rectangles(spark, sf_dir):
+    """The rectangles themselves."""
+    return _merged(spark, sf_dir)[1].select("l_orderkey", *[F.col("rect")[c].alias(c) for c in "xywh"])
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS start_s, count(*) AS n FROM events GROUP BY ALL")

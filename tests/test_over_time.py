@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions import geometry as G
-from hushframe.operators import asof, assign, generations, prefixes, recall, sequences, sessions, shifts, throttle, tiles
+from hushframe.operators import asof, assign, frames, generations, prefixes, recall, sequences, sessions, shifts, throttle, tiles
 
 
 def keyed(rng, n, keys=8):
@@ -266,3 +266,16 @@ def test_same_gaps_as_the_other_form(spark):
     df = spark.createDataFrame(rows, "k int, t int, i int")
     ends = {(r["k"], r["idle_since"]) for r in sessions.idle_periods(df, "k", "t", 20).collect()}
     assert ends == {(r["k"], r["t"]) for r in sequences.debounced(df, "k", "t", "i", 20).collect()}
+
+
+def test_areas_made_one(spark):
+    """As the plain fold over all rectangles of a key, for groups that hang together and a third of all in one key."""
+    rng = random.Random(14)
+    rows = [(0 if i % 3 == 0 else rng.randrange(1, 6), (rng.randrange(120), rng.randrange(120), rng.choice([0, 1, 5, 12]), rng.choice([1, 4, 9]))) for i in range(260)]
+    rows += [(7, (0, 0, 1, 1)), (7, (0, 0, 1, 1)), (8, (-5, -5, 3, 3)), (8, (-2, -5, 3, 3)), (8, (1, -5, 3, 3)), (8, (50, 50, 3, 3))]
+    found = frames.merged_areas(rect_table(spark, rows, [(None, (0, 0, 5, 5)), (1, None)]), "k").collect()
+    for k in {k for k, _ in rows}:
+        want = frames.merge_touching(sorted({r for kk, r in rows if kk == k}))
+        assert sorted(tuple(r["rect"]) for r in found if r["k"] == k) == sorted(want), k
+        assert sorted(frames.merge_touching(sorted(r for kk, r in rows if kk == k))) == sorted(want), k
+    assert frames.merged_areas(rect_table(spark, [(1, None)]), "k").count() == 0
