@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +52,9 @@ def _grouped(rects: DataFrame, key: str) -> DataFrame:
     # Even a rectangle of no area lies in its box.
     sound = G.rect(F.col("rect.x"), F.col("rect.y"), F.greatest(F.col("rect.w"), F.lit(0)), F.greatest(F.col("rect.h"), F.lit(0)))
     found = cut(rows.withColumn("box", around(sound)), "areas")
+    moving = found
     while True:
-        boxes = found.select(key, F.col("box").alias("rect"))
+        boxes = moving.select(key, F.col("box").alias("rect")).distinct()
         met = overlapping(boxes, boxes, key)
         edge = lambda f, c: f(F.col("b")[c])
         far = lambda c, size: F.max(F.col("b")[c] + F.col("b")[size])
@@ -61,7 +62,9 @@ def _grouped(rects: DataFrame, key: str) -> DataFrame:
         grown = cut(grown.select(F.col(key).alias("__key"), "a", G.ltrb(F.col("l"), F.col("t"), F.col("r"), F.col("d")).alias("to")).where("a <> to"), "areas-grown")
         if grown.isEmpty():
             return found
+        # Only keys in which a box has grown are looked at again.
         found = cut(found.join(grown, (F.col(key) == F.col("__key")) & (F.col("box") == F.col("a")), "left").select(key, "rect", F.coalesce("to", "box").alias("box")), "areas")
+        moving = found.join(grown.select(F.col("__key").alias(key)).distinct(), key, "left_semi")
 
 
 def merged_areas(rects: DataFrame, key: str) -> DataFrame:
@@ -71,13 +74,13 @@ def merged_areas(rects: DataFrame, key: str) -> DataFrame:
     to as many tasks as it has groups. Rectangles that all hang together are one group, of one task. Equal rectangles are
     one; null keys and rectangles are left out; no rows give none.
     """
-    kind = dict(rects.dtypes)[key]
+    groups = _grouped(rects, key).groupBy(key, "box").agg(F.array_sort(F.collect_list("rect")).alias("rects"))
 
-    def merge(group: pa.Table) -> pa.Table:
-        found = merge_touching(sorted((r["x"], r["y"], r["w"], r["h"]) for r in group.column("rect").to_pylist()))
-        one = group.column(key).slice(0, 1).to_pylist() * len(found)
-        fields = [pa.array([r[i] for r in found], pa.int32()) for i in range(4)]
-        return pa.table({key: pa.array(one, group.schema.field(key).type), "x": fields[0], "y": fields[1], "w": fields[2], "h": fields[3]})
+    @F.pandas_udf(f"array<{G.RECT}>")
+    def merge(lists: pd.Series) -> pd.Series:
+        one = lambda row: [dict(zip("xywh", r, strict=True)) for r in merge_touching([(q["x"], q["y"], q["w"], q["h"]) for q in row])]
+        return lists.map(one)
 
-    parts = _grouped(rects, key).groupBy(key, "box").applyInArrow(merge, f"`{key}` {kind}, x int, y int, w int, h int")
-    return parts.select(key, F.struct("x", "y", "w", "h").alias("rect"))
+    several = F.size("rects") > 1
+    alone = groups.where(~several).select(key, F.get("rects", F.lit(0)).alias("rect"))
+    return alone.unionByName(groups.where(several).select(key, F.explode(merge("rects")).alias("rect")))

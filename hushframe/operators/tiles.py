@@ -43,7 +43,8 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect")
     corner of their common part. Crowded tiles are dealt to several tasks: the left side in shares, the right side to each.
     Empty rectangles and null keys or rectangles meet nothing.
     """
-    a, b = cut(_classes(left, key, F.col(rect)), "tiles-left"), cut(_classes(right, key, F.col(rect)), "tiles-right")
+    a = cut(_classes(left, key, F.col(rect)), "tiles-left")
+    b = a if right is left else cut(_classes(right, key, F.col(rect)), "tiles-right")
     levels = sorted({*_own_levels(a), *_own_levels(b)})
     if not levels:
         return a.select(F.col("key").alias(key), F.col("r").alias("a"), F.col("r").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
