@@ -188,8 +188,18 @@ def minimise(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float) -> np.ndar
     return _descend(xp, gradient, l2)
 
 
-def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes()) -> Model:
-    """Model of the class of positives (column doc_id) from docs (doc_id, text). No positive text: a model without features."""
+def level(logits: np.ndarray, prior: float, threshold: float) -> float:
+    """What to add, zero or less, to the logits of unlabelled texts, so that the share of them that reaches the threshold is
+    at most the prior and one standard error of it."""
+    share = min(1.0, prior + np.sqrt(prior * (1 - prior) / len(logits)))
+    return min(0.0, float(np.log(threshold / (1 - threshold)) - np.quantile(logits, 1 - share)))
+
+
+def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes(), threshold: float = 0.5) -> Model:
+    """Model of the class of positives (column doc_id) from docs (doc_id, text). No positive text: a model without features.
+
+    threshold: the score from which a text is to count as positive, which sets the model's level.
+    """
     sample = _sample(docs, positives, sizes)
     marks = {m: i for i, m in enumerate(_choose_marks(sample, sizes))}
     data = sample.mapInArrow(_featurised(marks), "pos int, unl int, part int, style array<double>, found array<int>").toArrow()
@@ -217,7 +227,11 @@ def fit(docs: DataFrame, positives: DataFrame, sizes: Sizes = Sizes()) -> Model:
     scored = np.isin(part, seen)
     prior = class_prior(scores[pos & scored], scores[unl & scored]) if (pos & scored).any() and (unl & scored).any() else 0.5
     w = minimise(x[pos], x[unl], prior, l2 * prior)
-    return Model(prior, float(w[0]), edges, [w[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)], {k: float(w[offsets[-1] + i]) for k, i in marks.items() if w[offsets[-1] + i]})
+    # The level, too, comes from texts that the scoring model has not seen.
+    for g in seen:
+        scores[part == g] = x[part == g] @ minimise(x[pos & (part != g)], x[unl & (part != g)], prior, l2 * prior)
+    lower = level(scores[unl & scored], prior, threshold) if (pos & scored).any() and (unl & scored).any() else 0.0
+    return Model(prior, float(w[0]) + lower, edges, [w[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)], {k: float(w[offsets[-1] + i]) for k, i in marks.items() if w[offsets[-1] + i]})
 
 
 def _logits(model: Model, texts: pa.Array) -> np.ndarray:

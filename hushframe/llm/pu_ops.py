@@ -13,10 +13,10 @@ FOLDS, HELD_OUT = 4, 2
 QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.7, 0.3
 
 
-def _fit(docs: DataFrame, labels: DataFrame, column: str, sizes: pu.Sizes) -> pu.Model:
+def _fit(docs: DataFrame, labels: DataFrame, column: str, threshold: float, sizes: pu.Sizes) -> pu.Model:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = labels.where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    return pu.fit(texts, pu.trusted(known, column), sizes)
+    return pu.fit(texts, pu.trusted(known, column), sizes, threshold)
 
 
 def _classify(docs: DataFrame, labels: DataFrame, column: str, threshold: float, sizes: pu.Sizes) -> DataFrame:
@@ -26,7 +26,7 @@ def _classify(docs: DataFrame, labels: DataFrame, column: str, threshold: float,
     repeated rows get equal scores. Without any label 1 every score is 0.5. An empty table gives no row.
     Columns other than doc_id and text, and doc_id and the label, are not read.
     """
-    scored = pu.score(docs, _fit(docs, labels, column, sizes))
+    scored = pu.score(docs, _fit(docs, labels, column, threshold, sizes))
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -42,5 +42,5 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, sizes: pu.Sizes = pu.S
 
 def keep_quality(docs: DataFrame, labels: DataFrame, sizes: pu.Sizes = pu.Sizes()) -> DataFrame:
     """The documents that classify_quality predicts to be good, with all columns; without labels none is rejected."""
-    model = _fit(docs, labels, "quality", sizes)
+    model = _fit(docs, labels, "quality", QUALITY_THRESHOLD, sizes)
     return pu.keep(docs, model, QUALITY_THRESHOLD) if model.edges else docs

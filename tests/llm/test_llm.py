@@ -267,6 +267,54 @@ def test_class_prior():
     assert abs(pu.class_prior(rng.normal(2, 1, 4000), np.r_[p[:3000], n]) - 0.3) < 0.06
 
 
+def test_whole_score_against_a_plain_version(spark):
+    """Samples, marks, bins, prior, risk and level of a table, as a plain program has them; every text, held out or not, gets that score."""
+    rng, sizes = random.Random(9), pu.Sizes()
+    rows = [(i, _prose(rng, 5 + i % 50) + (" vile" if i % 4 == 0 else "") + (" foul " * 3 if i % 8 == 0 else ""), "en", "s", 1) for i in range(400)]
+    d = spark.createDataFrame([*rows, (400, None, "en", "s", 0)], SCHEMA)
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    part = {r[0]: r[1] for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(sizes.seed + 1)), F.lit(pu.PARTS))).collect()}
+    texts = [(i, (t or "").encode()) for i, t, *_ in [*rows, (400, None)]]
+    seen = [pu.describe(t) for _, t in texts]
+    pos = np.array([i % 4 == 0 and i < 400 and zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in texts])
+    n_p, n_u, z = pos.sum(), len(texts), {}
+    for mark in set().union(*[m for _, m in seen]):
+        has = np.array([mark in m for _, m in seen])
+        p, u = has[pos].sum(), has.sum()
+        share = (p + u + 1) / (n_p + n_u + 2)
+        if p + u >= 4:
+            z[mark] = abs(p / n_p - u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
+    marks = sorted(m for m, value in z.items() if value > pu.SURE)
+    assert 0 < len(marks) <= sizes.marks
+    style = np.array([s for s, _ in seen])
+    columns = [np.ones(len(texts))]
+    for j in range(style.shape[1]):
+        edges = np.unique(np.quantile(style[:, j], np.arange(1, pu.BINS) / pu.BINS))
+        place = np.array([sum(e < v for e in edges) for v in style[:, j]])
+        columns += [place == k for k in range(len(edges) + 1)]
+    columns += [np.array([m in have for _, have in seen]) for m in marks]
+    x, fold, l2 = np.stack(columns, axis=1).astype(np.float32), np.array([part[i] for i, _ in texts]), 4.0 / n_p
+    unseen = lambda fit: np.concatenate([x[fold == g] @ fit(x[pos & (fold != g)], x[fold != g]) for g in range(pu.PARTS)])
+    is_pos = np.concatenate([pos[fold == g] for g in range(pu.PARTS)])
+    ordered = unseen(lambda a, b: pu._apart(a, b, l2))
+    prior = pu.class_prior(ordered[is_pos], ordered)
+    logits = unseen(lambda a, b: pu.minimise(a, b, prior, l2 * prior))
+    want = x @ pu.minimise(x[pos], x, prior, l2 * prior) + pu.level(logits, prior, pu_ops.TOXIC_THRESHOLD)
+    got = {r["doc_id"]: r["score"] for r in pu_ops.classify_toxicity(d, known).collect()}
+    assert got == pytest.approx({i: 1 / (1 + np.exp(-v)) for (i, _), v in zip(texts, want, strict=True)}, abs=2e-3)
+
+
+def test_level():
+    """More texts than the prior says are pushed down to it, one standard error spared; fewer are left alone."""
+    rng = np.random.default_rng(1)
+    logits = rng.normal(0, 2, 2000)
+    for prior, threshold in ((0.2, 0.3), (0.4, 0.5), (0.05, 0.7)):
+        lower = pu.level(logits, prior, threshold)
+        passing = (1 / (1 + np.exp(-(logits + lower))) >= threshold).mean()
+        assert lower < 0 and abs(passing - prior - (prior * (1 - prior) / 2000) ** 0.5) <= 1 / 1000
+    assert pu.level(logits, 0.9, 0.7) == 0 and pu.level(logits, 0.99999, 0.5) == 0
+
+
 # 4
 
 SECRETS = [
