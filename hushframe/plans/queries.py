@@ -473,7 +473,36 @@ def boxes_per_line(spark, sf_dir):
     return w.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.min("x").alias("l"), F.max(F.col("x") + F.col("width")).alias("r"), F.min("y").alias("y"))
 
 
-@query()
+def _sql_found_in(texts: str) -> str:
+    """(doc_id, rule_id, start, length): what RULES find in a table (doc_id, text)."""
+    spans = lambda pattern: _sql_spans(texts, "doc_id", "text", pattern)
+    found = {
+        "r-email": _sql_trimmed(spans("(?i)" + DETECTORS["Email"]), "doc_id"),
+        "r-ipv4": _sql_trimmed(spans(r"[0-9.]+"), "doc_id", f"regexp_matches(raw, '{_IPV4}')"),
+        "r-key": _sql_trimmed(spans("(?i)" + DETECTORS["ApiKey"]), "doc_id"),
+    }
+    return " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id, start, length FROM ({sql}) x" for r, sql in found.items())
+
+
+# Words are eight wide for each character and a character apart, so that none is tight and one pass finds all.
+_SQL_MEET = "list_transform(a, lambda k: k.l < n[1].r AND n[1].l < k.r AND k.t < n[1].b AND n[1].t < k.b)"
+
+
+@query(f"""
+WITH w0 AS (SELECT doc_id, m[i] AS word, i - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\n\\t\\r\\f\\x0b]+') AS m FROM documents) q, unnest(range(1, len(m) + 1)) AS u(i)),
+w1 AS (SELECT *, pos // 12 AS line, CASE WHEN pos = 0 THEN '' WHEN pos % 12 = 0 THEN chr(10) ELSE ' ' END || word AS piece FROM w0),
+w AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(word))::INT AS start, length(word) AS size,
+             (coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8)::DOUBLE AS x FROM w1),
+texts AS (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS text FROM w1 GROUP BY doc_id),
+m AS ({_sql_found_in("texts")}),
+c AS (SELECT w.doc_id, m.rule_id, m.start, m.length, line, min(floor((x + size * 8 * (greatest(w.start, m.start) - w.start) / size) / 2)) + 5 AS l, min(floor(line * 20 / 2)) + 7 AS t,
+             max(ceil((x + size * 8 * (least(w.start + size, m.start + m.length) - w.start) / size) / 2)) + 5 AS r, max(ceil((line * 20 + 14) / 2)) + 7 AS b
+      FROM w JOIN m ON m.doc_id = w.doc_id AND w.start < m.start + m.length AND m.start < w.start + size GROUP BY ALL),
+f AS (SELECT doc_id, rule_id, list_reduce(list([{{'l': l, 't': t, 'r': r, 'b': b}}] ORDER BY start, length DESC, line), lambda a, n:
+             CASE WHEN NOT list_contains({_SQL_MEET}, true) THEN list_concat(a, n)
+                  ELSE list_transform(a, lambda k, i: CASE WHEN i = list_position({_SQL_MEET}, true) THEN {{'l': least(k.l, n[1].l), 't': least(k.t, n[1].t), 'r': greatest(k.r, n[1].r), 'b': greatest(k.b, n[1].b)}} ELSE k END) END) AS kept
+      FROM c WHERE r > l AND b > t GROUP BY doc_id, rule_id)
+SELECT doc_id, rule_id, v.l::INT AS x, v.t::INT AS y, (v.r - v.l)::INT AS w, (v.b - v.t)::INT AS h FROM (SELECT doc_id, rule_id, unnest(kept) AS v FROM f)""")
 def map_spans_to_words(spark, sf_dir):
     boxes = mapping.map_to_boxes(stores.words(_table(spark, sf_dir, "documents")), RULES, scale=2.0, dx=5, dy=7)
     return boxes.select("doc_id", "rule_id", *[F.col("rect")[c].alias(c) for c in "xywh"])
