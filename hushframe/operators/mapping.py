@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .detect import find_matches
+from ..sources.scratch import cut
+from .detect import with_matches
 from .rules import Rule
 
 TIGHT = 0.22
@@ -33,10 +34,31 @@ def words_with_spans(words: DataFrame, join_tight: bool) -> DataFrame:
     return w.withColumn("start", F.col("end") - F.length("text"))
 
 
-def texts_of(words: DataFrame) -> DataFrame:
-    """(doc_id, text) of words with spans; a document is the unit of one crop and fits a row."""
-    ordered = F.array_sort(F.collect_list(F.struct("line", "word_ix", F.concat("between", "text").alias("t"))))
-    return words.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("text"))
+def word_rows(words: DataFrame) -> DataFrame:
+    """(doc_id, words) of words (doc_id, line, word_ix, text, x, y, width, height): an array in the order of lines and words.
+
+    A document is the unit of one crop and fits a row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("line", "word_ix", "text", "x", "y", "width", "height")))
+    return words.groupBy("doc_id").agg(ordered.alias("words"))
+
+
+def _is_tight(words: Column, i: Column) -> Column:
+    """Whether the word at i follows the one before it in its line with hardly a gap."""
+    w, last = F.get(words, i), F.get(words, i - 1)
+    gap = w["x"] - (last["x"] + last["width"])
+    return last["line"].eqNullSafe(w["line"]) & F.coalesce(gap < F.greatest(w["height"], last["height"]) * TIGHT, F.lit(False))
+
+
+def _row_text(words: Column, join_tight: bool) -> Column:
+    """The text that an array of words makes, as words_with_spans counts it."""
+
+    def piece(w: Column, i: Column) -> Column:
+        first = ~F.get(words, i - 1)["line"].eqNullSafe(w["line"])
+        between = F.when(i == 0, "").when(first, "\n").when(_is_tight(words, i) & F.lit(join_tight), "").otherwise(" ")
+        return F.concat(between, w["text"])
+
+    return F.array_join(F.transform(words, piece), "")
 
 
 def line_boxes(words: DataFrame, matches: DataFrame) -> DataFrame:
@@ -79,13 +101,23 @@ def map_to_boxes(words: DataFrame, rules: Iterable[Rule], scale: float = 1.0, dx
 
     Boxes of one rule that meet become one, in the order of passes, matches and lines.
     """
+    return map_rows_to_boxes(word_rows(words), rules, scale, dx, dy)
+
+
+def map_rows_to_boxes(rows: DataFrame, rules: Iterable[Rule], scale: float = 1.0, dx: int = 0, dy: int = 0) -> DataFrame:
+    """As map_to_boxes, from rows (doc_id, words) as word_rows makes them. Texts are made and searched row by row; only the
+    words of documents in which something is found are written and shuffled."""
     rules, passes = list(rules), []
     for tight in (False, True):
-        spanned = words_with_spans(words, tight)
+        texts = rows
         if tight:  # only documents with tight words are read twice
-            some = spanned.groupBy("doc_id").agg(F.bool_or("tight").alias("any_tight")).where("any_tight").select("doc_id")
-            spanned = spanned.join(some, "doc_id", "left_semi")
-        matches = find_matches(texts_of(spanned), "text", rules, ["doc_id"])
+            texts = rows.where(F.exists(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: _is_tight(F.col("words"), i)))
+        # An explode of one row keeps Spark from writing the text, or the matches, out anew wherever they are used.
+        found = with_matches(texts.select("doc_id", "words", F.explode(F.array(_row_text(F.col("words"), tight))).alias("text")), "text", rules)
+        found = found.select("doc_id", "words", F.explode(F.array(F.transform("matches", lambda m: m.dropFields("text")))).alias("matches"))
+        found = cut(found.where(F.size("matches") > 0), "boxes-found")
+        spanned = words_with_spans(found.select("doc_id", "words").repartition("doc_id").select("doc_id", F.inline("words")), tight)
+        matches = found.select("doc_id", F.inline("matches"))
         passes.append(line_boxes(spanned, matches).withColumn("pass", F.lit(int(tight))))
     boxes = passes[0].unionByName(passes[1])
     r = G.ltrb(F.floor(F.col("l") / scale) + dx, F.floor(F.col("t") / scale) + dy, F.ceil(F.col("r") / scale) + dx, F.ceil(F.col("b") / scale) + dy)

@@ -88,13 +88,19 @@ def network_names(output: Column) -> Column:
     return F.regexp_extract_all(output, F.lit(NETWORK_LINE), F.lit(1))
 
 
-def words(docs: DataFrame, per_line: int = 12, char_width: float = 8.0, height: float = 14.0, pitch: float = 20.0) -> DataFrame:
-    """(doc_id, line, word_ix, text, x, y, width, height): texts as a reader of print might give them, in lines of per_line words."""
+def word_rows(docs: DataFrame, per_line: int = 12, char_width: float = 8.0, height: float = 14.0, pitch: float = 20.0) -> DataFrame:
+    """(doc_id, words): of each document, an array of (line, word_ix, text, x, y, width, height) as a reader of print might give
+    them, in lines of per_line words; in place, without a shuffle."""
     split = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    w = docs.select("doc_id", F.posexplode(split).alias("at", "text"))
-    w = w.select("doc_id", F.floor(F.col("at") / per_line).cast("int").alias("line"), (F.col("at") % per_line).alias("word_ix"), "text")
-    from pyspark.sql import Window
 
-    before = Window.partitionBy("doc_id", "line").orderBy("word_ix").rowsBetween(Window.unboundedPreceding, -1)
-    x = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)) * char_width
-    return w.select("doc_id", "line", "word_ix", "text", x.alias("x"), (F.col("line") * pitch).alias("y"), (F.length("text") * char_width).alias("width"), F.lit(height).alias("height"))
+    def box(text, at):
+        line = F.floor(at / per_line).cast("int")
+        before = F.aggregate(F.slice("split", at - at % per_line + 1, at % per_line), F.lit(0).cast("long"), lambda n, w: n + F.length(w) + 1)
+        return F.struct(line.alias("line"), (at % per_line).alias("word_ix"), text.alias("text"), (before * char_width).alias("x"), (line * pitch).alias("y"), (F.length(text) * char_width).alias("width"), F.lit(height).alias("height"))
+
+    return docs.select("doc_id", F.explode(F.array(split)).alias("split")).select("doc_id", F.explode(F.array(F.transform("split", box))).alias("words"))
+
+
+def words(docs: DataFrame, per_line: int = 12, char_width: float = 8.0, height: float = 14.0, pitch: float = 20.0) -> DataFrame:
+    """(doc_id, line, word_ix, text, x, y, width, height): the words of word_rows, a row each."""
+    return word_rows(docs, per_line, char_width, height, pitch).select("doc_id", F.inline("words"))

@@ -213,3 +213,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_mapping_shuffles_only_where_something_is_found(spark):
+    """Rows give what words give, and words of documents without matches are not written."""
+    docs = spark.createDataFrame([(1, " ".join(["plain"] * 40)), (2, "write to a@b.com " + "or not " * 20 + "x@y.org"), (3, None), (4, "")], "doc_id long, text string")
+    rules = [Rule("BuiltIn", built_in="Email", id="e")]
+    rows = stores.word_rows(docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    words = [r for r in stores.words(docs).where("doc_id = 2").collect()]
+    assert [(r["line"], r["word_ix"], r["x"], r["y"], r["width"]) for r in words[11:14]] == [(0, 11, 360.0, 0.0, 16.0), (1, 0, 0.0, 20.0, 24.0), (1, 1, 32.0, 20.0, 16.0)]
+    got = sorted(tuple(r["rect"]) for r in mapping.map_rows_to_boxes(rows, rules).collect())
+    assert got == sorted(tuple(r["rect"]) for r in mapping.map_to_boxes(stores.words(docs), rules).collect()) and len(got) == 2
