@@ -11,6 +11,8 @@ from ..sources.scratch import cut
 from .tiles import overlapping
 
 Rect = tuple[int, int, int, int]
+#: Rows of a key that are merged at once.
+FEW = 64
 
 
 def _overlap(a: Rect, b: Rect) -> int:
@@ -70,11 +72,18 @@ def _grouped(rects: DataFrame, key: str) -> DataFrame:
 def merged_areas(rects: DataFrame, key: str) -> DataFrame:
     """(key, rect): the rectangles of each key, those that touch made one as merge_touching does in the order of x, y, w and h.
 
-    Rectangles whose boxes stay apart never meet, so that each group within one box is merged by itself: a key's areas fall
-    to as many tasks as it has groups. Rectangles that all hang together are one group, of one task. Equal rectangles are
-    one; null keys and rectangles are left out; no rows give none.
+    The rectangles of a key of up to FEW rows are gathered and merged at once. Those of larger keys are told apart first:
+    rectangles whose boxes stay apart never meet, so that each group within one box is merged by itself, with the same result,
+    and a key's areas fall to as many tasks as it has groups. Rectangles that all hang together are one group, of one task.
+    Equal rectangles are one; null keys and rectangles are left out; no rows give none.
     """
-    groups = _grouped(rects, key).groupBy(key, "box").agg(F.array_sort(F.collect_list("rect")).alias("rects"))
+    sound = rects.where(F.col(key).isNotNull() & F.col("rect").isNotNull()).select(key, "rect")
+    large = cut(sound.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > FEW).select(key), "areas-large")
+    gathered = lambda d, by: d.groupBy(*by).agg(F.array_sort(F.collect_set("rect")).alias("rects")).select(key, "rects")
+    if large.isEmpty():
+        groups = gathered(sound, [key])
+    else:
+        groups = gathered(sound.join(large, key, "left_anti"), [key]).unionByName(gathered(_grouped(sound.join(large, key, "left_semi"), key), [key, "box"]))
 
     @F.pandas_udf(f"array<{G.RECT}>")
     def merge(lists: pd.Series) -> pd.Series:

@@ -306,3 +306,17 @@ def test_assigned_in_one_round_and_in_bands(spark, monkeypatch):
         monkeypatch.setattr(assign, "CHUNK", 16 * held)
         one[held] = sorted((int(a), int(b), s) for s, p, q in assign._assigned_in_key(*sides(), 0.3) for a, b in zip(p, q, strict=True))
         assert one[held] == wanted
+
+
+def test_areas_of_small_keys_take_no_rounds(spark, monkeypatch):
+    """Keys of a few rows are merged at once, as large ones are by their groups."""
+    rng = random.Random(12)
+    rows = [(k, (rng.randrange(40), rng.randrange(40), rng.choice([1, 5, 12]), rng.choice([1, 4, 9]))) for k in range(30) for _ in range(rng.randrange(1, 9))]
+    table = rect_table(spark, rows, [(None, (0, 0, 5, 5)), (1, None)])
+    grouped, told = frames._grouped, []
+    monkeypatch.setattr(frames, "_grouped", lambda d, key: told.append(key) or grouped(d, key))
+    shown = lambda: sorted((r["k"], tuple(r["rect"])) for r in frames.merged_areas(table, "k").collect())
+    want = sorted((k, r) for k in range(30) for r in frames.merge_touching(sorted({r for kk, r in rows if kk == k})))
+    assert shown() == want and not told
+    monkeypatch.setattr(frames, "FEW", 4)
+    assert shown() == want and told
