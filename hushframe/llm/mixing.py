@@ -13,10 +13,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import cycle
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, if_few, word_array
+from .common import FEW_ROWS, cut, if_few, word_array
 
 WEIGHTS, SHARE, MAX_REPEATS = (3, 1, 2), 1.5, 2
 #: The seeded place of a document is a number of this many bits; its cut is found by levels of LEVEL_BITS.
@@ -28,8 +29,8 @@ STEPS = 16
 @dataclass(frozen=True)
 class Settings:
     seed: str = "mix-1"
-    #: Pairs of a set of sources and one of them for which the driver finds the flow; more are a table, whose flow is
-    #: found in rounds.
+    #: Pairs of a set of sources and one of them for which the driver runs the rounds of the flow; for more they run on the
+    #: table, with the same numbers. Also the different arrays of sources that mix(docs, sources=...) takes.
     max_patterns: int = 2_000
     #: The rounds end when the words that one of them moves are at most this share of all words, or after so many.
     moved: float = 1e-3
@@ -159,30 +160,13 @@ def _plan_of_sets(spark: SparkSession, patterns: list[Row]) -> DataFrame:
     return spark.createDataFrame(rows, _PLAN)
 
 
-def _plan_of_cells(spark: SparkSession, cells: list[Row]) -> DataFrame:
-    """_PLAN for cells (key, node, source, name, size, once) by the flow on the driver: the words of the documents of a source
-    whose texts a set of sources, the node, holds."""
-    cells.sort(key=lambda r: r["key"])
-    source_size: dict[str | None, int] = defaultdict(int)
-    members: dict[str, list[str | None]] = defaultdict(list)
-    for r in cells:
-        source_size[r["name"]] += r["size"]
-        members[r["node"]].append(r["name"])
-    target = targets(source_size)
-    named = {node: tuple(held) for node, held in members.items()}
-    capacity = {named[r["node"]]: r["once"] for r in cells}
-    limit = {(named[r["node"]], r["name"]): MAX_REPEATS * r["size"] for r in cells}
-    flow = min_cost_flow(capacity, {s: round(t) for s, t in target.items()}, limit=limit)
-    return spark.createDataFrame([(r["key"], r["source"], r["size"], flow[named[r["node"]]][r["name"]], round(target[r["name"]]), source_size[r["name"]], float(target[r["name"]])) for r in cells], _PLAN)
-
-
 def _targets_of_table(per: DataFrame) -> DataFrame:
     """(source, source_size, target) as targets finds them, for per (source, name, size) with any number of sources."""
     by_name = F.col("name").asc_nulls_last()
     listed = cut(per.repartitionByRange(by_name).sortWithinPartitions(by_name).withColumn("id", F.monotonically_increasing_id()), "sources")
     # The place of a source in the order: its row in the partition, behind the rows of the partitions before.
     parts = listed.groupBy(F.shiftright("id", 33).alias("part")).count().orderBy("part").collect()
-    before, n = {}, 0
+    before, n = {0: 0}, 0
     for r in parts:
         before[r["part"]], n = n, n + r["count"]
     offset = F.get(F.lit([before.get(i, 0) for i in range(max(before) + 1)]), F.shiftright("id", 33).cast("int"))
@@ -191,7 +175,7 @@ def _targets_of_table(per: DataFrame) -> DataFrame:
     # Each round takes out the sources that the level would carry past their limit, which raises the level for the rest.
     sums = lambda d: d.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"), F.count("*").alias("n")).first()
     every, full, limit = sums(listed), -1, F.col("size") * float(MAX_REPEATS)
-    level = SHARE * every["size"] / every["weight"]
+    level = SHARE * every["size"] / max(every["weight"], 1)
     while full != (over := sums(listed.where(F.lit(level) * F.col("weight") > limit)))["n"]:
         full = over["n"]
         if full == every["n"]:
@@ -230,7 +214,7 @@ def _filled(cells: DataFrame, passes: int) -> DataFrame:
 
 
 def _plan_of_table(cells: DataFrame, settings: Settings) -> DataFrame:
-    """_PLAN for cells (key, node, source, name, size, once, members) of any number, without the driver.
+    """_PLAN for cells (key, node, source, name, size, once, members) of any number.
 
     Costs that rise with the level of use of a set lead to one optimum, whatever their form: that of the squares of use
     over capacity. It is approached by accelerated rounds, the last of which meets the targets: each source moves its words from
@@ -247,6 +231,12 @@ def _plan_of_table(cells: DataFrame, settings: Settings) -> DataFrame:
     # A source that shares nothing has one cell, which its target fills; cells without words take none.
     fixed = known.join(overlapping, "source", "left_anti").union(known.join(overlapping, "source", "left_semi").where("size = 0"))
     state = cut(known.where("size > 0").join(overlapping, "source", "left_semi").withColumn("z", F.col("x")), "state")
+    few = state.limit(settings.max_patterns + 1).count() <= settings.max_patterns
+    return cut(plan(_rounds_on_driver(state, settings) if few else _rounds(state, settings)).union(plan(fixed)), "plan")
+
+
+def _rounds(state: DataFrame, settings: Settings) -> DataFrame:
+    """state (source, node, once, members, size, target, x, z, others) with the x of the last round."""
     for i in range(settings.rounds):
         used = state.groupBy("node").agg(_sum(F.col("z")).alias("used"))
         moving = cut(state.withColumnRenamed("x", "was").join(used, "node"), "moving")
@@ -259,15 +249,53 @@ def _plan_of_table(cells: DataFrame, settings: Settings) -> DataFrame:
         if change["moved"] <= settings.moved * change["all"]:
             break
     used = state.groupBy("node").agg(_sum(F.col("x")).alias("used"))
-    last = _filled(cut(state.withColumn("z", F.col("x")).join(used, "node"), "moving"), 5)
-    return cut(plan(last).union(plan(fixed)), "plan")
+    return _filled(cut(state.withColumn("z", F.col("x")).join(used, "node"), "moving"), 5)
+
+
+def _rounds_on_driver(state: DataFrame, settings: Settings) -> DataFrame:
+    """As _rounds, for a state that fits the driver: the same operations on the same doubles, and sums in whole thousandths,
+    so that both ways give one result to the last bit."""
+    held = state.select("key", "source", "node", "once", "members", "size", "target", "x").toPandas()
+    source, node = (np.unique(held[c].to_numpy(str), return_inverse=True)[1] for c in ("source", "node"))
+    once, members, size, x = (held[c].to_numpy(float) for c in ("once", "members", "size", "x"))
+    target, most = np.zeros(source.max() + 1), size * float(MAX_REPEATS)
+    target[source] = held["target"]
+
+    def total(words: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = np.zeros(by.max() + 1, np.int64)
+        np.add.at(out, by, np.rint(words * 1000).astype(np.int64))
+        return out / 1000
+
+    def filled(z: np.ndarray, passes: int) -> np.ndarray:
+        used = total(z, node)[node]
+        at = lambda level: np.minimum(most, np.maximum(0.0, z + (once * level[source] - used) / members))
+        low, high, every = np.full(len(target), np.inf), np.full(len(target), -np.inf), np.arange(len(target))
+        np.minimum.at(low, source, (used - z * members) / once)
+        np.maximum.at(high, source, (used + (most - z) * members) / once)
+        for _ in range(passes):
+            sums = np.array([total(at(low + (high - low) * (i / STEPS)), source) for i in range(STEPS + 1)])
+            under = (sums[1:STEPS] < target).sum(axis=0)
+            below, above, step = sums[under, every], sums[under + 1, every], (high - low) / STEPS
+            part = np.where(above > below, np.clip((target - below) / np.where(above > below, above - below, 1.0), 0.0, 1.0), 0.0)
+            left = low + step * under
+            low, high, level = left, left + step, left + step * part
+        return at(level)
+
+    z, one = x, np.zeros(len(x), int)
+    for i in range(settings.rounds):
+        was, x = x, filled(z, 2)
+        z = x + i / (i + 3) * (x - was)
+        if total(np.abs(x - was), one)[0] <= settings.moved * total(x, one)[0]:
+            break
+    found = state.sparkSession.createDataFrame(list(zip(held["key"], filled(x, 5).tolist(), strict=True)), "key string, x double")
+    return state.drop("x").join(F.broadcast(found), "key")
 
 
 def mix(docs: DataFrame, sources: Column | None = None, settings: Settings = Settings()) -> DataFrame:
     """docs (doc_id, text, source, others) with __size, __source_size, __target, __copies and __taken.
 
     By default a document is its source's, and its text belongs to all sources that hold it; any number of sources may
-    hold any number of texts. sources: the array of sources that a document itself belongs to, in place of that, for at
+    hold any number of texts, and the flow of few is found in the same rounds, number for number, as that of many. sources: the array of sources that a document itself belongs to, in place of that, for at
     most settings.max_patterns different arrays (an error beyond). __source_size and __target
     are those of the first of them. A null source is a source of its own; null or empty texts have size 0 and take no
     words; null ids have a place by their text; rows alike in id and text are taken together; an empty table
@@ -291,12 +319,12 @@ def mix(docs: DataFrame, sources: Column | None = None, settings: Settings = Set
     narrow = cut(marked.select("key", "pattern", "source", "name", "size", "place"), "sizes")
     cells = narrow.groupBy("key", "pattern", "source").agg(F.first("name").alias("name"), F.sum("size").alias("size")).join(shared, "pattern", "left")
     cells = cut(cells.select("key", F.coalesce("pattern", "key").alias("node"), "source", "name", "size", F.coalesce("once", "size").alias("once"), F.coalesce("members", F.lit(1)).alias("members")), "cells")
-    few = cells.limit(most + 1).count() <= most
-    return _taken(docs.columns, marked, narrow, _plan_of_cells(spark, cells.collect()) if few else _plan_of_table(cells, settings), few)
+    plan = _plan_of_table(cells, settings)
+    return _taken(docs.columns, marked, narrow, plan, plan.count() <= FEW_ROWS)
 
 
 def _taken(columns: list[str], marked: DataFrame, narrow: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
-    """The rows of marked (row, key, size, place) with what the plan takes of each.
+    """The rows of marked (row, key, size, place) with what the plan takes of each. small: whether the plan may be broadcast.
 
     Words that are no whole number of copies are made up by documents with one copy more. All cells of an owner do so
     together, each document with the share of its cell, so that the owner comes within half a document of its words.

@@ -563,6 +563,16 @@ def test_mix_of_more_sources_than_the_driver_may_hold(spark, docs):
         assert per[0] == pytest.approx(per[1])
 
 
+def test_mix_is_the_same_whatever_number_of_sets_the_driver_takes(spark):
+    """Sources that hold each other's texts: the documents taken depend on the table alone, not on where the rounds run."""
+    rng = random.Random(21)
+    texts = [_prose(rng, rng.randrange(1, 40)) for _ in range(150)]
+    rows = [(i, rng.choice(texts), f"s{min(rng.randrange(5), rng.randrange(5))}") for i in range(260)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few, many = (by_row(mixing.mix(d, settings=mixing.Settings(max_patterns=n, rounds=4)), "__copies", "__taken") for n in (3, 10_000))
+    assert few == many and len(few) == 260
+
+
 def test_flow_in_rounds_costs_what_the_cheapest_paths_cost(spark):
     """5,000 sources that share 6,000 sets, one of them held by 300: costs within a thousandth, targets met."""
     rng = random.Random(5)
