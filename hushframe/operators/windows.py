@@ -68,10 +68,17 @@ def compose(boxes: DataFrame, windows: DataFrame, target_ms: Column) -> DataFram
     """
     w = windows.select("window_id", F.col("rect").alias("bounds"), "visible", "covered")
     whole = w.where("covered").select("window_id", F.explode("visible").alias("rect"))
+    placed = boxes.join(w.where("not covered"), "window_id")
+    return whole.unionByName(placed_parts(placed, target_ms).select("window_id", F.col("part").alias("rect")))
+
+
+def placed_parts(rows: DataFrame, target_ms: Column) -> DataFrame:
+    """rows with part, as compose: each holds a box (rect, velocity, frame_time_ms, interval_ms) and its window (bounds, visible,
+    covered); a row of a covered window gives all the visible parts. Where a table holds boxes with their windows, nothing is joined."""
     moved = G.predict(F.col("rect"), F.col("velocity"), F.col("frame_time_ms"), F.col("interval_ms"), target_ms)
-    placed = boxes.join(w.where("not covered"), "window_id").withColumn("now", G.offset(moved, F.col("bounds.x"), F.col("bounds.y")))
-    parts = placed.withColumn("part", F.explode(G.clip(G.intersect(F.col("now"), F.col("bounds")), F.col("visible"))))
-    return whole.unionByName(parts.select("window_id", F.col("part").alias("rect")))
+    now = rows.withColumn("now", G.offset(moved, F.col("bounds.x"), F.col("bounds.y")))
+    parts = F.when(F.col("covered"), F.col("visible")).otherwise(G.clip(G.intersect(F.col("now"), F.col("bounds")), F.col("visible")))
+    return now.withColumn("part", F.explode(parts)).drop("now")
 
 
 def preview(open_windows: DataFrame, pattern: str, most: int = 5) -> DataFrame:

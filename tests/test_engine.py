@@ -226,3 +226,14 @@ def test_mapping_shuffles_only_where_something_is_found(spark):
     assert [(r["line"], r["word_ix"], r["x"], r["y"], r["width"]) for r in words[11:14]] == [(0, 11, 360.0, 0.0, 16.0), (1, 0, 0.0, 20.0, 24.0), (1, 1, 32.0, 20.0, 16.0)]
     got = sorted(tuple(r["rect"]) for r in mapping.map_rows_to_boxes(rows, rules).collect())
     assert got == sorted(tuple(r["rect"]) for r in mapping.map_to_boxes(stores.words(docs), rules).collect()) and len(got) == 2
+
+
+def test_covers_of_boxes_beside_their_windows_need_no_join(spark, tmp_path):
+    """Two rows of one key keep a window each."""
+    from hushframe.plans import queries as plain
+
+    rows = [(1, 4, 1, 1, 30.0), (1, 4, 1, 1, 40.0), (20, 13, 2, 2, 50.0), (7, 5, 3, 1, 20.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, n in (("moving_covers", 3), ("composed_covers", 4)):
+        found = plain.QUERIES[name](spark, str(tmp_path))
+        assert found.count() == n and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
