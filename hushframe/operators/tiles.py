@@ -10,6 +10,8 @@ from ..sources.scratch import cut
 
 #: Rectangles of one tile, of one side, that one task compares with those of the other; more are dealt to several.
 CROWD = 2000
+#: Different rectangles of a key, of one side, that are compared without tiles.
+FEW = 256
 
 
 def _levelled(rects: DataFrame, levels: list[int]) -> DataFrame:
@@ -33,21 +35,32 @@ def _classes(rects: DataFrame, key: str, rect: Column) -> DataFrame:
     return rects.select(F.col(key).alias("key"), rect.alias("r")).where("key is not null and r.w > 0 and r.h > 0").groupBy("key", "r").agg(F.count("*").alias("n"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect") -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect", once: bool = False) -> DataFrame:
     """(key, a, b, n_a, n_b): all pairs of different or equal rectangles a of left and b of right, within a key, that have a
     common area, once each, with how many rows of their side have a and b. Rows with one rectangle are one class, so that
-    copies do not multiply pairs; a join on (key, a) gives the rows back.
+    copies do not multiply pairs; a join on (key, a) gives the rows back. once: only pairs with a less than b.
 
-    Each rectangle lies in a few tiles about as large as itself, and in those of the sizes above that others have. Two
+    Keys of up to FEW different rectangles a side are compared by a plain join. In larger ones, each rectangle lies in a few tiles about as large as itself, and in those of the sizes above that others have. Two
     rectangles are compared in the tiles of the larger one's size; the pair counts in the tile that holds the upper left
     corner of their common part. Crowded tiles are dealt to several tasks: the left side in shares, the right side to each.
     Empty rectangles and null keys or rectangles meet nothing.
     """
     a = cut(_classes(left, key, F.col(rect)), "tiles-left")
     b = a if right is left else cut(_classes(right, key, F.col(rect)), "tiles-right")
+    columns = [F.col("key").alias(key), "a", "b", "n_a", "n_b"]
+    wanted = G.intersects(F.col("a"), F.col("b"))
+    if once:
+        wanted = wanted & (F.col("a") < F.col("b"))
+    counts = a.groupBy("key").count()
+    counts = counts if b is a else counts.unionByName(b.groupBy("key").count())
+    large = cut(counts.where(F.col("count") > FEW).select("key").distinct(), "tiles-large")
+    side_a, side_b = F.col("r").alias("a"), F.col("r").alias("b")
+    plain = lambda a, b: a.select("key", side_a, F.col("n").alias("n_a")).join(b.select("key", side_b, F.col("n").alias("n_b")), "key").where(wanted).select(columns)
+    if large.isEmpty():
+        return plain(a, b)
+    few = plain(a.join(large, "key", "left_anti"), b.join(large, "key", "left_anti"))
+    a, b = a.join(large, "key", "left_semi"), b.join(large, "key", "left_semi")
     levels = sorted({*_own_levels(a), *_own_levels(b)})
-    if not levels:
-        return a.select(F.col("key").alias(key), F.col("r").alias("a"), F.col("r").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
     tile = ["key", "level", "tx", "ty"]
     of_left = _levelled(a, levels).select(*tile, F.col("r").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
     of_right = _levelled(b, levels).select(*tile, F.col("r").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
@@ -58,10 +71,10 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect")
         shares = F.coalesce("shares", F.lit(1))
         of_left = of_left.join(crowded, tile, "left").withColumn("share", F.pmod(F.xxhash64("a"), shares).cast("int")).drop("shares")
         of_right = of_right.join(crowded, tile, "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
-    met = of_left.join(of_right, [*tile, "share"]).where((F.greatest("own_a", "own_b") == F.col("level")) & G.intersects(F.col("a"), F.col("b")))
+    met = of_left.join(of_right, [*tile, "share"]).where((F.greatest("own_a", "own_b") == F.col("level")) & wanted)
     side = F.expr("shiftleft(1L, level)")
     corner = lambda c: F.floor(F.greatest(F.col("a")[c], F.col("b")[c]) / side)
-    return met.where((corner("x") == F.col("tx")) & (corner("y") == F.col("ty"))).select(F.col("key").alias(key), "a", "b", "n_a", "n_b")
+    return few.unionByName(met.where((corner("x") == F.col("tx")) & (corner("y") == F.col("ty"))).select(columns))
 
 
 def touched(rows: DataFrame, areas: DataFrame, key: str, rect: str = "rect") -> DataFrame:

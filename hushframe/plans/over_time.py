@@ -51,7 +51,7 @@ FROM {_DISTINCT_A} a JOIN {_DISTINCT_A} b ON a.k = b.k AND a.r < b.r AND {_meet(
 def overlapping_pairs(spark, sf_dir):
     """All pairs of different rectangles of a part that have a common area."""
     r = _rects(spark, sf_dir).select("l_partkey", F.col("a").alias("rect"))
-    met = tiles.overlapping(r, r, "l_partkey").where("a < b")
+    met = tiles.overlapping(r, r, "l_partkey", once=True)
     return met.select("l_partkey", *[F.col("a")[c].alias(f"a{c}") for c in "xywh"], *[F.col("b")[c].alias("by_" if c == "y" else f"b{c}") for c in "xywh"], "n_a", "n_b")
 
 

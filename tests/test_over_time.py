@@ -242,6 +242,22 @@ def test_exact_recall_in_blocks(spark, monkeypatch, blocks):
     assert {(f"n{i}", f"n{i}") for i in range(20)} <= found
 
 
+@pytest.mark.parametrize("few", [3, 256])
+def test_pairs_of_small_keys_need_no_tiles(spark, monkeypatch, few):
+    monkeypatch.setattr(tiles, "FEW", few)
+    monkeypatch.setattr(tiles, "CROWD", 7)
+    levelled, tiled = tiles._levelled, []
+    monkeypatch.setattr(tiles, "_levelled", lambda *x: tiled.append(1) or levelled(*x))
+    rng = random.Random(24)
+    rows = [(0 if i % 3 == 0 else rng.randrange(1, 30), (rng.randrange(60), rng.randrange(60), rng.randrange(25), rng.randrange(25))) for i in range(150)]
+    r = rect_table(spark, rows, [(None, (0, 0, 5, 5)), (1, None)])
+    meet = lambda a, b: min(a[0] + a[2], b[0] + b[2]) > max(a[0], b[0]) and min(a[1] + a[3], b[1] + b[3]) > max(a[1], b[1])
+    solid = {(k, a) for k, a in rows if a[2] and a[3]}
+    want = {(k, a, b) for k, a in solid for kk, b in solid if k == kk and a < b and meet(a, b)}
+    found = [(x["k"], tuple(x["a"]), tuple(x["b"])) for x in tiles.overlapping(r, r, "k", once=True).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and bool(tiled) == (few == 3)
+
+
 def test_shifts_of_sequences(spark):
     rng = random.Random(12)
     base = [rng.randrange(10_000) / 10 for _ in range(200)]
