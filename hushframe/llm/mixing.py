@@ -184,6 +184,18 @@ def _targets_of_table(per: DataFrame) -> DataFrame:
     return cut(listed.select("source", F.col("size").alias("source_size"), F.least(F.lit(level) * F.col("weight"), limit).alias("target")), "targets")
 
 
+def with_targets(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source) with the __size, __source_size and __target that mix gives them: doc_id and these three only.
+
+    Targets depend on the sizes of sources alone; texts are read once and nothing else of them is kept, nor is a flow sought.
+    """
+    size = F.size(word_array(docs["text"])).cast("long")
+    sizes = cut(docs.select("doc_id", docs["source"].alias("name"), _shown(docs["source"]).alias("source"), size.alias("size")), "sizes")
+    target = _targets_of_table(sizes.groupBy("source").agg(F.first("name").alias("name"), F.sum("size").alias("size")))
+    joined = sizes.join(if_few(target, target.count()), "source")
+    return joined.select("doc_id", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+
+
 def _sum(words: Column) -> Column:
     """The sum in whole thousandths, which no order of the rows changes, so that reruns agree."""
     return F.sum(F.bround(words * 1000).cast("long")) / 1000

@@ -563,6 +563,14 @@ def test_mix_of_more_sources_than_the_driver_may_hold(spark, docs):
         assert per[0] == pytest.approx(per[1])
 
 
+def test_targets_need_no_flow(spark, docs, empty, monkeypatch):
+    want = Counter((r["doc_id"], r["__size"], r["__source_size"], r["__target"]) for r in mixing.mix(docs.drop("size")).collect())
+    for part in ("_sets_of_equal_texts", "_digest", "_place", "_taken"):
+        monkeypatch.delattr(mixing, part)
+    found = mixing.with_targets(docs.drop("size"))
+    assert Counter(tuple(r) for r in found.collect()) == want and mixing.with_targets(empty).count() == 0
+
+
 def test_mix_is_the_same_whatever_number_of_sets_the_driver_takes(spark):
     """Sources that hold each other's texts: the documents taken depend on the table alone, not on where the rounds run."""
     rng = random.Random(21)
